@@ -14,7 +14,6 @@ from shelfwise.functions.vocabulary import MECHANICS, THEMES
 from shelfwise.operators.references import MAX_REFERENCES, liked_similarities, rotated
 
 MAX_FEATURES = 3
-ENTRY = "struct<influence:string>"
 
 
 def with_top_score(ranked: DataFrame) -> DataFrame:
@@ -37,18 +36,18 @@ def explain_by_references(
 ) -> DataFrame:
     """Per result up to three liked items with their influence.
 
-    ``ranked``: request_id, rank, item_id, score. ``liked``: request_id, item_id,
-    pos. ``vectors``: item_id, vector. ``names``: item_id, name. Returns
+    ``ranked``: request_id, user_id, rank, item_id, score. ``liked``: user_id,
+    item_id, pos. ``vectors``: item_id, vector. ``names``: item_id, name. Returns
     request_id, rank, item_id, references(array of liked_id, title, influence).
     """
     scored = with_top_score(ranked)
     shown = rotated(liked_similarities(ranked, liked, vectors, liked_rows=liked_rows))
     in_store = liked.join(vectors.select("item_id"), "item_id", "left_semi")
-    first = Window.partitionBy("request_id").orderBy("pos", "item_id")
+    first = Window.partitionBy("user_id").orderBy("pos", "item_id")
     fallback = (
         in_store.withColumn("slot", F.row_number().over(first) - 1)
         .filter(F.col("slot") < MAX_REFERENCES)
-        .select("request_id", F.col("item_id").alias("liked_id"), "slot")
+        .select("user_id", F.col("item_id").alias("liked_id"), "slot")
     )
     titled = names.select(F.col("item_id").alias("liked_id"), F.col("name").alias("title"))
 
@@ -59,7 +58,7 @@ def explain_by_references(
         )
 
     compared = entries(shown, ["request_id", "rank"], "sim")
-    fallback = entries(fallback, ["request_id"]).withColumnRenamed("entries", "fallback")
+    fallback = entries(fallback, ["user_id"]).withColumnRenamed("entries", "fallback")
     rank, score, top = F.col("rank"), F.col("score"), F.col("top")
     n = F.size("entries")
     # Score and similarity thresholds of the influence rules.
@@ -86,7 +85,7 @@ def explain_by_references(
     )
     joined = (
         scored.join(compared, ["request_id", "rank"], "left")
-        .join(fallback, "request_id", "left")
+        .join(fallback, "user_id", "left")
         .withColumn("two", two)
         .withColumn("refs", F.transform("entries", influence))
     )
@@ -146,7 +145,7 @@ def split_labels(hints: DataFrame) -> DataFrame:
 
 
 def liked_features(liked: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Distinct (request_id, category, label) over the tags of the liked items."""
+    """Distinct (user_id, category, label) over the tags of the liked items."""
     tags = catalog.select(
         "item_id",
         F.explode(
@@ -161,7 +160,7 @@ def liked_features(liked: DataFrame, catalog: DataFrame) -> DataFrame:
             )
         ).alias("t"),
     )
-    return liked.join(tags, "item_id").select("request_id", "t.category", "t.label").distinct()
+    return liked.join(tags, "item_id").select("user_id", "t.category", "t.label").distinct()
 
 
 def explain_by_features(
@@ -176,13 +175,13 @@ def explain_by_features(
     first = F.slice("labels", 1, MAX_FEATURES)
     labels = scored.join(split_labels(feature_hints(catalog)).select("item_id", first.alias("labels")), "item_id", "left")
     in_store = liked.join(vectors.select("item_id"), "item_id", "left_semi")
-    comparable = in_store.select("request_id").distinct().withColumn("has_liked", F.lit(True))
+    comparable = in_store.select("user_id").distinct().withColumn("has_liked", F.lit(True))
     similar = liked_similarities(ranked, liked, vectors, liked_rows=liked_rows)
     best = similar.filter("place = 0").select("request_id", "rank", F.col("sim").alias("best_sim"))
     shared = liked_features(_with_similarity(in_store, vectors), catalog).withColumn("shared", F.lit(True))
     exploded = labels.select(
-        "request_id", "rank", F.posexplode("labels").alias("at", "l")
-    ).select("request_id", "rank", "at", "l.*")
+        "request_id", "user_id", "rank", F.posexplode("labels").alias("at", "l")
+    ).select("request_id", "user_id", "rank", "at", "l.*")
     # Similarity and score thresholds of the influence rules.
     sim = F.coalesce("best_sim", F.lit(0.0))
     influence = (
@@ -192,9 +191,9 @@ def explain_by_features(
         .otherwise("neutral")
     )
     marked = (
-        exploded.join(shared, ["request_id", "category", "label"], "left")
+        exploded.join(shared, ["user_id", "category", "label"], "left")
         .join(best, ["request_id", "rank"], "left")
-        .join(comparable, "request_id", "left")
+        .join(comparable, "user_id", "left")
         .groupBy("request_id", "rank")
         .agg(
             F.array_sort(

@@ -17,22 +17,22 @@ MAX_REFERENCES = 3
 def liked_similarities(
     ranked: DataFrame, liked: DataFrame, vectors: DataFrame, *, liked_rows: int | None = None
 ) -> DataFrame:
-    """The best similarities of every ranked item to the liked items of its request.
+    """The best similarities of every ranked item to the liked items of its user.
 
-    ``ranked``: request_id, rank, item_id. ``liked``: request_id, item_id, pos.
-    ``vectors``: item_id, vector. Returns request_id, rank, liked_id, pos, sim,
-    place (0 = most similar) and n, the number of comparable liked items; per
-    result only the first ``rank + 3`` places, which is all the explanation rules
-    can refer to. Items without a vector or with a zero vector do not compare.
+    ``ranked``: request_id, user_id, rank, item_id. ``liked``: user_id, item_id,
+    pos. ``vectors``: item_id, vector. Returns request_id, rank, liked_id, pos,
+    sim, place (0 = most similar) and n, the number of comparable liked items;
+    per result only the first ``rank + 3`` places, which is all the explanation
+    rules can refer to. Items without a vector or with a zero vector do not
+    compare. Requests of one user that share a result share its comparison.
     """
     known = vectors.select("item_id", "vector")
-    left = ranked.select("request_id", "rank", "item_id").join(known, "item_id")
-    right = liked.select("request_id", "item_id", "pos").join(known, "item_id")
+    results = ranked.groupBy("user_id", "item_id").agg(F.max("rank").alias("rank"))
+    left = results.join(known, "item_id")
+    right = liked.select("user_id", "item_id", "pos").join(known, "item_id")
     total = liked.count() if liked_rows is None else liked_rows
-    left, right = keyed_cells(
-        left, right, ["request_id"], ["rank"], ["item_id"], total_rows=total
-    )
-    id_type = ranked.schema["request_id"].dataType.simpleString()
+    left, right = keyed_cells(left, right, ["user_id"], ["item_id"], ["item_id"], total_rows=total)
+    user_type = ranked.schema["user_id"].dataType.simpleString()
     item_type = liked.schema["item_id"].dataType.simpleString()
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -42,7 +42,7 @@ def liked_similarities(
         pos = right.column("pos").to_numpy()
         ids = right.column("item_id").to_numpy()
         out = {"left": [], "right": [], "sim": [], "n": []}
-        for mine, theirs in iter_cells(left, right, ["request_id"]):
+        for mine, theirs in iter_cells(left, right, ["user_id"]):
             mine, theirs = mine[result_norms[mine] > 0], theirs[target_norms[theirs] > 0]
             if not len(mine) or not len(theirs):
                 continue
@@ -63,8 +63,8 @@ def liked_similarities(
         }
         return pa.table(
             {
-                "request_id": left.column("request_id").take(pa.array(at["left"])),
-                "rank": left.column("rank").take(pa.array(at["left"])),
+                "user_id": left.column("user_id").take(pa.array(at["left"])),
+                "item_id": left.column("item_id").take(pa.array(at["left"])),
                 "liked_id": right.column("item_id").take(pa.array(at["right"])),
                 "pos": right.column("pos").take(pa.array(at["right"])),
                 "sim": pa.array(at["sim"], pa.float64()),
@@ -77,13 +77,19 @@ def liked_similarities(
         right,
         ["_b"],
         compare,
-        f"request_id {id_type}, rank int, liked_id {item_type}, pos int, sim double, n bigint",
+        f"user_id {user_type}, item_id {item_type}, liked_id {item_type}, pos int, sim double, n bigint",
     )
-    result = Window.partitionBy("request_id", "rank")
+    result = Window.partitionBy("user_id", "item_id")
     best = result.orderBy(F.col("sim").desc(), "pos", "liked_id")
-    return found.withColumns(
+    placed = found.withColumns(
         {"place": (F.row_number().over(best) - 1).cast("int"), "n": F.sum("n").over(result)}
-    ).filter(F.col("place") < F.col("rank") + MAX_REFERENCES)
+    )
+    return (
+        ranked.select("request_id", "user_id", "rank", "item_id")
+        .join(placed, ["user_id", "item_id"])
+        .filter(F.col("place") < F.col("rank") + MAX_REFERENCES)
+        .select("request_id", "rank", "liked_id", "pos", "sim", "place", "n")
+    )
 
 
 def rotated(similarities: DataFrame, limit: int = MAX_REFERENCES) -> DataFrame:

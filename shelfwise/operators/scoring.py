@@ -104,6 +104,45 @@ def top_items(
     return rank_items(best).filter(F.col("rank") < F.col("n_results")).drop("n_results")
 
 
+def similarity_summary(queries: DataFrame, items: DataFrame, *, n_queries: int | None = None) -> DataFrame:
+    """Per query: number of items compared and their lowest, mean and highest cosine.
+
+    Every pair is compared, inside a cell; only one row per query leaves a cell.
+    """
+    grid = plan_grid(queries, queries.count() if n_queries is None else n_queries, items.count())
+    left = spread_left(queries.select("query_id", "vector"), grid, "query_id")
+    right = spread_right(items.select("item_id", "vector"), grid, "item_id")
+    id_type = queries.schema["query_id"].dataType.simpleString()
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        if right.num_rows == 0:
+            left = left.slice(0, 0)
+        targets, _ = unit_rows(matrix(right.column("vector")))
+        sources, _ = unit_rows(matrix(left.column("vector")))
+        step = max(1, _CHUNK_CELLS // max(1, len(targets)))
+        parts = [sources[at : at + step] @ targets.T for at in range(0, len(sources), step)]
+        fold = lambda f: pa.array(np.concatenate([f(p) for p in parts]) if parts else np.zeros(0), pa.float64())
+        return pa.table(
+            {
+                "query_id": left.column("query_id"),
+                "n": pa.array(np.full(left.num_rows, len(targets)), pa.int64()),
+                "total": fold(lambda p: p.sum(axis=1)),
+                "low": fold(lambda p: p.min(axis=1)),
+                "high": fold(lambda p: p.max(axis=1)),
+            }
+        )
+
+    cells = cogroup_cells(
+        left, right, ["_l", "_r"], compare, f"query_id {id_type}, n bigint, total double, low double, high double"
+    )
+    return cells.groupBy("query_id").agg(
+        F.sum("n").alias("n_items"),
+        F.min("low").alias("min_similarity"),
+        (F.sum("total") / F.sum("n")).alias("mean_similarity"),
+        F.max("high").alias("max_similarity"),
+    )
+
+
 def rank_items(scored: DataFrame, by: str = "query_id") -> DataFrame:
     """0-based rank by score, best first, equal scores by item id."""
     order = Window.partitionBy(by).orderBy(F.col("score").desc(), F.col("item_id"))
