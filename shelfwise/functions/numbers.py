@@ -39,7 +39,9 @@ def l2_norm(vector: Column) -> Column:
 def l2_normalize(vector: Column) -> Column:
     """Unit-length vector; a zero vector is returned unchanged."""
     norm = l2_norm(vector)
-    return F.transform(vector, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
+    # the divisor is computed once and attached to every element
+    divisor = F.array_repeat(F.when(norm == 0, F.lit(1.0)).otherwise(norm), F.size(vector))
+    return F.zip_with(vector, divisor, lambda x, d: x / d)
 
 
 def cosine(left: Column, right: Column) -> Column:

@@ -83,17 +83,33 @@ def drop_stopwords(words: Column, stopwords: Iterable[str]) -> Column:
     return F.filter(words, lambda word: ~word.isin(lowered))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ngrams(words: Column, low: int = 1, high: int = 2) -> Column:
     """Token n-grams: unigrams first when ``low`` is 1, then each larger size."""
     low = max(1, low)
     high = max(low, high)
-    parts = [words] if low == 1 else []
-    for size in range(max(2, low), high + 1):
-        starts = F.when(
-            F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1))
-        ).otherwise(F.array().cast("array<int>"))
-        parts.append(F.transform(starts, lambda at, n=size: F.array_join(F.slice(words, at, n), " ")))
-    return F.concat(*parts)
+
+    def build(tokens: Column) -> Column:
+        count = F.size(tokens)
+        parts = [tokens] if low == 1 else []
+        grams = tokens
+        for size in range(2, high + 1):
+            # extend each gram of the previous size by the token that follows it
+            fits = F.greatest(count - (size - 1), F.lit(0))
+            grams = F.zip_with(
+                F.slice(grams, 1, fits),
+                F.slice(tokens, size, fits),
+                lambda gram, token: F.concat(gram, F.lit(" "), token),
+            )
+            if size >= low:
+                parts.append(grams)
+        return F.concat(*parts)
+
+    return let(words, build)
 
 
 def token_text(
@@ -138,9 +154,9 @@ def clean_tag_list(values: Column) -> Column:
 
 def match_vocabulary(label: Column, vocabulary: Sequence[str]) -> Column:
     """Vocabulary terms contained in the label, vocabulary order; else the label."""
-    lowered = F.lower(label)
-    found = F.filter(F.array(*[F.lit(term) for term in vocabulary]), lambda t: F.contains(lowered, t))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(label))
+    terms = F.array(*[F.lit(term) for term in vocabulary])
+    found = let(F.lower(label), lambda lowered: F.filter(terms, lambda term: F.contains(lowered, term)))
+    return let(found, lambda matches: F.when(F.size(matches) > 0, matches).otherwise(F.array(label)))
 
 
 def any_tag_startswith(tags: Column, prefixes: Sequence[str] | None) -> Column | None:

@@ -96,22 +96,24 @@ class FilterStep:
     name: str
     value: float
     keep: Column
-    threshold: Column
+    threshold: float | None = None
     override: Column | None = None
-    owned_threshold: Column | None = None
+    owned_threshold: float | None = None
 
 
-def _quantile(df: DataFrame, column: str, q: float) -> Column:
-    """Nearest quantile (null counted as 0) as a scalar subquery; 0 on no rows."""
+def _quantile(df: DataFrame, column: str, q: float) -> float:
+    """Nearest quantile with null counted as 0; 0 on no rows. A single number."""
     filled = df.select(F.coalesce(F.col(column), F.lit(0)).alias("x"))
-    return F.coalesce(
-        order_statistics(filled, [], "x", {"t": nearest_rank(q)}).select("t").scalar(), F.lit(0.0)
-    )
+    row = order_statistics(filled, [], "x", {"t": nearest_rank(q)}).select("t").first()
+    return row["t"] if row is not None else 0.0
 
 
 def filter_steps(df: DataFrame, filters: CatalogFilters) -> list[FilterStep]:
-    """The catalog filters in order; thresholds depend on the rows kept before."""
-    none = F.lit(None).cast("double")
+    """The catalog filters in order.
+
+    A quantile threshold depends on the rows kept before it, so each is computed
+    here, as a number the scan can filter by.
+    """
     steps: list[FilterStep] = []
     current = df
 
@@ -122,7 +124,7 @@ def filter_steps(df: DataFrame, filters: CatalogFilters) -> list[FilterStep]:
 
     if filters.max_year is not None:
         year = F.col("year_published")
-        add(FilterStep("max_year", filters.max_year, year.isNull() | (year <= filters.max_year), none))
+        add(FilterStep("max_year", filters.max_year, year.isNull() | (year <= filters.max_year)))
     ratings = F.coalesce(F.col("num_user_ratings"), F.lit(0))
     if filters.min_popularity_quantile > 0:
         cut = _quantile(current, "num_user_ratings", filters.min_popularity_quantile)
@@ -138,12 +140,12 @@ def filter_steps(df: DataFrame, filters: CatalogFilters) -> list[FilterStep]:
         keep = F.coalesce(F.col("avg_rating") >= filters.min_avg_rating, F.lit(False))
         if override is not None:
             keep = keep | override
-        add(FilterStep("min_avg_rating", filters.min_avg_rating, keep, none, override, owned_cut))
+        add(FilterStep("min_avg_rating", filters.min_avg_rating, keep, None, override, owned_cut))
     for name, column, bound in (
         ("max_required_players", "min_players", filters.max_required_players),
         ("max_playing_time_minutes", "playing_time_minutes", filters.max_playing_time),
     ):
-        add(FilterStep(name, bound, F.col(column).isNull() | (F.col(column) <= bound), none))
+        add(FilterStep(name, bound, F.col(column).isNull() | (F.col(column) <= bound)))
     return steps
 
 
@@ -175,14 +177,13 @@ def filter_report(df: DataFrame, filters: CatalogFilters) -> DataFrame:
                 F.lit(at).alias("step"),
                 F.lit(step.name).alias("name"),
                 F.lit(float(step.value)).alias("value"),
-                step.threshold.alias("threshold"),
+                F.lit(step.threshold).cast("double").alias("threshold"),
                 n_before.alias("before_rows"),
                 n_after.alias("after_rows"),
                 (n_before - n_after).alias("removed"),
                 F.when(n_before > 0, (n_before - n_after) / n_before).otherwise(0.0).alias("removal_rate"),
                 by_override.alias("kept_by_override"),
-                (step.owned_threshold if step.owned_threshold is not None else F.lit(None).cast("double"))
-                .alias("owned_threshold"),
+                F.lit(step.owned_threshold).cast("double").alias("owned_threshold"),
             )
         )
     return df.select(*flags).agg(*totals).select(F.explode(F.array(*rows)).alias("r")).select("r.*")

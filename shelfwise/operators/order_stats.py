@@ -45,6 +45,9 @@ def order_statistics(
 
     Null values are ignored; groups without values do not appear.
     """
+    if not by:
+        whole = order_statistics(df.withColumn("_g", F.lit(0)), ["_g"], value, ranks)
+        return whole.drop("_g")
     by = list(by)
     counted = (
         df.select(*by, F.col(value).cast("double").alias("_v"))
@@ -87,13 +90,10 @@ def order_statistics(
 
 def _within(counted: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
     """Counted values inside each target's current range."""
-    if by:
-        joined = counted.join(targets, list(by))
-    else:
-        # one target row per statistic: attach them all as a small array literal
-        packed = targets.agg(F.collect_list(F.struct("n", "_lo", "_hi", "_stat", "_k")))
-        joined = counted.withColumn("_t", F.explode(packed.scalar())).select("_v", "_c", "_t.*")
-    return joined.filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    if list(by) == ["_g"]:
+        # ungrouped: one target row per statistic, so the values need not move
+        targets = F.broadcast(targets)
+    return counted.join(targets, list(by)).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
 
 
 def _narrow(counted: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
