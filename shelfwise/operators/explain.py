@@ -102,21 +102,22 @@ def explain_by_references(
     )
 
 
+def _tagged(column: str, category: str) -> Column:
+    """Labels of a tag list with their category; a null list is empty."""
+    return F.transform(
+        F.coalesce(F.col(column), F.array().cast("array<string>")),
+        lambda label: F.struct(label.alias("label"), F.lit(category).alias("category")),
+    )
+
+
 def feature_hints(catalog: DataFrame) -> DataFrame:
     """item_id, hints: distinct (label, category) pairs, mechanics, themes, then genre.
 
     An item without any tag offers its title as a theme.
     """
-
-    def tagged(column: str, category: str) -> Column:
-        return F.transform(
-            F.coalesce(F.col(column), F.array().cast("array<string>")),
-            lambda label: F.struct(label.alias("label"), F.lit(category).alias("category")),
-        )
-
     hints = F.array_distinct(
         F.filter(
-            F.concat(tagged("mechanics", "mechanic"), tagged("themes", "theme"), tagged("genre", "genre")),
+            F.concat(_tagged("mechanics", "mechanic"), _tagged("themes", "theme"), _tagged("genre", "genre")),
             lambda h: h["label"] != "",
         )
     )
@@ -146,20 +147,8 @@ def split_labels(hints: DataFrame) -> DataFrame:
 
 def liked_features(liked: DataFrame, catalog: DataFrame) -> DataFrame:
     """Distinct (user_id, category, label) over the tags of the liked items."""
-    tags = catalog.select(
-        "item_id",
-        F.explode(
-            F.concat(
-                *[
-                    F.transform(
-                        F.coalesce(F.col(column), F.array().cast("array<string>")),
-                        lambda label, c=category: F.struct(F.lit(c).alias("category"), label.alias("label")),
-                    )
-                    for column, category in (("mechanics", "mechanic"), ("themes", "theme"), ("genre", "genre"))
-                ]
-            )
-        ).alias("t"),
-    )
+    labels = F.concat(_tagged("mechanics", "mechanic"), _tagged("themes", "theme"), _tagged("genre", "genre"))
+    tags = catalog.select("item_id", F.explode(labels).alias("t"))
     return liked.join(tags, "item_id").select("user_id", "t.category", "t.label").distinct()
 
 

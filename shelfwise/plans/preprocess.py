@@ -53,13 +53,7 @@ def quality_report(
     }
 
 
-def report_document(report: dict[str, DataFrame]) -> DataFrame:
-    """One JSON text row per report section (each section is a handful of rows)."""
-    parts = []
-    for section, table in report.items():
-        rows = F.sort_array(F.collect_list(F.struct(*table.columns)))
-        parts.append(table.agg(F.to_json(rows).alias("body")).select(F.lit(section).alias("section"), "body"))
-    document = parts[0]
-    for part in parts[1:]:
-        document = document.unionByName(part)
-    return document
+def report_section(table: DataFrame) -> DataFrame:
+    """A section (a handful of rows) as one JSON text row."""
+    rows = F.sort_array(F.collect_list(F.struct(*table.columns)))
+    return table.agg(F.to_json(rows).alias("body"))

@@ -117,7 +117,10 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def write_report(document: DataFrame, path: str) -> str:
-    """JSON lines, one per report section."""
-    document.coalesce(1).write.mode("overwrite").json(path)
+def write_report(report: dict[str, DataFrame], path: str) -> str:
+    """One JSON file per report section, written section by section."""
+    from shelfwise.plans.preprocess import report_section
+
+    for section, table in report.items():
+        report_section(table).coalesce(1).write.mode("overwrite").json(f"{path}/section={section}")
     return path

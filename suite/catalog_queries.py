@@ -13,7 +13,7 @@ from shelfwise.operators import search as S
 from shelfwise.operators import sessions as X
 from shelfwise.operators.order_stats import nearest_rank, order_statistics
 from shelfwise.operators.text_features import feature_schema, finite_check, standardize
-from shelfwise.plans.preprocess import filtered_catalog, quality_report, report_document
+from shelfwise.plans.preprocess import filtered_catalog, quality_report
 from shelfwise.plans.train import narrow_embedding, widen_embedding
 from shelfwise.session import widen, work_folder
 from shelfwise.sources import files, stores
@@ -419,8 +419,8 @@ def quality_report_json(fx):
     tokens = widen(filtered.select("item_id", "description"), "item_id").select(
         "item_id", T.token_text(F.col("description")).alias("text_description_tokens")
     )
-    document = report_document(quality_report(items, filtered, tokens, _PREP))
-    return fx.spark.read.json(files.write_report(document, f"{folder}/json"))
+    report = quality_report(items, filtered, tokens, _PREP)
+    return fx.spark.read.json(files.write_report(report, f"{folder}/json")).select("section", "body")
 
 
 # ---- records ------------------------------------------------------------------
