@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 from shelfwise.functions.text import match_vocabulary
 from shelfwise.functions.vocabulary import MECHANICS, THEMES
 from shelfwise.operators.references import MAX_REFERENCES, liked_similarities, rotated
+from shelfwise.session import cut_lineage
 
 MAX_FEATURES = 3
 
 
+def _stored(ranked: DataFrame, stored: bool) -> DataFrame:
+    """The result lists are read several times, so they are computed once and stored."""
+    return ranked if stored else cut_lineage(ranked.select("request_id", "user_id", "rank", "item_id", "score"))
+
+
 def with_top_score(ranked: DataFrame) -> DataFrame:
     """Add ``top``, the score of the first result of the same request."""
     top = F.max(F.when(F.col("rank") == 0, F.col("score"))).over(Window.partitionBy("request_id"))
@@ -32,7 +38,13 @@ def _replace_last(entries: Column, condition: Column, influence: str) -> Column:
 
 
 def explain_by_references(
-    ranked: DataFrame, liked: DataFrame, vectors: DataFrame, names: DataFrame, *, liked_rows: int | None = None
+    ranked: DataFrame,
+    liked: DataFrame,
+    vectors: DataFrame,
+    names: DataFrame,
+    *,
+    liked_rows: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Per result up to three liked items with their influence.
 
@@ -40,6 +52,7 @@ def explain_by_references(
     item_id, pos. ``vectors``: item_id, vector. ``names``: item_id, name. Returns
     request_id, rank, item_id, references(array of liked_id, title, influence).
     """
+    ranked = _stored(ranked, stored)
     scored = with_top_score(ranked)
     shown = rotated(liked_similarities(ranked, liked, vectors, liked_rows=liked_rows))
     in_store = liked.join(vectors.select("item_id"), "item_id", "left_semi")
@@ -153,13 +166,20 @@ def liked_features(liked: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def explain_by_features(
-    ranked: DataFrame, liked: DataFrame, vectors: DataFrame, catalog: DataFrame, *, liked_rows: int | None = None
+    ranked: DataFrame,
+    liked: DataFrame,
+    vectors: DataFrame,
+    catalog: DataFrame,
+    *,
+    liked_rows: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Per result up to three feature labels with their influence.
 
     Returns request_id, rank, item_id, features(array of label, category,
     influence); a result missing from the catalog gets an empty list.
     """
+    ranked = _stored(ranked, stored)
     scored = with_top_score(ranked)
     first = F.slice("labels", 1, MAX_FEATURES)
     labels = scored.join(split_labels(feature_hints(catalog)).select("item_id", first.alias("labels")), "item_id", "left")
@@ -237,9 +257,11 @@ def explain_by_group(
         "study_group",
         F.when(F.col("study_group").isin("features", "references"), F.col("study_group")).otherwise(unknown),
     )
+    checked = cut_lineage(checked)
     mine = lambda group: checked.filter(F.col("study_group") == group).drop("study_group")
-    by_reference = explain_by_references(mine("references"), liked, vectors, named, liked_rows=liked_rows)
-    by_feature = explain_by_features(mine("features"), liked, vectors, catalog, liked_rows=liked_rows)
+    known = {"liked_rows": liked.count() if liked_rows is None else liked_rows, "stored": True}
+    by_reference = explain_by_references(mine("references"), liked, vectors, named, **known)
+    by_feature = explain_by_features(mine("features"), liked, vectors, catalog, **known)
     return by_reference.withColumn("type", F.lit("references")).unionByName(
         by_feature.withColumn("type", F.lit("features")), allowMissingColumns=True
     )
