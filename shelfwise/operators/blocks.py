@@ -127,9 +127,9 @@ def iter_cells(
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """A list column as a two-dimensional float array."""
-    values = pa.concat_arrays([chunk.flatten() for chunk in column.chunks]) if column.num_chunks else None
-    if values is None or len(column) == 0:
+    if len(column) == 0:
         return np.zeros((0, 0))
+    values = pa.concat_arrays([chunk.flatten() for chunk in column.chunks if len(chunk)])
     return values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 

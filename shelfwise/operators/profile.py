@@ -27,6 +27,13 @@ def _long(df: DataFrame, columns: Sequence[str], as_type: str) -> DataFrame:
     return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
 
 
+def _complete(profile: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A row per column even when there are no rows to profile: all zeros."""
+    wanted = profile.sparkSession.createDataFrame([(name,) for name in columns], "column string")
+    zeros = {name: F.coalesce(name, F.lit(0).cast(kind)) for name, kind in profile.dtypes if name != "column"}
+    return wanted.join(profile, "column", "left").withColumns(zeros)
+
+
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: value count and linear-interpolation median."""
     stats = order_statistics(
@@ -48,13 +55,16 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.stddev_pop("value").alias("std"),
         )
     )
-    zero = F.lit(0.0)
-    return basics.join(medians(df, columns).select("column", "median"), "column", "left").select(
+    profile = basics.join(medians(df, columns).select("column", "median"), "column", "left").select(
         "column",
         "non_null",
         (F.col("non_null") / F.col("_rows")).alias("coverage"),
-        *[F.coalesce(F.col(name), zero).alias(name) for name in ("min", "max", "median", "std")],
+        "min",
+        "max",
+        "median",
+        "std",
     )
+    return _complete(profile, columns)
 
 
 def text_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -68,7 +78,7 @@ def text_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.avg("length").alias("avg_length"),
     )
     tail = order_statistics(lengths, ["column"], "length", {"p95_length": higher_rank(0.95)})
-    return basics.join(tail.select("column", "p95_length"), "column", "left")
+    return _complete(basics.join(tail.select("column", "p95_length"), "column", "left"), columns)
 
 
 def categorical_profile(df: DataFrame, columns: Sequence[str], *, approximate: bool = False) -> DataFrame:
@@ -76,11 +86,12 @@ def categorical_profile(df: DataFrame, columns: Sequence[str], *, approximate: b
     values = _long(df, columns, "string").select("column", F.trim(F.coalesce("value", F.lit(""))).alias("value"))
     filled = F.when(F.col("value") != "", F.col("value"))
     distinct = F.approx_count_distinct(filled) if approximate else F.count_distinct(filled)
-    return values.groupBy("column").agg(
+    profile = values.groupBy("column").agg(
         F.count(filled).alias("non_empty"),
         (F.count(filled) / F.count(F.lit(1))).alias("coverage"),
         distinct.alias("distinct"),
     )
+    return _complete(profile, columns)
 
 
 def latency_summary(df: DataFrame, by: Sequence[str], millis: str, *, slow_ms: float = SLOW_MS) -> DataFrame:

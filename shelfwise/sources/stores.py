@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators.sessions import latest_by_key
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
@@ -25,7 +25,7 @@ def append_changes(changes: DataFrame, path: str, batch: int) -> None:
 
 def current(spark: SparkSession, path: str, keys: Sequence[str], *, before: int | None = None) -> DataFrame | None:
     """Newest version of every key, optionally as it was before a batch; None if empty."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return None
     rows = spark.read.parquet(path)
     if before is not None:
@@ -60,14 +60,14 @@ def latest_run(manifest: DataFrame) -> DataFrame:
 def load_run(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
     """Vectors of a run (default: the latest), with ``norm``; an empty run is an error."""
     if run_id is None:
-        if not _exists(spark, f"{root}/manifest"):
+        if not exists(spark, f"{root}/manifest"):
             raise FileNotFoundError(f"no embedding runs at {root}")
         row = latest_run(spark.read.parquet(f"{root}/manifest")).first()
         if row is None:
             raise FileNotFoundError(f"no complete embedding run at {root}")
         run_id = row["run_id"]
     path = f"{root}/vectors/run_id={run_id}"
-    if not _exists(spark, path):
+    if not exists(spark, path):
         raise FileNotFoundError(f"embedding run not found at {path}")
     return validated_vectors(spark.read.parquet(path))
 

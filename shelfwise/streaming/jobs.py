@@ -16,7 +16,7 @@ from shelfwise.operators.catalog import accepted, normalize_records
 from shelfwise.operators.search import current_metadata
 from shelfwise.operators.sessions import register
 from shelfwise.operators.wishlist import last_actions, wishlist_state
-from shelfwise.sources.stores import append_changes, current
+from shelfwise.sources.stores import append_changes, current, exists
 
 # Events may arrive this much later than the newest event of their stream.
 LATENESS_SECONDS = 600
@@ -80,7 +80,7 @@ def _pending(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | Non
 
 
 def _horizon(spark: SparkSession, folder: str, batch_id: int):
-    if batch_id == 0:
+    if not exists(spark, f"{folder}/horizon"):
         return None
     rows = spark.read.parquet(f"{folder}/horizon").filter(F.col("batch") < batch_id)
     return rows.agg(F.max("horizon")).first()[0]
