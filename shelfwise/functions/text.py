@@ -154,7 +154,8 @@ def clean_tag_list(values: Column) -> Column:
 
 def match_vocabulary(label: Column, vocabulary: Sequence[str]) -> Column:
     """Vocabulary terms contained in the label, vocabulary order; else the label."""
-    terms = F.array(*[F.lit(term) for term in vocabulary])
+    # a constant array, folded once by the optimizer
+    terms = F.split(F.lit("\u0001".join(vocabulary)), "\u0001")
     found = let(F.lower(label), lambda lowered: F.filter(terms, lambda term: F.contains(lowered, term)))
     return let(found, lambda matches: F.when(F.size(matches) > 0, matches).otherwise(F.array(label)))
 

@@ -11,16 +11,26 @@ from shelfwise.functions.text import missing_message
 from shelfwise.operators.blocks import cogroup_cells, plan_grid, spread_left, spread_right
 
 SUGGESTIONS = 3
+PART_CELLS = 1_000_000
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the texts, padded into one matrix, and their lengths."""
-    points = [np.fromiter(map(ord, text), np.int32, len(text)) for text in texts]
-    lengths = np.array([len(point) for point in points], dtype=np.int64)
-    out = np.full((len(texts), int(lengths.max(initial=0))), -1, dtype=np.int32)
+def _codes(points: list[np.ndarray]) -> np.ndarray:
+    """Code points of some texts, padded into one matrix."""
+    out = np.full((len(points), max((len(point) for point in points), default=0)), -1, dtype=np.int32)
     for row, point in enumerate(points):
         out[row, : len(point)] = point
-    return out, lengths
+    return out
+
+
+def _parts(lengths: np.ndarray):
+    """Cut a visit into parts whose padded matrices stay small, however long a name is."""
+    begin = 0
+    while begin < len(lengths):
+        size = 2048
+        while size > 1 and size * (lengths[begin : begin + size].max() + 1) > PART_CELLS:
+            size //= 2
+        yield slice(begin, begin + size)
+        begin += size
 
 
 def edit_distances(text: str, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -64,18 +74,20 @@ def nearest_names(
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("item_id")
-        codes, lengths = _codes(right.column("lowered").to_pylist())
+        points = [np.fromiter(map(ord, text), np.int32, len(text)) for text in right.column("lowered").to_pylist()]
+        lengths = np.array([len(point) for point in points], dtype=np.int64)
         rows, columns, distances = [], [], []
         for row, text in enumerate(left.column("lowered").to_pylist()):
             gap = np.abs(lengths - len(text))
             visit = np.argsort(gap, kind="stable")
             best_at, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for begin in range(0, len(visit), 2048):
-                part = visit[begin : begin + 2048]
+            for cut in _parts(lengths[visit]):
+                part = visit[cut]
                 if len(best) == limit and gap[part[0]] > best[-1]:
                     break
                 at = np.concatenate([best_at, part])
-                found = np.concatenate([best, edit_distances(text, codes[part], lengths[part])])
+                codes = _codes([points[name] for name in part])
+                found = np.concatenate([best, edit_distances(text, codes, lengths[part])])
                 order = np.lexsort((at, found))[:limit]
                 best_at, best = at[order], found[order]
             rows.extend([row] * len(best))

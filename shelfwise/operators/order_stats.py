@@ -39,14 +39,16 @@ UPPER_MIDDLE: RankRule = lambda n: F.ceil((n - 1) / F.lit(2))
 
 
 def order_statistics(
-    df: DataFrame, by: Sequence[str], value: str, ranks: Mapping[str, RankRule]
+    df: DataFrame, by: Sequence[str], value: str, ranks: Mapping[str, RankRule], *, few_groups: bool = False
 ) -> DataFrame:
     """One row per group with ``n`` and the value at each named 0-based rank.
 
-    Null values are ignored; groups without values do not appear.
+    Null values are ignored; groups without values do not appear. ``few_groups``
+    says that the groups are known to be few (such as one per column): their
+    ranges are then broadcast and the counted values need not move by group.
     """
     if not by:
-        whole = order_statistics(df.withColumn("_g", F.lit(0)), ["_g"], value, ranks)
+        whole = order_statistics(df.withColumn("_g", F.lit(0)), ["_g"], value, ranks, few_groups=True)
         return whole.drop("_g")
     by = list(by)
     counted = (
@@ -74,11 +76,11 @@ def order_statistics(
     ).select(*by, "n", "_lo", "_hi", "_t.*")
 
     for _ in range(LEVELS):
-        targets = _narrow(counted, targets, by)
+        targets = _narrow(counted, targets, by, few_groups)
 
     order = Window.partitionBy(*by, "_stat").orderBy("_v")
     picked = (
-        _within(counted, targets, by)
+        _within(counted, targets, by, few_groups)
         .withColumn("_cum", F.sum("_c").over(order))
         .filter((F.col("_cum") > F.col("_k")) & (F.col("_cum") - F.col("_c") <= F.col("_k")))
     )
@@ -88,19 +90,18 @@ def order_statistics(
     )
 
 
-def _within(counted: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Counted values inside each target's current range."""
-    if list(by) == ["_g"]:
-        # ungrouped: one target row per statistic, so the values need not move
+def _within(counted: DataFrame, targets: DataFrame, by: Sequence[str], few_groups: bool) -> DataFrame:
+    """Counted values inside each target's current range (one target per group and statistic)."""
+    if few_groups:
         targets = F.broadcast(targets)
     return counted.join(targets, list(by)).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
 
 
-def _narrow(counted: DataFrame, targets: DataFrame, by: Sequence[str]) -> DataFrame:
+def _narrow(counted: DataFrame, targets: DataFrame, by: Sequence[str], few_groups: bool) -> DataFrame:
     width = (F.col("_hi") - F.col("_lo")) / BUCKETS
     slot = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(BUCKETS - 1)))
     buckets = (
-        _within(counted, targets, by)
+        _within(counted, targets, by, few_groups)
         .withColumn("_b", F.coalesce(slot, F.lit(0)))
         .groupBy(*by, "_stat", "n", "_k", "_b")
         .agg(F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))

@@ -29,7 +29,8 @@ def _long(df: DataFrame, columns: Sequence[str], as_type: str) -> DataFrame:
 
 def _complete(profile: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A row per column even when there are no rows to profile: all zeros."""
-    wanted = profile.sparkSession.createDataFrame([(name,) for name in columns], "column string")
+    listed = F.explode(F.array(*[F.lit(name) for name in columns]))
+    wanted = profile.sparkSession.range(1).select(listed.alias("column"))
     zeros = {name: F.coalesce(name, F.lit(0).cast(kind)) for name, kind in profile.dtypes if name != "column"}
     return wanted.join(profile, "column", "left").withColumns(zeros)
 
@@ -37,7 +38,7 @@ def _complete(profile: DataFrame, columns: Sequence[str]) -> DataFrame:
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: value count and linear-interpolation median."""
     stats = order_statistics(
-        _long(df, columns, "double"), ["column"], "value", {"_lower": LOWER_MIDDLE, "_upper": UPPER_MIDDLE}
+        _long(df, columns, "double"), ["column"], "value", {"_lower": LOWER_MIDDLE, "_upper": UPPER_MIDDLE}, few_groups=True
     )
     return stats.select("column", "n", ((F.col("_lower") + F.col("_upper")) / 2).alias("median"))
 
@@ -77,7 +78,7 @@ def text_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         (F.count_if(F.col("length") > 0) / F.count(F.lit(1))).alias("coverage"),
         F.avg("length").alias("avg_length"),
     )
-    tail = order_statistics(lengths, ["column"], "length", {"p95_length": higher_rank(0.95)})
+    tail = order_statistics(lengths, ["column"], "length", {"p95_length": higher_rank(0.95)}, few_groups=True)
     return _complete(basics.join(tail.select("column", "p95_length"), "column", "left"), columns)
 
 

@@ -10,6 +10,7 @@ from shelfwise.functions.numbers import study_group
 from shelfwise.operators.explain import explain_by_group
 from shelfwise.operators.sessions import assemble, request_checks
 from shelfwise.plans.recommend import recommend_postfiltered
+from shelfwise.session import cut_lineage
 
 
 def explained_results(
@@ -26,7 +27,8 @@ def explained_results(
     ``liked`` may repeat items per user only for requests that are thereby
     rejected. Requests without any suitable result have no result rows.
     """
-    valid = (
+    # one short row per request, read by every later step
+    valid = cut_lineage(
         request_checks(requests, liked)
         .filter(F.col("reject_reason").isNull())
         .drop("reject_reason")

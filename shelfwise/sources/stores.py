@@ -23,13 +23,26 @@ def append_changes(changes: DataFrame, path: str, batch: int) -> None:
     changes.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def current(spark: SparkSession, path: str, keys: Sequence[str], *, before: int | None = None) -> DataFrame | None:
-    """Newest version of every key, optionally as it was before a batch; None if empty."""
+def current(
+    spark: SparkSession,
+    path: str,
+    keys: Sequence[str],
+    *,
+    before: int | None = None,
+    only: DataFrame | None = None,
+) -> DataFrame | None:
+    """Newest version of every key; None if nothing was ever written.
+
+    ``before`` gives the state as it was before a batch, ``only`` (a table of
+    some key columns) limits the work to matching keys.
+    """
     if not exists(spark, path):
         return None
     rows = spark.read.parquet(path)
     if before is not None:
         rows = rows.filter(F.col("batch") < before)
+    if only is not None:
+        rows = rows.join(only.distinct(), only.columns, "left_semi")
     return latest_by_key(rows, list(keys), "batch").drop("batch")
 
 

@@ -69,8 +69,9 @@ def wishlist_stream(events: DataFrame, folder: str, *, lateness: int = LATENESS_
 
 
 def _apply(spark: SparkSession, ready: DataFrame, folder: str, batch_id: int) -> None:
-    items = current(spark, f"{folder}/items", ["user_id", "item_id"], before=batch_id)
-    sizes = current(spark, f"{folder}/sizes", ["user_id"], before=batch_id)
+    touched = ready.select("user_id")
+    items = current(spark, f"{folder}/items", ["user_id", "item_id"], before=batch_id, only=touched)
+    sizes = current(spark, f"{folder}/sizes", ["user_id"], before=batch_id, only=touched)
     append_changes(wishlist_state(ready, items, sizes), f"{folder}/sizes", batch_id)
     append_changes(last_actions(ready), f"{folder}/items", batch_id)
 
@@ -106,7 +107,9 @@ def registration_stream(arrivals: DataFrame, folder: str) -> StreamingQuery:
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        known = current(spark, f"{folder}/participants", ["participant_id"], before=batch_id)
+        known = current(
+            spark, f"{folder}/participants", ["participant_id"], before=batch_id, only=batch.select("participant_id")
+        )
         if known is None:
             known = spark.createDataFrame([], "participant_id string")
         append_changes(register(known, batch), f"{folder}/participants", batch_id)
@@ -146,7 +149,7 @@ def metadata_stream(updates: DataFrame, folder: str, *, ttl_seconds: int) -> Str
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cached = current(spark, f"{folder}/metadata", ["item_id"], before=batch_id)
+        cached = current(spark, f"{folder}/metadata", ["item_id"], before=batch_id, only=batch.select("item_id"))
         columns = ["item_id", "description", "image_url", "fetched_at"]
         newest = batch.groupBy("item_id").agg(
             F.max_by(F.struct(*columns[1:]), F.col("fetched_at")).alias("u")
