@@ -74,6 +74,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_partitioned(df: DataFrame, *keys: str) -> DataFrame:
+    """Checkpoint hash-partitioned by the keys, so that later joins and groupings by
+    them need no shuffle of this table.
+
+    Adaptive execution is off for this one write: it may merge partitions, after
+    which the planner no longer knows how the rows are placed.
+    """
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut_lineage(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of tasks worth creating for one stage of this session."""
     return max(
