@@ -99,9 +99,10 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def widen(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread an input of fewer partitions than tasks before CPU-heavy row work.
+    """Spread a file scan of fewer partitions than tasks before CPU-heavy row work.
 
-    Large inputs already have enough partitions and are returned unchanged.
+    Large inputs already have enough partitions and are returned unchanged. For
+    plain scans only: asking a plan with shuffles for its partitions would run it.
     """
     wanted = parallelism(df.sparkSession)
     return df.repartition(wanted, *keys) if df.rdd.getNumPartitions() < wanted else df

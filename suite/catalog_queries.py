@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfwise.config import CatalogFilters, Preprocessing
+from shelfwise.config import CatalogFilters, EmbeddingModel, Preprocessing
 from shelfwise.functions import numbers as N
 from shelfwise.functions import text as T
 from shelfwise.operators import catalog as C
@@ -14,7 +14,7 @@ from shelfwise.operators import sessions as X
 from shelfwise.operators.order_stats import nearest_rank, order_statistics
 from shelfwise.operators.text_features import feature_schema, finite_check, standardize
 from shelfwise.plans.preprocess import filtered_catalog, quality_report
-from shelfwise.plans.train import narrow_embedding, widen_embedding
+from shelfwise.plans.train import manifest, widen_embedding
 from shelfwise.session import widen, work_folder
 from shelfwise.sources import files, stores
 from suite.registry import query, r6
@@ -584,10 +584,10 @@ def dataset_status(fx):
 def embedding_load(fx):
     wide = widen_embedding(fx.view("items").withColumnRenamed("vector", "embedding"), 64)
     folder = work_folder(fx.spark, "runs")
-    manifest = wide.agg(F.count(F.lit(1)).alias("row_count")).select(
+    row = wide.agg(F.count(F.lit(1)).alias("row_count")).select(
         F.lit("first").alias("run_id"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), "row_count", F.lit(True).alias("complete")
     )
-    stores.write_run(wide, manifest, folder, "first")
+    stores.write_run(wide, row, folder, "first")
     loaded = stores.load_run(fx.spark, folder)
     v = F.col("embedding")
     return loaded.select(
@@ -595,16 +595,36 @@ def embedding_load(fx):
     )
 
 
-@query("embedding_run_write")
+@query(
+    "embedding_run_write",
+    "SELECT 'second' AS run_id, TIMESTAMP '2024-01-02 00:00:00' AS created_at, count(*) AS row_count, true AS complete FROM embeddings",
+)
 def embedding_run_write(fx):
     wide = widen_embedding(fx.view("items").withColumnRenamed("vector", "embedding"), 64)
     folder = work_folder(fx.spark, "runs")
     for run, moment in (("first", "2024-01-01"), ("second", "2024-01-02")):
-        manifest = wide.agg(F.count(F.lit(1)).alias("row_count")).select(
+        row = wide.agg(F.count(F.lit(1)).alias("row_count")).select(
             F.lit(run).alias("run_id"), F.lit(moment).cast("timestamp").alias("created_at"), "row_count", F.lit(True).alias("complete")
         )
-        stores.write_run(wide, manifest, folder, run)
-    return stores.latest_run(fx.spark.read.parquet(f"{folder}/manifest"))
+        stores.write_run(wide, row, folder, run)
+    newest = stores.latest_run(fx.spark.read.parquet(f"{folder}/manifest"))
+    return newest.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@query(
+    "run_manifest",
+    """SELECT 'run-1' AS run_id, count(*) AS row_count, 64 AS embedding_dimensions, true AS complete,
+              '{"text": ["text_description_tokens"], "categorical": ["cat_mechanics"], "numeric": ["num_owned"]}' AS feature_schema
+       FROM raw_catalog""",
+    "raw_catalog",
+)
+def run_manifest(fx):
+    features = fx.view("raw_catalog").select(
+        "item_id", "name", F.col("description").alias("text_description_tokens"), F.lit("").alias("cat_mechanics"),
+        "num_user_ratings", "num_owned",
+    )
+    row = manifest("run-1", "2024-01-01 00:00:00", features, EmbeddingModel(64), exclude=["num_user_ratings"])
+    return row.select("run_id", "row_count", "embedding_dimensions", "complete", "feature_schema")
 
 
 @query(
