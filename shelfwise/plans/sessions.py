@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,22 @@ from shelfwise.plans.recommend import recommend_postfiltered
 from shelfwise.session import cut_lineage
 
 
+class Ranker(Protocol):
+    """Requests to ranked rows: request columns, item_id, score, rank from 0."""
+
+    def __call__(
+        self, requests: DataFrame, liked: DataFrame, items: DataFrame, catalog: DataFrame, prefs: Preferences
+    ) -> DataFrame: ...
+
+
+class Explainer(Protocol):
+    """Ranked rows to explanations: request_id, rank, item_id, type, references, features."""
+
+    def __call__(
+        self, ranked: DataFrame, groups: DataFrame, liked: DataFrame, vectors: DataFrame, catalog: DataFrame
+    ) -> DataFrame: ...
+
+
 def explained_results(
     requests: DataFrame,
     liked: DataFrame,
@@ -21,6 +39,8 @@ def explained_results(
     prefs: Preferences = SERVICE_PRESET,
     *,
     override: Column | None = None,
+    ranker: Ranker = recommend_postfiltered,
+    explainer: Explainer = explain_by_group,
 ) -> tuple[DataFrame, DataFrame]:
     """(valid requests with their group, explained results of these requests).
 
@@ -35,12 +55,12 @@ def explained_results(
         .withColumn("study_group", study_group(F.col("user_id"), override))
     )
     likes = liked.select("user_id", "item_id").join(valid.select("user_id").distinct(), "user_id", "left_semi")
-    ranked = recommend_postfiltered(valid, likes, items, catalog, prefs).select(
+    ranked = ranker(valid, likes, items, catalog, prefs).select(
         "request_id", "user_id", "rank", "item_id", "score"
     )
     # liked lists are stored in id order
     positioned = likes.withColumn("pos", F.lit(0))
-    explained = explain_by_group(ranked, valid, positioned, items, catalog)
+    explained = explainer(ranked, valid, positioned, items, catalog)
     titled = explained.join(catalog.select("item_id", "title"), "item_id")
     return valid, titled
 
@@ -55,7 +75,11 @@ def generate_sessions(
     model_version: str = "v1",
     prefs: Preferences = SERVICE_PRESET,
     override: Column | None = None,
+    ranker: Ranker = recommend_postfiltered,
+    explainer: Explainer = explain_by_group,
 ) -> DataFrame:
     """One nested session row per valid request that has results."""
-    valid, results = explained_results(requests, liked, items, catalog, prefs, override=override)
+    valid, results = explained_results(
+        requests, liked, items, catalog, prefs, override=override, ranker=ranker, explainer=explainer
+    )
     return assemble(results, valid, model_version=model_version, created_at=created_at)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tomllib
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,6 +118,12 @@ def read_features(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
+def newer_than(source: DataFrame, loaded_at: datetime | None) -> bool:
+    """Was any file of a source changed after the catalog was loaded (or is there no catalog)?"""
+    changed = source.agg(F.max("_metadata.file_modification_time")).first()[0]
+    return changed is not None and (loaded_at is None or changed > loaded_at)
+
+
 def write_report(report: dict[str, DataFrame], path: str) -> str:
     """One JSON file per report section, written section by section."""
     from shelfwise.plans.preprocess import report_section

@@ -86,7 +86,7 @@ def load_run(spark: SparkSession, root: str, run_id: str | None = None) -> DataF
 
 
 def validated_vectors(vectors: DataFrame) -> DataFrame:
-    """Check an embedding table and add the vector length; later duplicates of an id lose."""
+    """Check the columns of an embedding table and add the vector length."""
     from shelfwise.functions.numbers import l2_norm
     from shelfwise.plans.train import narrow_embedding
 

@@ -130,6 +130,9 @@ def test_sessions_end_to_end(spark):
     assert [s["item"]["id"] for s in rows["a"]["recommendations"]] == [2, 3]
     assert rows["e"]["intent"]["num_results"] == 10 and len(rows["e"]["recommendations"]) == 3
     assert rows["a"]["recommendations"][0]["explanation"]["references"][0]["liked_id"] == 1
+    mine = lambda requests, *rest: requests.select("*", F.lit(3).cast("bigint").alias("item_id"), F.lit(1.0).alias("score"), F.lit(0).alias("rank"))
+    other = generate_sessions(asked, liked, store, catalog, created_at=moment, ranker=mine)
+    assert all([s["item"]["id"] for s in r["recommendations"]] == [3] for r in other.collect())
     again = generate_sessions(asked, liked, store, catalog, created_at=moment)
     assert {r["id"] for r in again.collect()} == {r["id"] for r in rows.values()}
     decoded = {r["id"]: r for r in X.decode(X.encode(sessions), moment).collect()}

@@ -88,6 +88,16 @@ def test_source_errors(spark, tmp_path):
         files.read_features(spark, str(tmp_path / "none"))
 
 
+def test_freshness(spark, tmp_path):
+    import datetime
+
+    source = spark.range(3).withColumnRenamed("id", "item_id")
+    stored = files.read_features(spark, files.write_features(source, str(tmp_path / "f")))
+    assert files.newer_than(stored, None)
+    assert files.newer_than(stored, datetime.datetime(2000, 1, 1))
+    assert not files.newer_than(stored, datetime.datetime(2200, 1, 1))
+
+
 def test_word_lists(spark, tmp_path):
     (tmp_path / "stop.txt").write_text("game\n\n  Card \n")
     (tmp_path / "syn.toml").write_text('co-op = ["cooperative"]\nother = 3\n')

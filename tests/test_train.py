@@ -99,6 +99,13 @@ def test_tfidf_by_hand(spark):
     assert X.tfidf(features, ["cat_mechanics"], TextVectorization(min_df=3)).count() == 0
 
 
+def test_real_bigrams_are_terms(spark):
+    features = spark.createDataFrame(FEATURES, SCHEMA)
+    settings = TextVectorization(1, 1.0, l2=False)
+    grams = X.tfidf(features, ["text_description_tokens"], settings, analyzer=X.ngram_terms)
+    assert {r["term"] for r in grams.filter("item_id = 2").collect()} == {"space", "trade", "space trade"}
+
+
 def test_weights_and_roles(spark):
     weights = FeatureWeights()
     names = ["text_description_tokens", "cat_mechanics", "cat_themes", "cat_other", "text_categories"]
