@@ -3,10 +3,11 @@
 import pytest
 from check_oracle import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from suite.all_queries import ORACLES as SQL
+from suite.all_queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-SQL = oracle_sql()
 # Queries whose result may be empty at this scale (too few rows to match).
 MAY_BE_EMPTY = {"search_title", "search_facets", "search_page", "page_after", "liked_missing"}
 
@@ -16,9 +17,9 @@ def db():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
-    df = queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     if name in SQL:
         difference = compare(df, db, SQL[name])
         assert difference is None or (difference == "no rows" and name in MAY_BE_EMPTY), difference
