@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, html_layout, language, pii, token_counts
+from shelfwise.llm import bpe, html_layout, language, line_runs, mixing, pii, quality_cascade, token_counts
 from shelfwise.llm.frames import documents
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
+def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cascade.judge(documents(spark, sf_dir))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir))
 
@@ -20,6 +28,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), WORD_BPE)
 
 
+def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.report(documents(spark, sf_dir))
+
+
 def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_layout.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -35,4 +47,8 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: function for name, function in list(globals().items()) if name.startswith("op") and callable(function)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_mixing": mixing.MIX_SQL,
+    "op3_quality_cascade": quality_cascade.QUALITY_SQL,
+    "op6_line_runs": line_runs.LINES_SQL,
+}
