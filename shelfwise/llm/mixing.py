@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.frames import WORD, pick, quoted
+from shelfwise.llm.frames import WORD, fresh, pick, quoted
 from shelfwise.session import cut_lineage
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -158,9 +158,18 @@ def mix(
 
 
 def with_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` of which the mix takes any word, with all their columns."""
-    taken = mix(docs, id_col, text_col, source_col).filter("taken > 0").select(F.col("doc_id").alias("_taken")).distinct()
-    return docs.join(taken, quoted(id_col).eqNullSafe(F.col("_taken")), "left_semi")
+    """The rows of ``docs`` with all their columns, each as often as the mix takes it: words taken by its size, rounded, at
+    least once where any word is taken and never where none is.
+
+    Rows that share an id are repeated alike, by the words taken from all of them.
+    """
+    taken = mix(docs, id_col, text_col, source_col).filter("taken > 0").groupBy(F.col("doc_id").alias("_taken"))
+    times = F.greatest(F.lit(1), F.round(F.sum("taken") / F.sum("size"))).cast("int")
+    name = fresh(docs, "_times")
+    taken = cut_lineage(taken.agg(times.alias(name)))
+    repeated = docs.join(taken, quoted(id_col).eqNullSafe(F.col("_taken")))
+    copies = repeated.withColumn(name, F.explode(F.sequence(F.lit(1), quoted(name))))
+    return copies.select(*[quoted(column) for column in docs.columns])
 
 
 #: The same mix for unique ids in one piece of SQL.

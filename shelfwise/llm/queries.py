@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, html_layout, language, line_runs, mixing, pii, quality_cascade, token_counts
+from shelfwise.llm import bpe, html_layout, language, line_runs, mixing, pii, quality_cascade, signatures, token_counts, vector_graph
 from shelfwise.llm.frames import documents
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
@@ -32,6 +36,10 @@ def op6_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.report(documents(spark, sf_dir))
 
 
+def op7_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signatures.near_duplicates(documents(spark, sf_dir), words=4)
+
+
 def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_layout.extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
