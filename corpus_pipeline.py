@@ -8,6 +8,7 @@ so the whole is tested against a brute-force version.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shelfwise.llm import bpe, language, line_runs, mixing, signatures
 from shelfwise.llm.queries import WORD_BPE
@@ -20,8 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without runs of lines of 50 words or more that occurred before."""
-    return line_runs.clean(docs)
+    """All documents, without runs of lines of 50 words or more that occurred before; n_chars follows the text."""
+    return line_runs.clean(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
