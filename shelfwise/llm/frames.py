@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import contextlib
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfwise.session import work_folder
+
 #: A word is a longest run of characters other than these blanks (space, tab, line breaks).
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -39,23 +40,26 @@ def long(value) -> Column:
     return F.lit(value).cast("long") if isinstance(value, int) else value.cast("long")
 
 
-def release(*frames: DataFrame | None) -> None:
-    """Delete the checkpoint files of frames that are no longer read.
+def stored(df: DataFrame, *replaced: DataFrame | None) -> DataFrame:
+    """The rows of ``df`` written as Parquet into the shared folder and read again: lineage is cut, and lost executors
+    lose nothing.
 
-    Nothing may read the frames afterwards. Only files in the checkpoint folder are touched.
+    ``replaced`` are stored frames that nothing reads any more; their files are deleted once the new ones exist.
     """
-    for df in frames:
-        if df is None:
-            continue
-        for path in df.inputFiles():
-            if "/rdd-" not in path:
-                return
-        with contextlib.suppress(Exception):
-            rdd = df._jdf.queryExecution().toRdd()
-            file = rdd.getCheckpointFile()
-            if file.isDefined():
-                where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
-                where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+    spark = df.sparkSession
+    path = work_folder(spark, "step")
+    df.write.parquet(path)
+    for old in replaced:
+        if old is not None and getattr(old, "stored_at", None):
+            where = spark._jvm.org.apache.hadoop.fs.Path(old.stored_at)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    again = spark.read.schema(df.schema).parquet(path)
+    again.stored_at = path
+    return again
+
+
+def empty(df: DataFrame) -> bool:
+    return not df.limit(1).count()
 
 
 def seconds(action) -> float:

@@ -21,9 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.frames import BLANKS, WORD, fresh, pick, quoted
+from shelfwise.llm.frames import BLANKS, WORD, fresh, pick, quoted, stored
 from shelfwise.llm.quality_cascade import bind
-from shelfwise.session import cut_lineage
 
 MIN_WORDS = 50
 
@@ -79,12 +78,12 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Lines to delete: doc_id, same, gone (numbers over the lines with words, from 1), for documents that have any."""
     posted = windows(docs, min_words)
     spread = posted.groupBy("print", "doc_id", "same").agg(F.collect_list(F.struct("at", "size", "key")).alias("w"))
-    posts = cut_lineage(spread)
+    posts = stored(spread)
     shared = posts.groupBy("print").agg(F.sum(F.size("w")).alias("n")).filter("n > 1").select("print")
-    candidates = cut_lineage(posts.join(cut_lineage(shared), "print", "left_semi").select("doc_id", "same", F.explode("w").alias("w")).select("doc_id", "same", "w.*"))
+    candidates = stored(posts.join(stored(shared), "print", "left_semi").select("doc_id", "same", F.explode("w").alias("w")).select("doc_id", "same", "w.*"))
     place = F.struct("doc_id", "same", "at", "size")
     firsts = candidates.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
-    matched = candidates.join(cut_lineage(firsts), "key")
+    matched = candidates.join(stored(firsts), "key")
     same_doc = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("same") == F.col("first.same"))
     later = matched.filter(~same_doc | (F.col("at") >= F.col("first.at") + F.col("first.size")))
     numbers = later.select("doc_id", "same", F.sequence(F.col("at"), F.col("at") + F.col("size") - 1).alias("n"))
@@ -96,7 +95,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tupl
     table = pick(docs, doc_id=id_col, text=text_col).filter(F.col("text").isNotNull()).withColumn("same", F.xxhash64("text"))
     gone = repeated_lines(table, min_words)
     name = fresh(docs, "_gone")
-    gone = cut_lineage(gone.select(F.col("doc_id").alias("_doc"), F.col("same").alias("_same"), F.col("gone").alias(name)))
+    gone = stored(gone.select(F.col("doc_id").alias("_doc"), F.col("same").alias("_same"), F.col("gone").alias(name)))
     match = quoted(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(quoted(text_col)) == F.col("_same"))
     return docs.join(gone, match, "left").drop("_doc", "_same"), name
 

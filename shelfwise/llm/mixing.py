@@ -19,8 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.frames import WORD, fresh, pick, quoted
-from shelfwise.session import cut_lineage
+from shelfwise.llm.frames import WORD, fresh, pick, quoted, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -119,10 +118,10 @@ def mix(
     """One row per row of ``docs``: doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
     spark = docs.sparkSession
     table = pick(docs, doc_id=id_col, source=source_col, text=text_col)
-    sizes = cut_lineage(table.select("doc_id", "source", words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("same")))
-    sources = cut_lineage(source_targets(sizes, weights, share, repeats))
+    sizes = stored(table.select("doc_id", "source", words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("same")))
+    sources = stored(source_targets(sizes, weights, share, repeats))
     numbered = sources.select("source", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))).cast("long").alias("s"), "n_docs", "source_size", "target", "low", "high")
-    numbered = cut_lineage(numbered)
+    numbered = stored(numbered)
     total = numbered.agg(F.max("high")).first()[0] or 0
 
     # documents in shuffled order; equal rows count once here and share the outcome
@@ -135,7 +134,7 @@ def mix(
         .withColumn("words", F.col("size") * F.col("copies"))
         .select("doc_id", "same", "s", "size", "copies", "source_size", "target", "place", "chunk", "words")
     )
-    placed = cut_lineage(_running(placed, ["s"], "chunk", ["place", "doc_id", "same"], "words", "start"))
+    placed = stored(_running(placed, ["s"], "chunk", ["place", "doc_id", "same"], "words", "start"))
 
     times = schedule(spark, numbered, total, repeats, block).groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
     pieces = placed.filter("words > 0").select(
@@ -166,7 +165,7 @@ def with_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     taken = mix(docs, id_col, text_col, source_col).filter("taken > 0").groupBy(F.col("doc_id").alias("_taken"))
     times = F.greatest(F.lit(1), F.round(F.sum("taken") / F.sum("size"))).cast("int")
     name = fresh(docs, "_times")
-    taken = cut_lineage(taken.agg(times.alias(name)))
+    taken = stored(taken.agg(times.alias(name)))
     repeated = docs.join(taken, quoted(id_col).eqNullSafe(F.col("_taken")))
     copies = repeated.withColumn(name, F.explode(F.sequence(F.lit(1), quoted(name))))
     return copies.select(*[quoted(column) for column in docs.columns])

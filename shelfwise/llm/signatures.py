@@ -32,8 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
-from shelfwise.llm.frames import pick, quoted
-from shelfwise.session import cut_lineage
+from shelfwise.llm.frames import empty, pick, quoted, stored
 
 COORDINATES = 48
 MATCHES = 27
@@ -129,7 +128,7 @@ def postings(classes: DataFrame, coordinates: int, least: int) -> DataFrame:
     tokens = classes.select("rep", F.posexplode("sig").alias("at", "value")).select(
         "rep", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long")).alias("token")
     )
-    shared = cut_lineage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    shared = stored(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     lists = tokens.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
     # postings that no other class has are the rarest and fill the prefix first
     left = coordinates - least + 1 - (coordinates - F.size("t"))
@@ -143,18 +142,19 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
     table = pick(docs, doc_id=id_col, text=text_col)
-    signed = cut_lineage(table.select("doc_id", _signed(words, coordinates)("text").alias("s")).select("doc_id", "s.*"))
-    classes = cut_lineage(
+    signed = stored(table.select("doc_id", _signed(words, coordinates)("text").alias("s")).select("doc_id", "s.*"))
+    classes = stored(
         signed.filter("n > 0 and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     )
-    posted = cut_lineage(postings(classes, coordinates, least))
-    posted = cut_lineage(posted.join(cut_lineage(posted.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")), "token", "left_semi"))
-    reps = cut_lineage(posted.select("rep").distinct())
-    known = cut_lineage(classes.join(reps, "rep", "left_semi").select("rep", "n", "sig", "same"))
+    prefix = stored(postings(classes, coordinates, least))
+    several = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
+    posted = stored(prefix.join(several, "token", "left_semi"), prefix)
+    reps = stored(posted.select("rep").distinct())
+    known = stored(classes.join(reps, "rep", "left_semi").select("rep", "n", "sig", "same"))
     # full sets of the documents that stand in any list
     wanted = known.select(F.col("rep").alias("_rep"), F.col("same").alias("_same"))
     sets = table.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", _sets(words)("text").alias("set"))
-    sets = cut_lineage(
+    sets = stored(
         sets.filter(F.length("set") > 0).withColumn("own", F.md5("set"))
         .join(wanted, (F.col("doc_id") == F.col("_rep")) & (F.col("own") == F.col("_same"))).groupBy("doc_id").agg(F.first("set").alias("set"))
     )
@@ -165,48 +165,50 @@ def near_duplicates(
         b = known.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
         joined = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(a, "a").join(b, "b")
         alike = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-        return cut_lineage(joined.filter(alike & (matches(F.col("sig_a"), F.col("sig_b")) >= least)).select("a", "b"))
+        return joined.filter(alike & (matches(F.col("sig_a"), F.col("sig_b")) >= least)).select("a", "b")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
         b = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInPandas(_confirm(percent), "a long, b long")
 
-    links: DataFrame | None = None
+    # every class starts as its own component; confirmed links join components
+    state = stored(reps.select("rep", F.col("rep").alias("c")))
     tested: DataFrame | None = None
-    grouped: DataFrame | None = None
-    placed = posted.withColumn("c", F.col("rep"))
     for turn in range(rounds + 1):
+        placed = posted.join(state, "rep")
+        lists = placed.groupBy("token").agg(
+            F.min(F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0).cast("long"), "rep", "c")).alias("p"),
+            F.min("c").alias("low"), F.max("c").alias("high"),
+        )
+        lists = stored(lists.filter("low <> high").select("token", F.col("p.rep").alias("b"), F.col("p.c").alias("c_b")))
+        if empty(lists):
+            break
         if turn < rounds:
-            pivot = cut_lineage(
-                placed.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.col("rep"), F.lit(turn)) if turn else F.lit(0).cast("long"), "rep", "c")).alias("p"), F.min("c").alias("low"), F.max("c").alias("high"))
-                .filter("low <> high").select("token", F.col("p.rep").alias("b"), F.col("p.c").alias("c_b"))
-            )
-            pairs = placed.join(pivot, "token").filter(F.col("c") != F.col("c_b")).select(F.col("rep").alias("a"), "b")
+            pairs = placed.join(lists, "token").filter(F.col("c") != F.col("c_b")).select(F.col("rep").alias("a"), "b")
             found = candidates(pairs)
         else:
-            open_lists = cut_lineage(placed.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("token"))
-            rest = cut_lineage(placed.join(open_lists, "token", "left_semi").join(known.select("rep", "n", "sig"), "rep"))
+            rest = stored(placed.join(lists.select("token"), "token", "left_semi").join(known.select("rep", "n", "sig"), "rep"))
             a = rest.select("token", F.col("rep").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-            b = rest.select("token", F.col("rep").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+            b = rest.toDF(*rest.columns).select(
+                F.col("token").alias("token_b"), F.col("rep").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")
+            )
             like = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
             close = matches(F.col("sig_a"), F.col("sig_b")) >= least
-            joined = a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & like & close)
-            found = cut_lineage(joined.select("a", "b").distinct())
+            joined = a.join(b, (F.col("token") == F.col("token_b")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & like & close)
+            found = joined.select("a", "b").distinct()
         if tested is not None:
-            found = cut_lineage(found.join(tested, ["a", "b"], "left_anti"))
-        if turn == rounds and not found.limit(1).count():
-            break
+            found = found.join(tested, ["a", "b"], "left_anti")
+        found = stored(found)
+        if empty(found):
+            continue
         tested = found if tested is None else tested.union(found)
-        new = cut_lineage(confirmed(found))
-        links = new if links is None else links.union(new)
-        grouped = components(links)
-        placed = posted.join(grouped.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select(
-            "token", "rep", F.coalesce("component", "rep").alias("c")
-        )
-        placed = cut_lineage(placed)
-    named = classes.select("same", "rep").join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
-    named = cut_lineage(named.select(F.col("same").alias("_same"), F.coalesce("component", "rep").alias("_component")))
+        left, right = state.select(F.col("rep").alias("a"), F.col("c").alias("c_a")), state.select(F.col("rep").alias("b"), F.col("c").alias("c_b"))
+        joined = confirmed(found).join(left, "a").join(right, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        merged = components(joined).withColumnRenamed("node", "c")
+        state = stored(state.join(merged, "c", "left").select("rep", F.coalesce("component", "c").alias("c")))
+    named = classes.select("same", "rep").join(state, "rep", "left")
+    named = stored(named.select(F.col("same").alias("_same"), F.coalesce("c", "rep").alias("_component")))
     rows = signed.join(named, signed["same"] == named["_same"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     result = rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

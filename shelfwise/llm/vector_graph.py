@@ -27,8 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
-from shelfwise.llm.frames import pick
-from shelfwise.session import cut_lineage
+from shelfwise.llm.frames import pick, stored
 
 CELL = 1024
 SAMPLE = 2048
@@ -108,7 +107,7 @@ def cells(vectors: DataFrame, overlap: int) -> DataFrame:
     )
     done: DataFrame | None = None
     for _ in range(LEVELS):
-        sizes = cut_lineage(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
+        sizes = stored(members.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
         large = sizes.filter(F.col("n") > CELL)
         if not large.limit(1).count():
             break
@@ -116,14 +115,14 @@ def cells(vectors: DataFrame, overlap: int) -> DataFrame:
         open_rows = members.join(large, "cell").select("rep", "vec", "copies", "cell", "home", "n")
         draw = F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(1 << 20)) / float(1 << 20)
         fitted = open_rows.filter(draw * F.col("n") < SAMPLE).groupBy("cell").applyInPandas(_centres, "cell long, centres array<double>")
-        fitted = cut_lineage(fitted)
+        fitted = stored(fitted)
         chunks = F.ceil(F.col("n") / (4 * CELL)).cast("int")
         left = open_rows.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(2)), chunks).cast("int")).drop("n")
         right = fitted.join(large, "cell").select("cell", "centres", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
         right = right.toDF(*right.columns)
         split = left.groupBy("cell", "chunk").cogroup(right.groupBy("cell", "chunk")).applyInPandas(_assign(overlap), kind)
-        split = cut_lineage(split.withColumn("cell", F.xxhash64("cell", "child")).drop("child"))
-        small = cut_lineage(small)
+        split = stored(split.withColumn("cell", F.xxhash64("cell", "child")).drop("child"))
+        small = stored(small)
         done = small if done is None else done.union(small)
         before, members = large.agg(F.sum("n")).first()[0], split
         after = split.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CELL).agg(F.sum("n")).first()[0] or 0
@@ -275,11 +274,11 @@ def _links(threshold: float, beam: int):
 
 def find_links(vectors: DataFrame, threshold: float, overlap: int, beam: int) -> DataFrame:
     """Per vector and shard: rep, n (linked vectors counted there), root (a smaller id in the same component, or itself)."""
-    members = cut_lineage(cells(vectors, overlap))
-    sizes = cut_lineage(members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / float(2 * CELL)).cast("int").alias("parts")))
+    members = stored(cells(vectors, overlap))
+    sizes = stored(members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / float(2 * CELL)).cast("int").alias("parts")))
     dealt = members.join(sizes, "cell").withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("parts")).cast("int"))
     built = dealt.select("rep", "vec", "cell", "part").groupBy("cell", "part").applyInPandas(_build, "rep long, cell long, adjacent array<long>")
-    united = cut_lineage(
+    united = stored(
         built.groupBy("rep").agg(
             F.array_distinct(F.flatten(F.collect_list("adjacent"))).alias("adjacent"), F.sort_array(F.collect_set("cell")).alias("cells")
         )
@@ -323,12 +322,12 @@ def near_duplicate_vectors(
     table = pick(embeddings, vec_id=id_col, vec=vector_col, label=label_col)
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
     sound = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & finite, F.lit(False))
-    rows = cut_lineage(table.withColumn("vec", F.when(sound, F.col("vec"))).withColumn("same", F.when(sound, F.xxhash64("vec", "label"))))
+    rows = stored(table.withColumn("vec", F.when(sound, F.col("vec"))).withColumn("same", F.when(sound, F.xxhash64("vec", "label"))))
     vectors = rows.filter("same is not null").groupBy("same", "label", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    vectors = cut_lineage(vectors.select("rep", "label", "vec", "copies", "same"))
+    vectors = stored(vectors.select("rep", "label", "vec", "copies", "same"))
     for attempt in range(ATTEMPTS):
-        found = cut_lineage(find_links(vectors, threshold, overlap + attempt, beam << attempt))
-        counts = cut_lineage(found.groupBy("rep").agg(F.sum("n").alias("n")))
+        found = stored(find_links(vectors, threshold, overlap + attempt, beam << attempt))
+        counts = stored(found.groupBy("rep").agg(F.sum("n").alias("n")))
         recall = audit(vectors, counts, threshold)
         if recall >= RECALL:
             break
@@ -338,7 +337,7 @@ def near_duplicate_vectors(
         F.col("same").alias("_same"), "own", "own_label", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "rep").alias("component"),
     )
-    known = cut_lineage(known)
+    known = stored(known)
     match = (rows["same"] == known["_same"]) & (rows["label"] == known["own_label"]) & (rows["vec"] == known["own"])
     joined = rows.select("vec_id", "same", "label", "vec").join(known, match, "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
