@@ -9,9 +9,10 @@ candidates; at s = 0.8 a pair misses that with a probability of about 3 in 100,0
   seldom among them.
 * *Skip*: the longer lists are never merged. Whether a pair has enough matches is counted on the two signatures.
 * Copies (equal sets) are one class with one signature from the start.
-* In a list that many documents share, pairs are not spelled out. A pivot of the list is compared with the documents that
-  are not connected with it yet, for ``ROUNDS`` rounds with different pivots; what is then still unconnected inside a list is
-  joined in full. Links found join components, so a group of alike texts needs about as many comparisons as it has members.
+* In a list that many documents share, pairs are not spelled out. A pivot of the list (the document whose postings are most
+  shared) is compared with the documents that are not connected with it yet, for ``ROUNDS`` rounds with different pivots; what is then still unconnected inside a list is
+  compared in full, block by block. Links found join components, so a group of alike texts needs about as many comparisons as it
+  has members.
 
 Every candidate is confirmed on the full sets (64-bit hashes of all shingles). Result and work do not depend on pairs inside
 components that are known, so no link between different components is lost.
@@ -36,7 +37,9 @@ from shelfwise.llm.frames import empty, pick, quoted, stored
 
 COORDINATES = 48
 MATCHES = 27
-ROUNDS = 3
+ROUNDS = 2
+#: Documents of one block in the full comparison.
+BLOCK = 512
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -100,6 +103,14 @@ def _sets(words: int):
     return sets
 
 
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    common = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def _confirm(percent: int):
     """Keeps the pairs whose full sets are similar enough."""
 
@@ -107,12 +118,7 @@ def _confirm(percent: int):
         for batch in batches:
             keep = []
             for left, right in zip(batch["set_a"], batch["set_b"], strict=True):
-                a, b = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
-                if len(a) > len(b):
-                    a, b = b, a
-                at = np.searchsorted(b, a)
-                common = int(np.count_nonzero(b[np.minimum(at, len(b) - 1)] == a))
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
+                keep.append(_similar(np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64), percent))
             yield batch.loc[keep, ["a", "b"]]
 
     return confirm
@@ -124,7 +130,11 @@ def matches(a: Column, b: Column) -> Column:
 
 
 def postings(classes: DataFrame, coordinates: int, least: int) -> DataFrame:
-    """(token, rep) for the rarest postings of every class that are shared at all."""
+    """(token, rep, weight) for the rarest postings of every class that are shared at all.
+
+    ``weight`` is how many classes stand in the lists of all its postings: the original of many altered copies, whose
+    postings they mostly share, has more of it than any copy.
+    """
     tokens = classes.select("rep", F.posexplode("sig").alias("at", "value")).select(
         "rep", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long")).alias("token")
     )
@@ -132,8 +142,61 @@ def postings(classes: DataFrame, coordinates: int, least: int) -> DataFrame:
     lists = tokens.join(shared, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("t"))
     # postings that no other class has are the rarest and fill the prefix first
     left = coordinates - least + 1 - (coordinates - F.size("t"))
-    prefix = lists.filter(left > 0).select("rep", F.explode(F.slice("t", 1, left)).alias("t"))
-    return prefix.select("rep", F.col("t.token").alias("token"))
+    weight = F.aggregate("t", F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    prefix = lists.filter(left > 0).select("rep", weight.alias("weight"), F.explode(F.slice("t", 1, left)).alias("t"))
+    return prefix.select("rep", "weight", F.col("t.token").alias("token"))
+
+
+def _compare(percent: int, least: int):
+    """Links between two blocks of a family, enough to join what is linked; pairs already joined are skipped."""
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        sig_a, sig_b = np.array(left["sig"].to_list()), np.array(right["sig"].to_list())
+        n_a, n_b = left["n"].to_numpy(np.int64), right["n"].to_numpy(np.int64)
+        sets_a = [np.frombuffer(x, np.uint64) for x in left["set"]]
+        sets_b = [np.frombuffer(x, np.uint64) for x in right["set"]]
+        ids_a, ids_b, c_a, c_b = left["rep"].to_numpy(), right["rep"].to_numpy(), left["c"].to_numpy(), right["c"].to_numpy()
+        group = {int(c): int(c) for c in np.concatenate([c_a, c_b])}
+
+        def top(c: int) -> int:
+            while group[c] != c:
+                group[c] = group[group[c]]
+                c = group[c]
+            return c
+
+        links = []
+        for i in range(len(left)):
+            alike = 100 * np.minimum(n_a[i], n_b) >= percent * np.maximum(n_a[i], n_b)
+            likely = np.flatnonzero(alike & (c_b != c_a[i]) & ((sig_b == sig_a[i]).sum(axis=1) >= least))
+            for j in likely:
+                one, other = top(int(c_a[i])), top(int(c_b[j]))
+                if one != other and _similar(sets_a[i], sets_b[j], percent):
+                    links.append((ids_a[i], ids_b[j]))
+                    group[max(one, other)] = min(one, other)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return compare
+
+
+def _rest(placed: DataFrame, lists: DataFrame, known: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
+    """Links between the components that still share a list, by full comparison in blocks.
+
+    Documents joined by open lists form a family. Its members are dealt into chunks of about ``BLOCK``; each pair of chunks is
+    one task, which compares signatures, then full sets, and lets out only links between different components.
+    """
+    stars = placed.join(lists.select("token", "first"), "token").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    family = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    rows = family.join(placed.select("rep", "c").distinct(), "rep").join(known.select("rep", "n", "sig"), "rep")
+    rows = rows.join(sets.select(F.col("doc_id").alias("rep"), "set"), "rep")
+    sizes = stored(family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / float(BLOCK)).cast("int").alias("chunks")))
+    dealt = stored(rows.join(sizes, "family").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(4)), F.col("chunks")).cast("int")))
+    columns = ["family", "rep", "c", "n", "sig", "set"]
+    left = dealt.select(*columns, F.col("chunk").alias("i"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("j"))
+    right = dealt.select(*columns, F.col("chunk").alias("j"), F.explode(F.sequence(F.lit(0), F.col("chunk"))).alias("i"))
+    right, by = right.toDF(*right.columns), ("family", "i", "j")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_compare(percent, least), "a long, b long")
 
 
 def near_duplicates(
@@ -174,37 +237,27 @@ def near_duplicates(
 
     # every class starts as its own component; confirmed links join components
     state = stored(reps.select("rep", F.col("rep").alias("c")))
-    tested: DataFrame | None = None
     for turn in range(rounds + 1):
         placed = posted.join(state, "rep")
+        # the pivot is the document most like the others; later ones come from an eighth drawn anew
+        lot = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(8 if turn else 1))
         lists = placed.groupBy("token").agg(
-            F.min(F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0).cast("long"), "rep", "c")).alias("p"),
-            F.min("c").alias("low"), F.max("c").alias("high"),
+            F.min(F.struct(lot, -F.col("weight"), "rep", "c")).alias("p"),
+            F.min("c").alias("low"), F.max("c").alias("high"), F.min("rep").alias("first"),
         )
-        lists = stored(lists.filter("low <> high").select("token", F.col("p.rep").alias("b"), F.col("p.c").alias("c_b")))
+        lists = stored(lists.filter("low <> high").select("token", "first", F.col("p.rep").alias("b"), F.col("p.c").alias("c_b")))
         if empty(lists):
             break
         if turn < rounds:
             pairs = placed.join(lists, "token").filter(F.col("c") != F.col("c_b")).select(F.col("rep").alias("a"), "b")
-            found = candidates(pairs)
+            found = stored(candidates(pairs))
+            if empty(found):
+                continue
+            new = confirmed(found)
         else:
-            rest = stored(placed.join(lists.select("token"), "token", "left_semi").join(known.select("rep", "n", "sig"), "rep"))
-            a = rest.select("token", F.col("rep").alias("a"), F.col("c").alias("c_a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-            b = rest.toDF(*rest.columns).select(
-                F.col("token").alias("token_b"), F.col("rep").alias("b"), F.col("c").alias("c_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")
-            )
-            like = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-            close = matches(F.col("sig_a"), F.col("sig_b")) >= least
-            joined = a.join(b, (F.col("token") == F.col("token_b")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & like & close)
-            found = joined.select("a", "b").distinct()
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        found = stored(found)
-        if empty(found):
-            continue
-        tested = found if tested is None else tested.union(found)
+            new = _rest(placed, lists, known, sets, percent, least)
         left, right = state.select(F.col("rep").alias("a"), F.col("c").alias("c_a")), state.select(F.col("rep").alias("b"), F.col("c").alias("c_b"))
-        joined = confirmed(found).join(left, "a").join(right, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
+        joined = new.join(left, "a").join(right, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
         merged = components(joined).withColumnRenamed("node", "c")
         state = stored(state.join(merged, "c", "left").select("rep", F.coalesce("component", "c").alias("c")))
     named = classes.select("same", "rep").join(state, "rep", "left")
