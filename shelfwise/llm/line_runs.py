@@ -94,10 +94,10 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tupl
     """``docs`` with a column of the numbers of the lines to delete."""
     table = pick(docs, doc_id=id_col, text=text_col).filter(F.col("text").isNotNull()).withColumn("same", F.xxhash64("text"))
     gone = repeated_lines(table, min_words)
-    name = fresh(docs, "_gone")
-    gone = stored(gone.select(F.col("doc_id").alias("_doc"), F.col("same").alias("_same"), F.col("gone").alias(name)))
-    match = quoted(id_col).eqNullSafe(F.col("_doc")) & (F.xxhash64(quoted(text_col)) == F.col("_same"))
-    return docs.join(gone, match, "left").drop("_doc", "_same"), name
+    name, doc, same = fresh(docs, "_gone"), fresh(docs, "_doc"), fresh(docs, "_same")
+    gone = stored(gone.select(F.col("doc_id").alias(doc), F.col("same").alias(same), F.col("gone").alias(name)))
+    match = quoted(id_col).eqNullSafe(quoted(doc)) & (F.xxhash64(quoted(text_col)) == quoted(same))
+    return docs.join(gone, match, "left").drop(doc, same), name
 
 
 def _without(text: Column, gone: Column) -> Column:

@@ -162,11 +162,11 @@ def with_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Rows that share an id are repeated alike, by the words taken from all of them.
     """
-    taken = mix(docs, id_col, text_col, source_col).filter("taken > 0").groupBy(F.col("doc_id").alias("_taken"))
+    name, doc = fresh(docs, "_times"), fresh(docs, "_taken")
+    taken = mix(docs, id_col, text_col, source_col).filter("taken > 0").groupBy(F.col("doc_id").alias(doc))
     times = F.greatest(F.lit(1), F.round(F.sum("taken") / F.sum("size"))).cast("int")
-    name = fresh(docs, "_times")
     taken = stored(taken.agg(times.alias(name)))
-    repeated = docs.join(taken, quoted(id_col).eqNullSafe(F.col("_taken")))
+    repeated = docs.join(taken, quoted(id_col).eqNullSafe(quoted(doc)))
     copies = repeated.withColumn(name, F.explode(F.sequence(F.lit(1), quoted(name))))
     return copies.select(*[quoted(column) for column in docs.columns])
 

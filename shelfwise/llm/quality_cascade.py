@@ -92,10 +92,14 @@ def rules() -> dict[str, Column]:
     }
 
 
-def rule_order(measured: DataFrame, conditions: dict[str, Column], sample: int = SAMPLE) -> list[str]:
+def sample_of(docs: DataFrame, sample: int) -> DataFrame:
+    """About ``sample`` rows; drawn before anything is computed from them."""
+    return docs.sample(min(1.0, sample / max(1, docs.count())), seed=7)
+
+
+def rule_order(part: DataFrame, conditions: dict[str, Column]) -> list[str]:
     """Rules by rejections per second of cost, both taken from a sample."""
-    rows = measured.count()
-    part = measured.sample(min(1.0, sample / max(1, rows)), seed=7).limit(2 * sample).persist()
+    part = part.persist()
     try:
         part.count()
         seconds(lambda: part.agg(F.count(F.lit(1))).collect())
@@ -122,13 +126,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """One row per row of ``docs``: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     conditions = rules()
     # texts without the costly counts are enough to set the order
-    cheap = pick(docs, text=text_col).select(
+    cheap = sample_of(pick(docs, text=text_col), sample).select(
         F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).alias("n_words"),
         F.coalesce(F.length(F.translate("text", BLANKS, "")), F.lit(0)).alias("word_chars"),
         F.coalesce(count_of(F.col("text"), SYMBOLS), F.lit(0)).alias("n_symbols"),
         F.coalesce(duplicate_lines(F.col("text")), F.lit(0)).alias("n_dup_lines"),
     )
-    order = rule_order(cheap, conditions, sample)
+    order = rule_order(cheap, conditions)
     counted = measures(docs, id_col, text_col).withColumn("base_failed", base_failed())
     return counted.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(passes(conditions, order))).drop("text")
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
-from shelfwise.llm.frames import empty, pick, quoted, stored
+from shelfwise.llm.frames import empty, fresh, pick, quoted, stored
 
 COORDINATES = 48
 MATCHES = 27
@@ -270,5 +270,6 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stand for their group, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col, words, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, quoted(id_col) == F.col("_gone"), "left_anti")
+    name = fresh(docs, "_gone")
+    gone = near_duplicates(docs, id_col, text_col, words, percent).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, quoted(id_col) == quoted(name), "left_anti")
