@@ -16,6 +16,7 @@ labelled. Ties go to the language first in alphabetical order. Rows with equal i
 from __future__ import annotations
 
 import bisect
+import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ PER_LANGUAGE = 4_000
 SWITCH = 14.0
 UNDETERMINED = "und"
 #: Words remembered by one worker before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 # First code points of the ranges of some scripts; "other" between them.
 SCRIPTS = [
     (0x41, "latin"), (0x250, "other"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"),
@@ -206,16 +207,29 @@ def train(docs: DataFrame, learnable: Column, id_col: str, text_col: str, lang_c
     return LanguageModel(languages, scores.astype(np.float32), allowed)
 
 
+#: The model that this worker used last, with the words it has scored; later tasks go on with it.
+_current: dict[bytes, LanguageModel] = {}
+
+
+def _worker_model(key: bytes, model: LanguageModel) -> LanguageModel:
+    if key not in _current:
+        _current.clear()
+        _current[key] = model
+    return _current[key]
+
+
 def predictor(model: LanguageModel):
     """A column function text -> struct(lang, score, spans)."""
     kind = "lang string, score double, spans array<struct<first:int,last:int,lang:string>>"
+    key = hashlib.sha256(repr(model.languages).encode() + model.scores.tobytes() + model.allowed.tobytes()).digest()
 
     @F.pandas_udf(kind)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = _worker_model(key, model)
         for texts in batches:
             rows = []
             for begin in range(0, len(texts), 2_000):
-                rows += model.predict(list(texts[begin : begin + 2_000]))
+                rows += own.predict(list(texts[begin : begin + 2_000]))
             frame = pd.DataFrame(rows, columns=["lang", "score", "spans"])
             frame["spans"] = [[{"first": a, "last": b, "lang": c} for a, b, c in spans] for spans in frame["spans"]]
             yield frame
