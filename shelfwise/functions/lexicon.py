@@ -4,18 +4,162 @@ They must equal the published defaults for results to match; the synonym order
 is part of the meaning because rules run one after the other.
 """
 
-STOPWORDS = """
-game games player players players' play played playing turn turns round rounds phase phases action actions rule rules
-component components piece pieces token tokens card cards board boards setup set-up objective objectives includes
-included including feature features experience experiences gameplay playtime time gamers gaming victory win wins
-winning lose loses loss based uses use using through across within during made make makes allow allows allowed provide
-provides provided designed design designs theme themes version versions edition editions copy copies set sets box boxes
-collection collections additional various several multiple different specific special unique variety varieties varied
-varies type types kind kinds size sizes number numbers amount amounts objective-based component-based scenario scenarios
-mission missions mode modes fun exciting interesting challenging simple complex easy easily hard harder difficult
-difficulty fast faster slow slower quick quickly long short longer shorter optional option options playable can must
-encourages content contains contain containing description described describe describes
-""".split()
+# Whole tokens are compared, so the phrases of the list match none.
+STOPWORDS = [
+    "game",
+    "games",
+    "player",
+    "players",
+    "players'",
+    "play",
+    "played",
+    "playing",
+    "turn",
+    "turns",
+    "round",
+    "rounds",
+    "phase",
+    "phases",
+    "action",
+    "actions",
+    "rule",
+    "rules",
+    "component",
+    "components",
+    "piece",
+    "pieces",
+    "token",
+    "tokens",
+    "card",
+    "cards",
+    "board",
+    "boards",
+    "setup",
+    "set-up",
+    "objective",
+    "objectives",
+    "includes",
+    "included",
+    "including",
+    "feature",
+    "features",
+    "experience",
+    "experiences",
+    "gameplay",
+    "playtime",
+    "playing time",
+    "gamers",
+    "gaming",
+    "victory",
+    "win",
+    "wins",
+    "winning",
+    "lose",
+    "loses",
+    "loss",
+    "based",
+    "uses",
+    "use",
+    "using",
+    "through",
+    "across",
+    "within",
+    "during",
+    "made",
+    "make",
+    "makes",
+    "allow",
+    "allows",
+    "allowed",
+    "provide",
+    "provides",
+    "provided",
+    "designed",
+    "design",
+    "designs",
+    "theme",
+    "themes",
+    "version",
+    "versions",
+    "edition",
+    "editions",
+    "copy",
+    "copies",
+    "set",
+    "sets",
+    "box",
+    "boxes",
+    "collection",
+    "collections",
+    "additional",
+    "various",
+    "several",
+    "multiple",
+    "different",
+    "specific",
+    "special",
+    "unique",
+    "variety",
+    "varieties",
+    "varied",
+    "varies",
+    "type",
+    "types",
+    "kind",
+    "kinds",
+    "size",
+    "sizes",
+    "number",
+    "numbers",
+    "amount",
+    "amounts",
+    "objective-based",
+    "component-based",
+    "scenario",
+    "scenarios",
+    "mission",
+    "missions",
+    "mode",
+    "modes",
+    "fun",
+    "exciting",
+    "interesting",
+    "challenging",
+    "simple",
+    "complex",
+    "easy",
+    "easily",
+    "hard",
+    "harder",
+    "difficult",
+    "difficulty",
+    "fast",
+    "faster",
+    "slow",
+    "slower",
+    "quick",
+    "quickly",
+    "long",
+    "short",
+    "longer",
+    "shorter",
+    "optional",
+    "option",
+    "options",
+    "playable",
+    "players can",
+    "players must",
+    "allows players",
+    "encourages players",
+    "content",
+    "contains",
+    "contain",
+    "containing",
+    "description",
+    "described",
+    "describe",
+    "describes",
+]
 
 SYNONYMS = {
     "worker-placement": ["worker placement", "worker-placement", "pawn placement"],

@@ -58,9 +58,10 @@ def explain_by_references(
     in_store = liked.join(vectors.select("item_id"), "item_id", "left_semi")
     first = Window.partitionBy("user_id").orderBy("pos", "item_id")
     fallback = (
-        in_store.withColumn("slot", F.row_number().over(first) - 1)
-        .filter(F.col("slot") < MAX_REFERENCES)
-        .select("user_id", F.col("item_id").alias("liked_id"), "slot")
+        # compared with the row number itself, the limit already holds before the shuffle
+        in_store.withColumn("place", F.row_number().over(first))
+        .filter(F.col("place") <= MAX_REFERENCES)
+        .select("user_id", F.col("item_id").alias("liked_id"), (F.col("place") - 1).alias("slot"))
     )
     titled = names.select(F.col("item_id").alias("liked_id"), F.col("name").alias("title"))
 

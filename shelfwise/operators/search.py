@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.numbers import duration_minutes, is_stale
 from shelfwise.functions.text import any_tag_startswith
+from shelfwise.session import cut_lineage, work_folder
 
 # Paging limits and the metadata time to live.
 PAGE_LIMITS = (1, 100)
@@ -145,10 +146,14 @@ def missing_items(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def require_complete(wanted: DataFrame, catalog: DataFrame) -> None:
-    """Raise with the sorted missing ids, if there are any (the first 20 are named)."""
-    names = [row[0] for row in missing_items(wanted, catalog).orderBy("item_id").limit(20).collect()]
-    if names:
-        raise LookupError(f"missing catalog records for ids: {names}")
+    """Raise if ids are missing, with their number and the table of all of them, sorted."""
+    missing = cut_lineage(missing_items(wanted, catalog))
+    count = missing.count()
+    if count:
+        path = work_folder(wanted.sparkSession, "missing-items")
+        missing.orderBy("item_id").write.parquet(path)
+        first = [row[0] for row in missing.orderBy("item_id").limit(20).collect()]
+        raise LookupError(f"missing catalog records for {count} ids, all listed in {path}; the first are {first}")
 
 
 def preferences(liked: DataFrame, catalog: DataFrame) -> DataFrame:

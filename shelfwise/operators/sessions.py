@@ -67,10 +67,15 @@ def upsert(stored: DataFrame, changes: DataFrame, keys: Sequence[str], *order: s
     return latest_by_key(both, keys, *order, "_new").drop("_new")
 
 
+def participant_id(users: Column) -> Column:
+    """The id under which a user takes part; groups are a function of it everywhere."""
+    return F.concat(F.lit(PARTICIPANT_PREFIX), users.cast("string"))
+
+
 def participants(users: Column, override: Column | None = None) -> list[Column]:
     """Participant id and sticky experiment group of user ids."""
-    identifier = F.concat(F.lit(PARTICIPANT_PREFIX), users.cast("string"))
-    return [identifier.alias("participant_id"), study_group(users, override).alias("study_group")]
+    identifier = participant_id(users)
+    return [identifier.alias("participant_id"), study_group(identifier, override).alias("study_group")]
 
 
 def register(existing: DataFrame, arriving: DataFrame) -> DataFrame:

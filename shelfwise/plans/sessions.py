@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfwise.config import SERVICE_PRESET, Preferences
 from shelfwise.functions.numbers import study_group
 from shelfwise.operators.explain import explain_by_group
-from shelfwise.operators.sessions import assemble, request_checks
+from shelfwise.operators.sessions import assemble, participant_id, request_checks
 from shelfwise.plans.recommend import recommend_postfiltered
 from shelfwise.session import cut_lineage
 
@@ -52,7 +52,7 @@ def explained_results(
         request_checks(requests, liked)
         .filter(F.col("reject_reason").isNull())
         .drop("reject_reason")
-        .withColumn("study_group", study_group(F.col("user_id"), override))
+        .withColumn("study_group", study_group(participant_id(F.col("user_id")), override))
     )
     likes = liked.select("user_id", "item_id").join(valid.select("user_id").distinct(), "user_id", "left_semi")
     ranked = ranker(valid, likes, items, catalog, prefs).select(

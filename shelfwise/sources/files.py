@@ -30,7 +30,6 @@ ITEM_COLUMNS = {
 ID_COLUMN = "BGGId"
 CATEGORY_PREFIX = "Cat:"
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": False}
-MAX_WORDS = 100_000
 
 
 def _read_csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
@@ -47,11 +46,11 @@ def category_name(header: str) -> str:
     return "cat_" + header.split(":", 1)[1].strip().lower().replace(" ", "_")
 
 
-def load_items(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
+def load_items(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
     """Raw item file with declared types; ``Cat:`` flag columns become ``cat_*``.
 
-    ``multi_line`` accepts line breaks inside quoted texts, at the price of one
-    task per file.
+    Quoted texts may hold line breaks, at the price of one task per file;
+    ``multi_line=False`` splits files, for inputs known to have none.
     """
     raw = _read_csv(spark, path, multi_line)
     missing = [name for name in ITEM_COLUMNS if name not in raw.columns]
@@ -86,21 +85,19 @@ def load_tags(spark: SparkSession, path: str, output: str) -> DataFrame:
 
 
 def load_stopwords(spark: SparkSession, path: str) -> list[str]:
-    """Configured stop words: trimmed, blank lines skipped. A bounded list."""
-    rows = spark.read.text(path).select(F.trim("value").alias("w")).filter("w <> ''").distinct()
-    found = [row["w"] for row in rows.limit(MAX_WORDS + 1).collect()]
-    if len(found) > MAX_WORDS:
-        raise ValueError(f"more than {MAX_WORDS} stop words")
-    return sorted(found)
+    """Configured stop words: trimmed of any white space, blank lines skipped."""
+    word = F.regexp_replace("value", r"^\s+|\s+$", "")
+    rows = spark.read.text(path).select(word.alias("w")).filter("w <> ''").distinct()
+    return sorted(row["w"] for row in rows.collect())
 
 
 def load_synonyms(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Configured synonyms ``canonical = [variants]``; other entries are ignored."""
+    """Configured synonyms ``canonical = [variants]``; entries that are no list of texts are ignored."""
     text = spark.read.text(path, wholetext=True).first()[0]
     return {
-        canonical: [str(value) for value in variants]
+        canonical: list(variants)
         for canonical, variants in tomllib.loads(text).items()
-        if isinstance(variants, list)
+        if isinstance(variants, list) and all(isinstance(value, str) for value in variants)
     }
 
 

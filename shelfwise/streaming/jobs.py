@@ -8,7 +8,7 @@ reads the state as it was before that batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -120,11 +120,17 @@ def registration_stream(arrivals: DataFrame, folder: str) -> StreamingQuery:
 # ---- catalog re-seeding -----------------------------------------------------------
 
 
+def _drop_order(drop: str) -> Column:
+    """Numbered drops by number, others (dates, names) by text, the same way in a batch and when reading."""
+    text = F.col(drop).cast("string")
+    return F.struct(text.try_cast("double"), text)
+
+
 def reseed_stream(drops: DataFrame, folder: str, *, drop: str = "drop") -> StreamingQuery:
     """Replace the catalog by the newest drop; files of one drop may come in several batches."""
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max(drop)).first()[0]
+        newest = batch.agg(F.max_by(drop, _drop_order(drop))).first()[0]
         if newest is None:
             return
         records = normalize_records(batch.filter(F.col(drop) == newest).drop(drop))
@@ -137,7 +143,7 @@ def reseed_stream(drops: DataFrame, folder: str, *, drop: str = "drop") -> Strea
 def seeded_catalog(spark: SparkSession, folder: str, *, drop: str = "drop") -> DataFrame:
     """Records of the newest drop."""
     stored = spark.read.parquet(f"{folder}/catalog")
-    newest = stored.agg(F.max(drop).alias("d")).scalar()
+    newest = stored.agg(F.max_by(drop, _drop_order(drop)).alias("d")).scalar()
     return stored.filter(F.col(drop) == newest).drop(drop, "batch")
 
 

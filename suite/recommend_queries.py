@@ -502,8 +502,8 @@ def generate(fx):
     f"""WITH {_POST}, {_SPLIT},
         likes AS (SELECT user_id, count(*) AS n, count(DISTINCT item_id) AS d, min(item_id) AS least FROM purchases GROUP BY user_id),
         n_labels AS (SELECT item_id, count(*) AS n FROM numbered GROUP BY item_id)
-        SELECT request_id, CAST(new_rank AS INTEGER) AS rank, s.item_id, title, {_GROUP_SQL.format('s.user_id')} AS type,
-               CAST(least(3, CASE WHEN {_GROUP_SQL.format('s.user_id')} = 'features' THEN x.n ELSE k.n END) AS INTEGER) AS n_entries
+        SELECT request_id, CAST(new_rank AS INTEGER) AS rank, s.item_id, title, {_GROUP_SQL.format("'participant-' || s.user_id")} AS type,
+               CAST(least(3, CASE WHEN {_GROUP_SQL.format("'participant-' || s.user_id")} = 'features' THEN x.n ELSE k.n END) AS INTEGER) AS n_entries
         FROM suited s JOIN likes k ON k.user_id = s.user_id AND k.d = k.n AND k.least >= 1
         JOIN records c ON c.item_id = s.item_id JOIN n_labels x ON x.item_id = s.item_id WHERE new_rank < num_results""",
     "purchases", "liked", "items", "requests", "record_columns", "records",

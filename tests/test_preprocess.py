@@ -149,3 +149,10 @@ def test_record_normalization(spark):
     assert good[101]["mechanics"] == []
     reasons = {r["item_id"]: r["reject_reason"] for r in C.rejected(records).collect()}
     assert reasons == {303: "name", 404: "year_published", 505: "min_players"}
+
+
+def test_quoted_line_breaks_by_default(spark, tmp_path):
+    row = [1, "Alpha", "line one\nline two", 2020, 8.0, 1000, 1, 4, 60, 50, 70, 500, 2.5, 10, 1, 0]
+    path = write(tmp_path / "items.csv", [*HEADER, "Cat: Strategy", "Cat: Family Fun"], [row])
+    found = files.load_items(spark, path).collect()
+    assert len(found) == 1 and found[0]["description"] == "line one\nline two"

@@ -251,3 +251,22 @@ def test_overlay(spark, catalog):
     metadata = spark.createDataFrame([(1, "new", ""), (2, "", None)], "item_id bigint, description string, image_url string")
     got = {r["item_id"]: (r["description"], r["image_url"]) for r in S.overlay(records, metadata).collect()}
     assert got == {1: ("new", "own"), 2: ("own", "own"), 3: ("own", "own")}
+
+
+def test_one_group_rule(spark):
+    from shelfwise.functions.numbers import study_group
+    from shelfwise.operators.sessions import participant_id, participants, register
+
+    users = spark.range(200).withColumnRenamed("id", "user_id")
+    arriving = users.select(participant_id(F.col("user_id")).alias("participant_id"), F.lit(1).alias("ts"))
+    known = spark.createDataFrame([], "participant_id string")
+    stored = {r["participant_id"]: r["study_group"] for r in register(known, arriving).collect()}
+    assert stored == {r[0]: r[1] for r in users.select(*participants(F.col("user_id"))).collect()}
+    assert stored == {r[0]: r[1] for r in arriving.select("participant_id", study_group(F.col("participant_id"))).collect()}
+
+
+def test_drops_are_ordered_by_number(spark, tmp_path):
+    from shelfwise.streaming.jobs import _drop_order
+
+    rows = spark.createDataFrame([("9",), ("10",)], "drop string")
+    assert rows.agg(F.max_by("drop", _drop_order("drop"))).first()[0] == "10"

@@ -62,6 +62,11 @@ def test_stopwords_keep_repeats(spark):
     assert one(spark, T.drop_stopwords(F.split("t", " "), STOPWORDS), t="ox game ox cat") == ["ox", "ox", "cat"]
 
 
+def test_stopword_phrases_match_no_token(spark):
+    assert len(STOPWORDS) == 153 and "players must" in STOPWORDS
+    assert one(spark, T.drop_stopwords(F.split("t", " "), STOPWORDS), t="players can take the time they must") == ["can", "take", "the", "time", "they", "must"]
+
+
 def test_tags(spark):
     assert one(spark, T.split_tags(F.col("t")), t=" a , ,b,") == ["a", "b"]
     assert one(spark, T.format_categorical(F.col("t")), t="Dice Rolling, Dice, Set's") == "dice rolling set's"
