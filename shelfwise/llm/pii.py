@@ -32,6 +32,8 @@ from shelfwise.llm.frames import fresh, pick, quoted
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 4_000
+#: Documents drawn for each one of the sample, before it is known which hold digits or at-signs.
+DRAWN = 16
 SAMPLE_SPANS = 12_000
 PRECISION = 0.99
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -292,12 +294,18 @@ def train(texts: list[str], seed: int = 5) -> Detector:
 
 
 def sample_texts(docs: DataFrame, id_col: str, text_col: str, rows: int = SAMPLE_DOCS) -> list[str]:
-    """Texts with digits or at-signs of at most ``rows`` documents, by the smallest hashes of id and text."""
-    table = pick(docs, key=id_col, text=text_col).filter(F.col("text").rlike("[0-9]{6}|@"))
-    order = F.xxhash64(F.col("key").cast("string"), "text")
+    """Texts with digits or at-signs of at most ``rows`` documents, by the smallest hashes of id and text.
+
+    Only about ``DRAWN * rows`` documents, drawn by hash, are looked at and may pass through the driver's merge.
+    """
+    table = pick(docs, key=id_col, text=text_col).withColumn("o", F.xxhash64(F.col("key").cast("string"), "text"))
+    share = DRAWN * rows / max(1, docs.count())
+    if share < 1:
+        table = table.filter(F.pmod("o", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
     # only the lines with such characters, and what stands beside them, are needed
     near = F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda line: line.rlike("[0-9]{4}|@")))
-    return [row[0] for row in table.select(order.alias("o"), near.alias("t")).orderBy("o").limit(rows).select("t").collect()]
+    found = table.filter(F.col("text").rlike("[0-9]{6}|@")).select("o", near.alias("t"))
+    return [row[0] for row in found.orderBy("o", "t").limit(rows).select("t").collect()]
 
 
 def _finder(detector: Detector, redacting: bool):
