@@ -36,7 +36,7 @@ from shelfwise.llm.frames import fresh, pick, quoted
 from shelfwise.llm.token_counts import tokenizer_path
 
 #: Words and token pairs remembered by one worker before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 END = "</w>"
 # Fixed values of the vocabulary file: white space of Unicode, and the pattern of its pre-tokens.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"

@@ -38,6 +38,8 @@ SWITCH = 14.0
 UNDETERMINED = "und"
 #: Words remembered by one worker before it starts anew.
 REMEMBERED = 150_000
+#: Texts whose words a worker holds as separate objects at a time.
+SPLIT_AT_ONCE = 200
 # First code points of the ranges of some scripts; "other" between them.
 SCRIPTS = [
     (0x41, "latin"), (0x250, "other"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"),
@@ -108,12 +110,14 @@ class LanguageModel:
         """(language, share of letters, spans of words [first, last) in one language) of every text."""
         if len(self.words) > REMEMBERED:
             self.words, self.table, self.sizes = {}, np.zeros((0, 0), np.float32), np.zeros(0, np.int32)
-        split = [(text or "").encode().split() for text in texts]
-        missing = list(set().union(*split).difference(self.words)) if split else []
-        if missing:
-            self._learn(missing)
-        look = self.words.__getitem__
-        numbers = [np.fromiter(map(look, words), np.int64, len(words)) for words in split]
+        numbers: list[np.ndarray] = []
+        for begin in range(0, len(texts), SPLIT_AT_ONCE):  # words as objects are many times as large as their numbers
+            split = [(text or "").encode().split() for text in texts[begin : begin + SPLIT_AT_ONCE]]
+            missing = list(set().union(*split).difference(self.words))
+            if missing:
+                self._learn(missing)
+            look = self.words.__getitem__
+            numbers += [np.fromiter(map(look, words), np.int32, len(words)) for words in split]
         nothing = (UNDETERMINED, 0.0, [])
         if not self.languages:
             return [nothing for _ in texts]
@@ -140,7 +144,7 @@ class LanguageModel:
     def _label(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """Viterbi for many texts at once: the best language of every word."""
         size, width = max(map(len, texts)), len(self.languages)
-        words = np.full((len(texts), size), -1, np.int64)
+        words = np.full((len(texts), size), -1, np.int32)
         for row, numbers in zip(words, texts, strict=True):
             row[: len(numbers)] = numbers
         table = np.concatenate([self.table, np.zeros((1, width), np.float32)])  # the last row is for padding
@@ -218,9 +222,9 @@ def _worker_model(key: bytes, model: LanguageModel) -> LanguageModel:
     return _current[key]
 
 
-def predictor(model: LanguageModel):
-    """A column function text -> struct(lang, score, spans)."""
-    kind = "lang string, score double, spans array<struct<first:int,last:int,lang:string>>"
+def predictor(model: LanguageModel, with_spans: bool = True):
+    """A column function text -> struct(lang, score, spans), or without the spans where nobody reads them."""
+    kind = "lang string, score double" + ", spans array<struct<first:int,last:int,lang:string>>" * with_spans
     key = hashlib.sha256(repr(model.languages).encode() + model.scores.tobytes() + model.allowed.tobytes()).digest()
 
     @F.pandas_udf(kind)
@@ -229,9 +233,11 @@ def predictor(model: LanguageModel):
         for texts in batches:
             rows = []
             for begin in range(0, len(texts), 2_000):
-                rows += own.predict(list(texts[begin : begin + 2_000]))
-            frame = pd.DataFrame(rows, columns=["lang", "score", "spans"])
-            frame["spans"] = [[{"first": a, "last": b, "lang": c} for a, b, c in spans] for spans in frame["spans"]]
+                found = own.predict(list(texts[begin : begin + 2_000]))
+                rows += found if with_spans else [(lang, score) for lang, score, _ in found]
+            frame = pd.DataFrame(rows, columns=["lang", "score", "spans"][: 2 + with_spans])
+            if with_spans:
+                frame["spans"] = [[{"first": a, "last": b, "lang": c} for a, b, c in spans] for spans in frame["spans"]]
             yield frame
 
     return predict
@@ -260,7 +266,7 @@ def keep_identified(
     """The rows of ``docs`` whose text has a language that owns at least ``min_score`` of its letters."""
     model = train(docs, ~held_out(id_col), id_col, text_col, lang_col)
     name = fresh(docs, "_language")
-    marked = docs.withColumn(name, predictor(model)(quoted(text_col)))
+    marked = docs.withColumn(name, predictor(model, False)(quoted(text_col)))
     kept = marked.filter((quoted(name)["lang"] != UNDETERMINED) & (quoted(name)["score"] >= min_score))
     return kept.drop(quoted(name))
 

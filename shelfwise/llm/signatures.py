@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,12 +115,12 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def _confirm(percent: int):
     """Keeps the pairs whose full sets are similar enough."""
 
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch["set_a"], batch["set_b"], strict=True):
-                keep.append(_similar(np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64), percent))
-            yield batch.loc[keep, ["a", "b"]]
+            sets = zip(batch.column("set_a"), batch.column("set_b"), strict=True)
+            # read where they lie: a batch holds two full sets a row
+            keep = [_similar(np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64), percent) for left, right in sets]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return confirm
 
@@ -233,7 +234,7 @@ def near_duplicates(
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
         b = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInPandas(_confirm(percent), "a long, b long")
+        return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
 
     # every class starts as its own component; confirmed links join components
     state = stored(reps.select("rep", F.col("rep").alias("c")))
