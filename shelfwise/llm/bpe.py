@@ -32,11 +32,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.frames import fresh, pick, quoted
+from shelfwise.llm.frames import fresh, pick, quoted, remembered
 from shelfwise.llm.token_counts import tokenizer_path
 
 #: Words and token pairs remembered by one worker before it starts anew.
-REMEMBERED = 120_000
+REMEMBERED = 150_000
 END = "</w>"
 # Fixed values of the vocabulary file: white space of Unicode, and the pattern of its pre-tokens.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -208,17 +208,13 @@ class WordBpe:
             yield ids, self.decode(np.frombuffer(ids, "<u4").tolist())
 
 
-@functools.lru_cache(maxsize=2)
-def _bpe(path: str) -> WordBpe:
-    return WordBpe(path)
-
-
 def _coder(tokenizer: str, digest: bool):
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "n_tokens long, ids array<int>, decoded string"
 
     @F.pandas_udf(kind)
     def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = _bpe(tokenizer_path(tokenizer))
+        path = tokenizer_path(tokenizer)
+        bpe = remembered(("bpe", path), lambda: WordBpe(path))
         for texts in batches:
             rows = []
             for begin in range(0, len(texts), 500):

@@ -66,3 +66,18 @@ def seconds(action) -> float:
     start = time.perf_counter()
     action()
     return time.perf_counter() - start
+
+
+_kept: dict = {}
+
+
+def remembered(key, make):
+    """What a Python worker keeps from task to task under ``key``, made on first use.
+
+    A worker keeps the memory of one operator at a time: workers outlive stages, and the memories of all stages together
+    would stand in the way of the later ones.
+    """
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]

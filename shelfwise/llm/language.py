@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.frames import fresh, pick, quoted
+from shelfwise.llm.frames import fresh, pick, quoted, remembered
 
 FEATURES = 1 << 15
 #: Labelled documents per language that the classifier is fitted on.
@@ -211,17 +211,6 @@ def train(docs: DataFrame, learnable: Column, id_col: str, text_col: str, lang_c
     return LanguageModel(languages, scores.astype(np.float32), allowed)
 
 
-#: The model that this worker used last, with the words it has scored; later tasks go on with it.
-_current: dict[bytes, LanguageModel] = {}
-
-
-def _worker_model(key: bytes, model: LanguageModel) -> LanguageModel:
-    if key not in _current:
-        _current.clear()
-        _current[key] = model
-    return _current[key]
-
-
 def predictor(model: LanguageModel, with_spans: bool = True):
     """A column function text -> struct(lang, score, spans), or without the spans where nobody reads them."""
     kind = "lang string, score double" + ", spans array<struct<first:int,last:int,lang:string>>" * with_spans
@@ -229,7 +218,7 @@ def predictor(model: LanguageModel, with_spans: bool = True):
 
     @F.pandas_udf(kind)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own = _worker_model(key, model)
+        own = remembered(("language", key), lambda: model)
         for texts in batches:
             rows = []
             for begin in range(0, len(texts), 2_000):
