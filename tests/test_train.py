@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.config import EmbeddingModel, FeatureWeights, TextVectorization
+from shelfwise.config import EmbeddingModel, FeatureColumns, FeatureWeights, TextVectorization
 from shelfwise.operators import svd as S
 from shelfwise.operators import text_features as X
 from shelfwise.plans import train as T
@@ -93,7 +93,7 @@ def test_tfidf_by_hand(spark):
     idf = lambda df: np.log((1 + 4) / (1 + df)) + 1
     assert np.isclose(weights[1, "space"], 2 * idf(2)) and np.isclose(weights[1, "fight"], idf(1))
     assert len(weights) == 6
-    unit = X.tfidf(features, ["text_description_tokens"], TextVectorization(1, 1.0), FeatureWeights(description=2.0))
+    unit = X.tfidf(features, ["text_description_tokens"], TextVectorization(1, 1.0), {"text_description_tokens": 2.0})
     norms = unit.groupBy("item_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("n")).collect()
     assert all(np.isclose(r["n"], 2.0) for r in norms)
     assert X.tfidf(features, ["cat_mechanics"], TextVectorization(min_df=3)).count() == 0
@@ -107,9 +107,10 @@ def test_real_bigrams_are_terms(spark):
 
 
 def test_weights_and_roles(spark):
-    weights = FeatureWeights()
-    names = ["text_description_tokens", "cat_mechanics", "cat_themes", "cat_other", "text_categories"]
-    assert [X.column_weight(n, weights) for n in names] == [1.0, 0.8, 0.6, 1.0, 0.8]
+    weights = X.feature_column_weights(FeatureWeights(themes=0.5))
+    assert weights == {"text_description_tokens": 1.0, "cat_mechanics": 0.8, "cat_categories": 0.8, "cat_themes": 0.5}
+    other = X.feature_column_weights(FeatureWeights(), FeatureColumns(text=["rules"], categorical=["mechanics"]))
+    assert other == {"text_rules_tokens": 1.0, "cat_mechanics": 0.8}
     frame = spark.createDataFrame([], "item_id bigint, num_user_ratings bigint, num_num_user_ratings double")
     assert X.feature_schema(frame)["numeric"] == ["num_user_ratings", "num_num_user_ratings"]
     assert X.feature_schema(frame, exclude=["num_user_ratings"])["numeric"] == ["num_num_user_ratings"]
