@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.frames import fresh, pick, quoted, remembered
+from shelfwise.llm.frames import fresh, pick, quoted, remembered, small_batches
 from shelfwise.llm.token_counts import tokenizer_path
 
 #: Words and token pairs remembered by one worker before it starts anew.
@@ -231,18 +231,21 @@ def _coder(tokenizer: str, digest: bool):
 
 def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, ids (array of int), decoded (text)."""
+    small_batches(docs.sparkSession)
     coded = pick(docs, doc_id=id_col, text=text_col).select("doc_id", _coder(tokenizer, False)("text").alias("c"))
     return coded.select("doc_id", "c.n_tokens", "c.ids", "c.decoded")
 
 
 def encoding_digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As ``encode_documents`` with SHA-256 sums, built where the ids are: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    small_batches(docs.sparkSession)
     coded = pick(docs, doc_id=id_col, text=text_col).select("doc_id", _coder(tokenizer, True)("text").alias("c"))
     return coded.select("doc_id", "c.n_tokens", "c.ids_sha256", "c.decoded_sha256")
 
 
 def with_encoding(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` and n_tokens, ids_sha256, decoded_sha256 (renamed where the table has such columns)."""
+    small_batches(docs.sparkSession)
     name = fresh(docs, "_coded")
     coded = docs.withColumn(name, _coder(tokenizer, True)(quoted(text_col)))
     added = [quoted(name)[field].alias(fresh(docs, field)) for field in ("n_tokens", "ids_sha256", "decoded_sha256")]

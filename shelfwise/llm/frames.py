@@ -12,6 +12,8 @@ from shelfwise.session import work_folder
 #: A word is a longest run of characters other than these blanks (space, tab, line breaks).
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
+#: Rows with texts that a Python worker receives at a time.
+BATCH_ROWS = 1_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +64,17 @@ def empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Arrow batches of at most ``rows`` rows from now on in this session (left alone where they are smaller already).
+
+    A batch stands several times in a Python worker and once beside the heap of the executor; Spark's 10,000 rows of long
+    texts are tens of megabytes each time.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def seconds(action) -> float:
     start = time.perf_counter()
     action()

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.frames import fresh, pick, quoted, remembered
+from shelfwise.llm.frames import fresh, pick, quoted, remembered, small_batches
 
 FEATURES = 1 << 15
 #: Labelled documents per language that the classifier is fitted on.
@@ -191,6 +191,7 @@ def train(docs: DataFrame, learnable: Column, id_col: str, text_col: str, lang_c
 
     The driver sees the number of rows per language and the model itself.
     """
+    small_batches(docs.sparkSession)
     rows = docs.filter(learnable & quoted(lang_col).isNotNull() & quoted(text_col).isNotNull() & quoted(id_col).isNotNull())
     rows = pick(rows, key=id_col, text=text_col, lang=lang_col).withColumn("lang", F.col("lang").cast("string"))
     sizes = {row["lang"]: row["count"] for row in rows.groupBy("lang").count().collect()}

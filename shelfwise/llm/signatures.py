@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
-from shelfwise.llm.frames import empty, fresh, pick, quoted, stored
+from shelfwise.llm.frames import empty, fresh, pick, quoted, small_batches, stored
 
 COORDINATES = 48
 MATCHES = 27
@@ -205,6 +205,7 @@ def near_duplicates(
     coordinates: int = COORDINATES, least: int = MATCHES, rounds: int = ROUNDS,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
+    small_batches(docs.sparkSession)
     table = pick(docs, doc_id=id_col, text=text_col)
     signed = stored(table.select("doc_id", _signed(words, coordinates)("text").alias("s")).select("doc_id", "s.*"))
     classes = stored(
