@@ -1,9 +1,13 @@
 """Exact order statistics without ever sorting a whole group in one task.
 
 Values are first counted (map-side combined). A group's value range is then cut
-into equal-width buckets, the bucket holding the wanted rank is found from the
-bucket counts, and its range is cut again. Only the values of the last, tiny
+into buckets of equal width on a signed logarithmic scale, which heavy tails
+cannot crowd; the bucket holding the wanted rank is found from the bucket counts,
+and its range is cut again into equal widths. Only the values of the last, tiny
 range are ordered in a window, so one group may hold any share of the rows.
+
+bigint values are compared and returned as bigint, all others as double; the
+scales only choose buckets, and being monotone they cannot change a rank.
 """
 
 from __future__ import annotations
@@ -14,7 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
-LEVELS = 2
+#: Fixed bounds of the logarithmic scale: finite doubles lie within +-SCALE_END.
+_LOG_SHIFT, _SCALE_END, _SCALE_NAN = 1100.0, 2200.0, 2300.0
 
 RankRule = Callable[[Column], Column]
 
@@ -52,7 +57,7 @@ def order_statistics(
         return whole.drop("_g")
     by = list(by)
     counted = (
-        df.select(*by, F.col(value).cast("double").alias("_v"))
+        df.select(*by, F.col(value).cast(_kind(df, value)).alias("_v"))
         .filter(F.col("_v").isNotNull())
         .groupBy(*by, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
@@ -75,8 +80,8 @@ def order_statistics(
         ).alias("_t"),
     ).select(*by, "n", "_lo", "_hi", "_t.*")
 
-    for _ in range(LEVELS):
-        targets = _narrow(counted, targets, by, few_groups)
+    for scale in (_signed_log, _plain):
+        targets = _narrow(counted, targets, by, few_groups, scale)
 
     order = Window.partitionBy(*by, "_stat").orderBy("_v")
     picked = (
@@ -90,6 +95,22 @@ def order_statistics(
     )
 
 
+def _kind(df: DataFrame, value: str) -> str:
+    kind = df.select(F.col(value).alias("_v")).schema["_v"].dataType.simpleString()
+    return "bigint" if kind == "bigint" else "double"
+
+
+def _plain(value: Column) -> Column:
+    return value.cast("double")
+
+
+def _signed_log(value: Column) -> Column:
+    """A monotone scale from -SCALE_END to SCALE_END; NaN is the greatest, as in an ordering."""
+    x = value.cast("double")
+    size = F.least(F.log2(F.abs(x)) + _LOG_SHIFT, F.lit(_SCALE_END))
+    return F.when(F.isnan(x), _SCALE_NAN).when(x == 0, 0.0).otherwise(F.signum(x) * size)
+
+
 def _within(counted: DataFrame, targets: DataFrame, by: Sequence[str], few_groups: bool) -> DataFrame:
     """Counted values inside each target's current range (one target per group and statistic)."""
     if few_groups:
@@ -97,9 +118,12 @@ def _within(counted: DataFrame, targets: DataFrame, by: Sequence[str], few_group
     return counted.join(targets, list(by)).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
 
 
-def _narrow(counted: DataFrame, targets: DataFrame, by: Sequence[str], few_groups: bool) -> DataFrame:
-    width = (F.col("_hi") - F.col("_lo")) / BUCKETS
-    slot = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(BUCKETS - 1)))
+def _narrow(
+    counted: DataFrame, targets: DataFrame, by: Sequence[str], few_groups: bool, scale: Callable[[Column], Column]
+) -> DataFrame:
+    low = scale(F.col("_lo"))
+    width = (scale(F.col("_hi")) - low) / BUCKETS
+    slot = F.when(width > 0, F.least(F.floor((scale(F.col("_v")) - low) / width), F.lit(BUCKETS - 1)))
     buckets = (
         _within(counted, targets, by, few_groups)
         .withColumn("_b", F.coalesce(slot, F.lit(0)))

@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shelfwise.operators import order_stats as O
 
@@ -16,6 +17,7 @@ def test_against_sorted_lists(spark, monkeypatch, buckets):
         "negative": [rng.uniform(-5, 5) for _ in range(50)],
         "one": [3.25],
         "same": [7.0] * 40,
+        "signs": [s * 10.0 ** rng.uniform(-300, 300) for s in (-1, 1) for _ in range(60)] + [0.0, -math.inf, math.inf],
     }
     rows = [(g, v) for g, values in groups.items() for v in values] + [("ties", None)]
     ranks = {
@@ -38,3 +40,19 @@ def test_against_sorted_lists(spark, monkeypatch, buckets):
     whole = O.order_statistics(df, [], "v", {"m": O.nearest_rank(0.5)}).first()
     everything = sorted(v for _, v in rows if v is not None)
     assert whole["m"] == everything[math.floor((len(everything) - 1) * 0.5 + 0.5)]
+
+
+def test_heavy_tails_leave_few_values_to_sort(spark):
+    draws = spark.range(100_000).select(F.lit("g").alias("g"), F.exp(F.rand(3) * 40 - 10).alias("v"))
+    counted = draws.select("g", F.col("v").alias("_v"), F.lit(1).cast("bigint").alias("_c"))
+    spans = counted.groupBy("g").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("n"))
+    targets = spans.select("g", "n", "_lo", "_hi", F.lit("t").alias("_stat"), F.lit(30_000).cast("bigint").alias("_k"))
+    for scale in (O._signed_log, O._plain):
+        targets = O._narrow(counted, targets, ["g"], True, scale)
+    assert O._within(counted, targets, ["g"], True).count() <= 10
+
+
+def test_large_integers_stay_exact(spark):
+    values = [(1 << 53) + i for i in range(5)]
+    row = O.order_statistics(spark.createDataFrame([(v,) for v in values], "v long"), [], "v", {"m": O.LOWER_MIDDLE}).first()
+    assert row["m"] == values[2]
