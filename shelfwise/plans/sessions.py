@@ -45,7 +45,9 @@ def explained_results(
     """(valid requests with their group, explained results of these requests).
 
     ``liked`` may repeat items per user only for requests that are thereby
-    rejected. Requests without any suitable result have no result rows.
+    rejected; a column ``pos`` gives the order in which the user named them, id
+    order without it. Requests without any suitable result have no result rows;
+    :func:`session_outcomes` tells what became of every request.
     """
     # one short row per request, read by every later step
     valid = cut_lineage(
@@ -54,17 +56,48 @@ def explained_results(
         .drop("reject_reason")
         .withColumn("study_group", study_group(participant_id(F.col("user_id")), override))
     )
-    likes = liked.select("user_id", "item_id").join(valid.select("user_id").distinct(), "user_id", "left_semi")
+    pos = F.col("pos") if "pos" in liked.columns else F.lit(0)
+    positioned = liked.select("user_id", "item_id", pos.alias("pos")).join(
+        valid.select("user_id").distinct(), "user_id", "left_semi"
+    )
+    likes = positioned.select("user_id", "item_id")
     ranked = ranker(valid, likes, items, catalog, prefs).select(
         "request_id", "user_id", "rank", "item_id", "score"
     )
-    # liked lists are stored in id order
-    positioned = likes.withColumn("pos", F.lit(0))
     explained = explainer(ranked, valid, positioned, items, catalog)
     titled = explained.join(catalog.select("item_id", "title"), "item_id")
     return valid, titled
 
 
+def session_outcomes(requests: DataFrame, liked: DataFrame, ranked: DataFrame, catalog: DataFrame) -> DataFrame:
+    """One row per request: request_id, status, reason, n_results, n_missing.
+
+    ``rejected`` with the reason of the check, ``unavailable`` when nothing suits,
+    ``incomplete`` when results have no catalog record (``n_missing`` of them), else
+    ``ok``. ``ranked``: request_id, item_id.
+    """
+    known = catalog.select("item_id", F.lit(1).alias("_known"))
+    counts = ranked.select("request_id", "item_id").join(known, "item_id", "left").groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("_all"), F.count("_known").alias("_found")
+    )
+    checked = request_checks(requests, liked).join(counts, "request_id", "left")
+    n_results = F.coalesce("_all", F.lit(0))
+    n_missing = n_results - F.coalesce("_found", F.lit(0))
+    status = (
+        F.when(F.col("reject_reason").isNotNull(), "rejected")
+        .when(n_results == 0, "unavailable")
+        .when(n_missing > 0, "incomplete")
+        .otherwise("ok")
+    )
+    reason = F.coalesce(
+        "reject_reason",
+        F.when(status == "unavailable", "no item suits the request").when(status == "incomplete", "results without catalog record"),
+    )
+    return checked.select(
+        "request_id", status.alias("status"), reason.alias("reason"), n_results.alias("n_results"), n_missing.alias("n_missing")
+    )
+
+
 def generate_sessions(
     requests: DataFrame,
     liked: DataFrame,

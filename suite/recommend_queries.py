@@ -14,7 +14,7 @@ from shelfwise.operators import sessions as X
 from shelfwise.operators.preferences import centroids, cluster_count
 from shelfwise.operators.references import liked_similarities
 from shelfwise.plans import recommend as P
-from shelfwise.plans.sessions import explained_results, generate_sessions
+from shelfwise.plans.sessions import explained_results, generate_sessions, session_outcomes
 from suite.registry import query, r6, sql_list
 
 # Ranking compares scores to twelve decimals, in both engines.
@@ -519,6 +519,32 @@ def assemble_sessions(fx):
     )
 
 
+@query(
+    "session_outcomes",
+    f"""WITH {_POST},
+        likes AS (SELECT user_id, count(*) AS n, count(DISTINCT item_id) AS d, min(item_id) AS least FROM purchases GROUP BY user_id),
+        checked AS (SELECT r.request_id, CASE WHEN coalesce(k.n, 0) = 0 THEN 'no liked items' WHEN k.d < k.n THEN 'liked items repeat'
+                           WHEN k.least < 1 THEN 'liked ids must be positive' WHEN r.players IS NULL OR r.players < 1 THEN 'players must be positive'
+                           WHEN coalesce(r.num_results, 10) NOT BETWEEN 1 AND 100 THEN 'num_results must be between 1 and 100'
+                           WHEN r.duration IS NOT NULL AND r.duration NOT IN ('short', 'medium', 'long') THEN 'unknown duration' END AS rejected
+                    FROM requests r LEFT JOIN likes k USING (user_id)),
+        counts AS (SELECT request_id, count(*) AS n, count(*) FILTER (s.item_id % 7 = 0) AS missing
+                   FROM suited s WHERE new_rank < num_results GROUP BY request_id),
+        told AS (SELECT request_id, rejected, CASE WHEN rejected IS NULL THEN coalesce(n, 0) ELSE 0 END AS n_results,
+                        CASE WHEN rejected IS NULL THEN coalesce(missing, 0) ELSE 0 END AS n_missing FROM checked LEFT JOIN counts USING (request_id))
+        SELECT request_id, n_results, n_missing,
+               CASE WHEN rejected IS NOT NULL THEN 'rejected' WHEN n_results = 0 THEN 'unavailable' WHEN n_missing > 0 THEN 'incomplete' ELSE 'ok' END AS status,
+               CASE WHEN rejected IS NOT NULL THEN rejected WHEN n_results = 0 THEN 'no item suits the request'
+                    WHEN n_missing > 0 THEN 'results without catalog record' END AS reason FROM told""",
+    "purchases", "liked", "items", "requests", "record_columns", "records",
+)
+def outcomes(fx):
+    """What became of every request when every seventh item has lost its catalog record."""
+    requests, likes = fx.view("requests"), fx.view("purchases")
+    _, results = explained_results(requests, likes, _vectors(fx), fx.records(), SINGLE_CENTROID)
+    return session_outcomes(requests, likes, results, fx.records().filter("item_id % 7 <> 0"))
+
+
 _STORED_SQL = """
     stored AS (SELECT 'rec-' || o_orderkey AS id, 'participant-' || o_custkey AS participant_id,
                       CASE WHEN o_orderpriority = '5-LOW' THEN 'not a time' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS created_at,
