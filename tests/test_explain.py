@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators import blocks as B
 from shelfwise.operators import explain as E
 from shelfwise.operators import references as R
-from shelfwise.plans.sessions import generate_sessions
+from shelfwise.plans.sessions import generate_sessions, session_outcomes
 from shelfwise.operators import sessions as X
 
 RANKED = "request_id string, user_id bigint, rank int, item_id bigint, score double"
@@ -139,3 +139,33 @@ def test_sessions_end_to_end(spark):
     first = rows["a"]
     assert decoded[first["id"]]["recommendations"][0]["item"]["id"] == 2 and decoded[first["id"]]["skipped"] == 0
     assert decoded[first["id"]]["created_at"] == first["created_at"]
+
+
+def test_liked_order_and_outcomes(spark):
+    store = vectors_of(spark, {1: [1, 0], 2: [1, 0], 3: [0.8, 0.6]})
+    catalog = frame(
+        spark,
+        [(i, f"T{i}", ["Trading"], ["Fantasy"], ["family"], 1, 4, 30) for i in range(1, 4)],
+        CATALOG + ", min_players int, max_players int, playing_time_minutes int",
+    )
+    asked = frame(
+        spark,
+        [("a", 1, 2, None, 1), ("b", 1, 9, None, 1), ("c", 1, 0, None, 1), ("d", 4, 2, None, 1)],
+        "request_id string, user_id bigint, players int, duration string, num_results int",
+    )
+    moment = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    for order in ([1, 2], [2, 1]):
+        liked = frame(spark, [(1, item, pos) for pos, item in enumerate(order)], "user_id bigint, item_id bigint, pos int")
+        (row,) = generate_sessions(asked, liked, store, catalog, created_at=moment, override=F.lit("references")).collect()
+        told = row["recommendations"][0]["explanation"]["references"]
+        assert [r["liked_id"] for r in told] == order
+    ranked = frame(spark, [("a", 3)], "request_id string, item_id bigint")
+    found = {r["request_id"]: tuple(r)[1:] for r in session_outcomes(asked, liked, ranked, catalog).collect()}
+    assert found == {
+        "a": ("ok", None, 1, 0),
+        "b": ("unavailable", "no item suits the request", 0, 0),
+        "c": ("rejected", "players must be positive", 0, 0),
+        "d": ("rejected", "no liked items", 0, 0),
+    }
+    bare = session_outcomes(asked, liked, ranked, catalog.filter("item_id <> 3")).filter("request_id = 'a'").first()
+    assert tuple(bare)[1:] == ("incomplete", "results without catalog record", 1, 1)
