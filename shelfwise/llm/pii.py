@@ -3,14 +3,16 @@
 *Base* spans follow fixed rules per kind (e-mail, IP address, card number, phone number) and always stay.
 
 *Candidates* come from generators with high recall that may overlap: e-mail forms with written-out or bracketed "at" and
-"dot", numbers in groups with any separators, dotted numbers, phone numbers without a plus sign. Boosted regression trees
-score each candidate from its format and the characters and words around it; a threshold per kind, set on held-out
-candidates so that at least ``PRECISION`` of the accepted ones are right, selects the added spans. An added span never
-overlaps a base span or a better one.
+"dot", dotted numbers, and every run of 7 to 19 digits in consecutive groups, phone numbers without a plus sign among them.
+Boosted regression trees score each candidate from its format and the characters and words around it; a threshold per kind,
+set on held-out candidates so that at least ``PRECISION`` of the accepted ones are right, selects the added spans. An added
+span never overlaps a base span or a better one; of equal ones the longer stays.
 
-Nobody labels spans here, so the labels are made: rule-conforming spans and reformatted copies of them are positive,
-candidates that fail their kind's checks are negative. The trees are fitted on a bounded sample of documents
-(``SAMPLE_DOCS``) and of candidates (``SAMPLE_SPANS``); everything else covers every whole text.
+Nobody labels spans here, so the labels are made. Right: rule-conforming spans, and reformatted copies of them, alone and side
+by side. Wrong: candidates that fail a check of their kind or are of another kind, cut-outs of right spans, random digits.
+Candidates that no check decides are not used. A bounded sample of documents (``SAMPLE_DOCS``)
+is searched for both; of each kind, right and wrong, the ``SAMPLE_SPANS`` / 8 with the smallest hashes are used. A kind without
+enough held-out proof adds nothing.
 
 Null and empty texts have no spans. Offsets are code points, the end exclusive. Rows with equal ids are independent.
 """
@@ -36,6 +38,10 @@ SAMPLE_DOCS = 4_000
 DRAWN = 16
 SAMPLE_SPANS = 12_000
 PRECISION = 0.99
+#: Characters that features read before and after a span.
+BEFORE, AFTER = 24, 12
+#: Longer spans are not used for training.
+LONGEST = 400
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -45,7 +51,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _AT = re.compile(r"\s?[\[({]\s?(?:at|AT|@)\s?[\])}]\s?|\s(?:at|AT)\s(?=[A-Za-z0-9-]{1,63}\s(?:dot|DOT)\s)|\s?@\s?")
 _WORDS_BEFORE = re.compile(r"[A-Za-z0-9._%+-]{1,64}\Z")
 _HOST = re.compile(r"[A-Za-z0-9-]{1,63}(?:\s?(?:\.|[\[({]\s?(?:dot|DOT|\.)\s?[\])}]|\s(?:dot|DOT)\s)\s?[A-Za-z0-9-]{1,63}){1,5}")
-_GROUPS = re.compile(r"\(?\+?[0-9](?:[\x20()./-]{0,2}[0-9]){6,24}")
+_GROUP = re.compile(r"[0-9]+")
+_JOINING = re.compile(r"[\x20()./-]{1,2}")
 _DOTTED = re.compile(r"[0-9]{1,5}(?:\s?\.\s?[0-9]{1,5}){3,5}")
 _HINTS = {
     "email": re.compile(r"mail|contact|write|reach", re.I),
@@ -53,6 +60,9 @@ _HINTS = {
     "card": re.compile(r"card|visa|pay|credit|account", re.I),
     "phone": re.compile(r"\btel|phone|call|fax|mobile", re.I),
 }
+_DIGIT_BEFORE = re.compile(r"[0-9][\x20()./-]{0,2}\Z")
+_DIGIT_AFTER = re.compile(r"[\x20()./-]{0,2}\+?[0-9]")
+_LETTERS_LAST = re.compile(r"[A-Za-z]{2,}\Z")
 _AGAINST = re.compile(r"version|isbn|order|invoice|section|\bno\.|=|#|\bid\b", re.I)
 
 
@@ -99,6 +109,22 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
+def numbers(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, digits) of every run of consecutive digit groups with 7 to 19 digits, overlaps included."""
+    groups = [m.span() for m in _GROUP.finditer(text)]
+    for i, (start, _) in enumerate(groups):
+        count, last = 0, None
+        for a, b in groups[i : i + 19]:
+            if last is not None and not (a - last <= 2 and _JOINING.fullmatch(text, last, a)):
+                break
+            count, last = count + b - a, b
+            if count > 19:
+                break
+            if count >= 7:
+                first = start - (text[start - 1 : start] == "+")
+                yield first - (text[first - 1 : first] == "("), b, count
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Spans that may be personal data, overlaps included."""
     found = []
@@ -110,19 +136,18 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                 found.append(("email", before.start(), after.end()))
     for m in _DOTTED.finditer(text):
         found.append(("ip", *m.span()))
-    for m in _GROUPS.finditer(text):
-        count = len(_digits(m[0]))
-        if 7 <= count <= 15:
-            found.append(("phone", *m.span()))
-        if 13 <= count <= 19:
-            found.append(("card", *m.span()))
+    for a, b, count in numbers(text):
+        if count <= 15:
+            found.append(("phone", a, b))
+        if count >= 13:
+            found.append(("card", a, b))
     return found
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format and context of one span."""
     span, digits = text[start:end], _digits(text[start:end])
-    before, after = text[max(0, start - 24) : start], text[end : end + 12]
+    before, after = text[max(0, start - BEFORE) : start], text[end : end + AFTER]
     groups = re.findall(r"[0-9]+", span)
     parts = span.replace(" ", "").split(".")
     hint, against = _HINTS[kind], _AGAINST
@@ -137,6 +162,9 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(last.isalnum()), float(last in ".-/=#" and last != ""), float(first.isalnum()), float(first in "-/%" and first != ""),
         float(len(span.rsplit(".", 1)[-1]) if kind == "email" else 0),
         float(bool(re.search(r"[\[({\s](?:at|AT|@)[\])}\s]", span))), float(bool(re.search(r"(?:19|20)[0-9]{2}[./-]", span))),
+        float(len(groups[0]) if groups else 0), float(len(groups[-1]) if groups else 0), float(len(set(re.findall(r"[^0-9]+", span.lstrip("(+"))))),
+        float(bool(_DIGIT_BEFORE.search(before))), float(bool(_DIGIT_AFTER.match(after))),
+        float(bool(_LETTERS_LAST.search(span))), float(bool(re.search(r"\.\s", span))),
     ]
 
 
@@ -196,6 +224,11 @@ class Detector:
     trees: Boosted | None
     thresholds: dict[str, float]
 
+    @property
+    def silent(self) -> list[str]:
+        """Kinds that add no span anywhere."""
+        return [kind for kind in KINDS if self.trees is None or self.thresholds[kind] > 1]
+
     def spans(self, text: str | None) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
         """(base spans by kind, all spans ordered by kind and start)."""
         text = text or ""
@@ -210,13 +243,14 @@ class Detector:
         taken = sorted(taken)
         starts = np.array([a for a, _ in taken])
         ends = np.maximum.accumulate([b for _, b in taken]) if taken else starts
-        free = [c for c in candidates(text) if not (len(starts) and (i := np.searchsorted(starts, c[2])) and ends[i - 1] > c[1])]
+        silent = self.silent
+        free = [c for c in candidates(text) if c[0] not in silent and not (len(starts) and (i := np.searchsorted(starts, c[2])) and ends[i - 1] > c[1])]
         if not free:
             return []
         p = self.trees.probability(np.array([features(text, *c) for c in free]))
         chosen: list[tuple[str, int, int]] = []
         used: dict[int, int] = {}
-        for i in sorted(range(len(free)), key=lambda i: (-p[i], free[i][1], free[i][2])):
+        for i in sorted(range(len(free)), key=lambda i: (-p[i], free[i][1] - free[i][2], free[i][1])):
             kind, a, b = free[i]
             if p[i] >= self.thresholds[kind] and not any(k in used for k in range(a, b)):
                 used.update(dict.fromkeys(range(a, b), 1))
@@ -239,8 +273,87 @@ def _reformatted(kind: str, span: str, draw: random.Random) -> str:
     return draw.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "({}) {} {}"]).format(digits[:3], digits[3:6], digits[6:])
 
 
+def _meaningless(kind: str, span: str, draw: random.Random) -> str:
+    """What looks like the kind and is not."""
+    if kind == "email":
+        user, _, host = span.partition("@")
+        if draw.random() < 0.5:
+            return f"{user} @ {draw.randint(1, 99)}.{draw.randint(10, 99)}"
+        first, second, *_ = host.split(".")
+        return f"{user} @ {first}. {second.capitalize()}"
+    if kind == "ip":
+        return ".".join(str(draw.randint(256, 10 ** draw.randint(3, 5) - 1)) for _ in range(draw.choice([4, 4, 5])))
+    return "".join(draw.choice("0123456789") for _ in range(draw.choice([8, 12, 13, 14, 17, 18])))
+
+
+def _wrong(text: str, kind: str, a: int, b: int) -> bool:
+    """Whether a candidate fails a check of its kind; False where no check decides."""
+    span, digits = text[a:b], _digits(text[a:b])
+    if kind == "email":
+        return not _LETTERS_LAST.search(span)
+    if kind == "ip":
+        parts = re.findall(r"[0-9]+", span)
+        return len(parts) != 4 or any(int(part) > 255 for part in parts)
+    if kind == "card":
+        return not luhn(digits)
+    return bool(re.match(r"(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]", span)) or (len(digits) >= 13 and luhn(digits))
+
+
+def examples(text: str | None) -> Iterator[tuple[str, bool, int, int]]:
+    """(kind, right, start, end): base spans, and candidates that are known to be wrong."""
+    text = text or ""
+    base = base_spans(text)
+    every = sorted((a, b, kind) for kind in KINDS for a, b in base[kind])
+    yield from ((kind, True, a, b) for a, b, kind in every)
+    starts = np.array([a for a, _, _ in every])
+    ends = np.maximum.accumulate([b for _, b, _ in every]) if every else starts
+    for kind, a, b in candidates(text):
+        # the last base spans that start before the end; most candidates meet none
+        i = int(np.searchsorted(starts, b)) if every else 0
+        met = set()
+        while i and ends[i - 1] > a:
+            i -= 1
+            if every[i][1] > a:
+                met.add(every[i][2])
+        if (kind not in met) if met else _wrong(text, kind, a, b):
+            yield kind, False, a, b
+
+
+class Sample:
+    """Of each kind, right and wrong, the examples with the smallest hashes, each content once: (hash, text around, start, end)."""
+
+    def __init__(self, size: int = SAMPLE_SPANS // (2 * len(KINDS))) -> None:
+        self.size, self.kept, self.bar = size, {}, {}
+
+    def add(self, text: str | None) -> None:
+        for kind, right, a, b in examples(text):
+            if b - a > LONGEST:
+                continue
+            low = max(0, a - BEFORE)
+            near = text[low : b + AFTER]
+            digest = hashlib.blake2b(f"{kind}:{a - low}:{b - low}:{near}".encode("utf-8", "replace"), digest_size=8).digest()
+            place = int.from_bytes(digest, "big") >> 1
+            own = self.kept.setdefault((kind, right), {})
+            if place <= self.bar.get((kind, right), 1 << 63):
+                own[place] = (near, a - low, b - low)
+                if len(own) > 2 * self.size:
+                    own = self.kept[kind, right] = dict(sorted(own.items())[: self.size])
+                    self.bar[kind, right] = max(own)
+
+    def rows(self) -> list[tuple[str, bool, int, str, int, int]]:
+        return [(*key, place, *own[place]) for key, own in sorted(self.kept.items()) for place in sorted(own)[: self.size]]
+
+
 def train(texts: list[str], seed: int = 5) -> Detector:
-    """Fit trees and thresholds on a sample of texts (no trees without positives or negatives)."""
+    """Fit trees and thresholds on the examples of texts (no trees without positives or negatives)."""
+    sample = Sample()
+    for text in texts:
+        sample.add(text)
+    return fit(sample.rows(), seed)
+
+
+def fit(sample: list[tuple[str, bool, int, str, int, int]], seed: int = 5) -> Detector:
+    """Fit trees and thresholds on the rows of a sample."""
     draw = random.Random(seed)
     rows, labels, kinds = [], [], []
 
@@ -249,36 +362,40 @@ def train(texts: list[str], seed: int = 5) -> Detector:
         labels.append(float(right))
         kinds.append(kind)
 
-    for text in texts:
-        base = base_spans(text)
-        every = [(kind, a, b) for kind in KINDS for a, b in base[kind]]
-        for kind, a, b in every:
-            add(text, kind, a, b, True)
-            left, right = text[max(0, a - 24) : a], text[b : b + 12]
-            other = _reformatted(kind, text[a:b], draw)
-            changed = left + other + right
-            for found in candidates(changed):
-                if found[0] == kind and found[1] <= len(left) and found[2] >= len(left) + len(other):
-                    add(changed, *found, True)
-            if kind in ("card", "phone"):  # the same shape without meaning
-                digits = "".join(draw.choice("0123456789") for _ in range(draw.choice([8, 12, 13, 14, 17, 18])))
-                noise = left + digits + right
-                for found in candidates(noise):
-                    if not (len(digits) >= 13 and luhn(digits)):
-                        add(noise, *found, False)
-        for kind, a, b in candidates(text):
-            inside = [e for e in every if a < e[2] and e[1] < b]
-            if not inside:
-                add(text, kind, a, b, False)
-            elif all(e[0] != kind for e in inside):
-                add(text, kind, a, b, False)
-        if len(rows) >= SAMPLE_SPANS:
-            break
+    def copies(kind: str, left: str, values: list[str], right: str) -> None:
+        """Values side by side: what covers one of them is right, what cuts or joins them is wrong."""
+        at, wanted, text = len(left), [], left
+        for value in values:
+            text += " " * (text != left) + value
+            wanted.append((len(text) - len(value), len(text)))
+        text += right
+        for found, a, b in candidates(text):
+            if found in (kind, "phone", "card") and b > at and a < wanted[-1][1]:
+                whole = found == kind and any(a <= start and b == end and _digits(text[a:start]) == "" for start, end in wanted)
+                if whole or draw.random() < 0.3:
+                    add(text, found, a, b, whole)
+
+    sample = sorted(sample)
+    right_spans = {kind: [near[a:b] for k, right, _, near, a, b in sample if right and k == kind] for kind in KINDS}
+    for kind, right, _, near, a, b in sample:
+        add(near, kind, a, b, right)
+        if not right:
+            continue
+        before, after = near[:a], near[b:]
+        value = _reformatted(kind, near[a:b], draw)
+        copies(kind, before, [value], after)
+        if kind in ("card", "phone"):
+            copies(kind, before, [value, _reformatted(kind, draw.choice(right_spans[kind]), draw)], after)
+        noise = _meaningless(kind, near[a:b], draw)
+        text = before + noise + after
+        for found, start, end in candidates(text):
+            if start < len(before) + len(noise) and end > len(before) and not (kind in ("card", "phone") and len(noise) >= 13 and luhn(noise)):
+                add(text, found, start, end, False)
     y = np.array(labels)
     if not len(y) or y.min() == y.max():
         return Detector(None, dict.fromkeys(KINDS, 2.0))
     x = np.array(rows)
-    held = np.arange(len(y)) % 4 == 0
+    held = np.array([draw.random() < 0.25 for _ in rows])
     trees = Boosted.fit(x[~held], y[~held])
     p = trees.probability(x[held])
     thresholds = {}
@@ -287,9 +404,11 @@ def train(texts: list[str], seed: int = 5) -> Detector:
         order = np.argsort(-p[own], kind="stable")
         score, right = p[own][order], y[held][own][order]
         precision = np.cumsum(right) / np.arange(1, len(right) + 1)
-        good = np.flatnonzero(precision >= PRECISION)
-        # above every wrong one and at least even odds; a kind without held-out proof adds nothing
-        thresholds[kind] = max(0.5, float(score[good[-1]])) if len(good) >= 20 else 2.0
+        # only where the score changes: equal scores are accepted together
+        last = np.append(score[1:] != score[:-1], True) if len(score) else np.array([], bool)
+        good = np.flatnonzero((precision >= PRECISION) & last)
+        # at least even odds; a kind without held-out proof adds nothing
+        thresholds[kind] = max(0.5, float(score[good[-1]])) if len(good) and good[-1] >= 19 else 2.0
     return Detector(trees, thresholds)
 
 

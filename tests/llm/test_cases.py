@@ -102,6 +102,26 @@ def test_added_personal_data():
     assert detector.spans("nothing to see at the house")[1] == [] and detector.spans(None)[1] == []
 
 
+def test_numbers_side_by_side():
+    draw = random.Random(7)
+
+    def card():
+        digits = "".join(draw.choice("0123456789") for _ in range(15))
+        return next(digits + last for last in "0123456789" if pii.luhn(digits + last))
+
+    texts = [f"paid with {card()} then, from 10.{draw.randint(0, 255)}.{draw.randint(0, 255)}.7 or +1 ({draw.randint(200, 999)}) 555-{draw.randint(1000, 9999)} on" for _ in range(400)]
+    detector = pii.train(texts)
+
+    def found(text):
+        return [(kind, text[a:b]) for kind, a, b in detector.spans(text)[1]]
+
+    assert found("sum 7536784127813050 4845168114407329 here") == [("card", "7536784127813050"), ("card", "4845168114407329")]
+    assert found("tel 555-123-4567 555-987-6543 here") == [("phone", "555-123-4567"), ("phone", "555-987-6543")]
+    assert found("sum 4111.1111.1111.1111 12/26 here") == [("card", "4111.1111.1111.1111")]
+    assert found("tel 555-123-4567 2024-01-02 here") == [("phone", "555-123-4567")]
+    assert found("seen 12345678901234567890123456789012 here") == []
+
+
 def test_layout():
     page = """<head><title>no</title></head><h1>A &amp; B</h1><p>one<br>two <b>bold</b><p hidden>gone<p>three
     <ul><li>x<li>y<ol start=3><li>z</ol></ul><table><tr><th>n<th>value<tr><td>1<td>long cell<tr><td colspan=2>all</table><script>var a="<p>";</script>
