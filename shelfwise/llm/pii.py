@@ -10,9 +10,9 @@ span never overlaps a base span or a better one; of equal ones the longer stays.
 
 Nobody labels spans here, so the labels are made. Right: rule-conforming spans, and reformatted copies of them, alone and side
 by side. Wrong: candidates that fail a check of their kind or are of another kind, cut-outs of right spans, random digits.
-Candidates that no check decides are not used. A bounded sample of documents (``SAMPLE_DOCS``)
-is searched for both; of each kind, right and wrong, the ``SAMPLE_SPANS`` / 8 with the smallest hashes are used. A kind without
-enough held-out proof adds nothing.
+Candidates that no check decides are not used. All documents are searched for both; of each kind, right and wrong, the
+``SAMPLE_SPANS`` / 8 with the smallest hashes are used. A kind without enough held-out proof adds nothing; it is logged and in
+``Detector.silent``.
 
 Null and empty texts have no spans. Offsets are code points, the end exclusive. Rows with equal ids are independent.
 """
@@ -20,6 +20,7 @@ Null and empty texts have no spans. Offsets are code points, the end exclusive.
 from __future__ import annotations
 
 import hashlib
+import logging
 import random
 import re
 from collections.abc import Iterator
@@ -30,12 +31,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.frames import fresh, pick, quoted
+from shelfwise.llm.frames import fresh, pick, quoted, stored
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 4_000
-#: Documents drawn for each one of the sample, before it is known which hold digits or at-signs.
-DRAWN = 16
 SAMPLE_SPANS = 12_000
 PRECISION = 0.99
 #: Characters that features read before and after a span.
@@ -412,19 +410,46 @@ def fit(sample: list[tuple[str, bool, int, str, int, int]], seed: int = 5) -> De
     return Detector(trees, thresholds)
 
 
-def sample_texts(docs: DataFrame, id_col: str, text_col: str, rows: int = SAMPLE_DOCS) -> list[str]:
-    """Texts with digits or at-signs of at most ``rows`` documents, by the smallest hashes of id and text.
+def sampled(docs: DataFrame, text_col: str) -> list[tuple[str, bool, int, str, int, int]]:
+    """The sample of all texts. Each task keeps its own smallest hashes; counts by the size of the hash then give the bar above
+    which no row of a kind is needed, so a tenth more than the sample at most reaches the driver."""
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sample = Sample()
+        for batch in batches:
+            for text in batch["text"]:
+                sample.add(text)
+        yield pd.DataFrame(sample.rows(), columns=["kind", "right", "place", "near", "a", "b"])
+
+    size = Sample().size
+    rows = pick(docs, text=text_col).mapInPandas(own, "kind string, right boolean, place long, near string, a int, b int")
+    rows = stored(rows.dropDuplicates(["kind", "right", "place"]))
+    step = F.floor(F.log2(F.col("place") + F.lit(1)) * 8).cast("int")
+    counts: dict[tuple[str, bool], list[tuple[int, int]]] = {}
+    for kind, right, at, n in rows.groupBy("kind", "right", step.alias("at")).count().collect():
+        counts.setdefault((kind, right), []).append((at, n))
+    needed = F.lit(False)
+    for (kind, right), steps in counts.items():
+        total, bar = 0, 0
+        for at, n in sorted(steps):
+            total, bar = total + n, at
+            if total >= size:
+                break
+        needed = needed | ((F.col("kind") == kind) & (F.col("right") == F.lit(right)) & (step <= bar))
+    kept: dict[tuple[str, bool], int] = {}
+    result = []
+    for row in sorted(tuple(row) for row in rows.filter(needed).collect()):
+        kept[row[:2]] = kept.get(row[:2], 0) + 1
+        if kept[row[:2]] <= size:
+            result.append(row)
+    return result
+
 
-    Only about ``DRAWN * rows`` documents, drawn by hash, are looked at and may pass through the driver's merge.
-    """
-    table = pick(docs, key=id_col, text=text_col).withColumn("o", F.xxhash64(F.col("key").cast("string"), "text"))
-    share = DRAWN * rows / max(1, docs.count())
-    if share < 1:
-        table = table.filter(F.pmod("o", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
-    # only the lines with such characters, and what stands beside them, are needed
-    near = F.concat_ws("\n", F.filter(F.split("text", "\n"), lambda line: line.rlike("[0-9]{4}|@")))
-    found = table.filter(F.col("text").rlike("[0-9]{6}|@")).select("o", near.alias("t"))
-    return [row[0] for row in found.orderBy("o", "t").limit(rows).select("t").collect()]
+def trained(docs: DataFrame, text_col: str) -> Detector:
+    detector = fit(sampled(docs, text_col))
+    if detector.silent:
+        logging.getLogger(__name__).warning("personal data: no proof on held-out spans, so only base spans for %s", ", ".join(detector.silent))
+    return detector
 
 
 def _finder(detector: Detector, redacting: bool):
@@ -460,14 +485,14 @@ def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, counts of base spans, base_sha256, spans (base and added)."""
-    detector = train(sample_texts(docs, id_col, text_col))
+    detector = trained(docs, text_col)
     found = pick(docs, doc_id=id_col, text=text_col).select("doc_id", _finder(detector, False)("text").alias("f"))
     return found.select("doc_id", "f.*")
 
 
 def with_redaction(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with their texts redacted."""
-    detector = train(sample_texts(docs, id_col, text_col))
+    detector = trained(docs, text_col)
     name = fresh(docs, "_found")
     marked = docs.withColumn(name, _finder(detector, True)(quoted(text_col)))
     return marked.select(*[quoted(name)["redacted"].alias(c) if c == text_col else quoted(c) for c in docs.columns])

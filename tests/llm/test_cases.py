@@ -122,6 +122,15 @@ def test_numbers_side_by_side():
     assert found("seen 12345678901234567890123456789012 here") == []
 
 
+def test_every_kind_is_learned_from_all_documents(spark, caplog):
+    draw = random.Random(8)
+    rows = [(i, f"seen from 10.{draw.randint(0, 255)}.{draw.randint(0, 255)}.{draw.randint(0, 255)} on") for i in range(300)] + [(300, "seen from 10. 2. 3. 4 on")]
+    with caplog.at_level("WARNING"):
+        found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[300] == "ip:10:21"
+    assert "email, card, phone" in caplog.text
+
+
 def test_layout():
     page = """<head><title>no</title></head><h1>A &amp; B</h1><p>one<br>two <b>bold</b><p hidden>gone<p>three
     <ul><li>x<li>y<ol start=3><li>z</ol></ul><table><tr><th>n<th>value<tr><td>1<td>long cell<tr><td colspan=2>all</table><script>var a="<p>";</script>
