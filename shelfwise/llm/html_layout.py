@@ -3,6 +3,8 @@
 A forgiving tokenizer feeds a tree builder that closes and opens the tags authors leave out; visibility rules drop what a
 reader never sees; the renderer keeps block spacing (blank lines between paragraphs, headings, lists and tables), list marks
 with nesting, preformatted text, and aligned columns for tables. All visible text is emitted, navigation and footers too.
+An open head ends at whatever cannot stand in it. Of an svg the text elements and embedded HTML are shown, of math all but
+annotations, of a select every option on a line of its own.
 
 Null and empty pages give an empty text. Broken markup never fails: an unclosed comment ends at the next ``>`` or, without
 one, is text; stray end tags are ignored. The tree is walked with explicit stacks, so depth is not limited, and columns of nested
@@ -23,7 +25,15 @@ from shelfwise.llm.frames import pick
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INVISIBLE = frozenset("head script style template noscript iframe object audio video canvas svg math datalist noembed noframes title param source track area base link meta select".split())
+INVISIBLE = frozenset("head script style template noscript iframe object audio video canvas datalist noembed noframes title param source track area base link meta annotation annotation-xml mphantom".split())
+#: What may stand in a head.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
+#: HTML inside of these, although they stand in svg or math.
+EMBEDS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: Start tags that end an open svg or math.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Parts of an svg that are not drawn where they stand.
+UNDRAWN = frozenset("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure fieldset form hr".split())
 BLOCKS = PARAGRAPHS | frozenset("address article aside body caption center dd details dialog div dt figcaption footer header hgroup html legend li main menu nav option optgroup search section summary tbody td tfoot th thead tr".split())
 #: Start tags that end an open element of these kinds, unless one of the walls stands between.
@@ -54,10 +64,12 @@ _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "foreign")
 
     def __init__(self, tag: str, attributes: dict[str, str] | None = None) -> None:
         self.tag, self.attributes, self.children = tag, attributes or {}, []
+        #: Whether the children are svg or math, not HTML.
+        self.foreign = False
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -125,21 +137,28 @@ def build(page: str) -> Node:
             del stack[lowest:]
 
     for kind, name, source in tokens(page):
+        if stack[-1].tag == "head" and (name.strip(" \t\n\r\f") if kind == "text" else name not in IN_HEAD if kind == "start" else name == "br"):
+            stack.pop()
         if kind == "text":
             stack[-1].children.append(name if stack[-1].tag in RAW - {"textarea", "title"} else html.unescape(name))
         elif kind == "start":
             if name in ("html",):
                 root.attributes.update(attributes_of(source))
                 continue
-            if name in ENDS:
+            if name in BREAKOUT:
+                while stack[-1].foreign:
+                    stack.pop()
+            if name in ENDS and not stack[-1].foreign:
                 close(*ENDS[name])
             if name in NEEDS and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 implied = Node(NEEDS[name][0])
                 stack[-1].children.append(implied)
                 stack.append(implied)
             node = Node(name, attributes_of(source))
+            within = stack[-1].foreign
+            node.foreign = name in ("svg", "math") or (within and name not in EMBEDS)
             stack[-1].children.append(node)
-            if name not in VOID and not (source.endswith("/") and name in ("path", "use")):
+            if name not in VOID and not (source.endswith("/") and (within or node.foreign)):
                 stack.append(node)
         else:
             if name == "br":
@@ -267,16 +286,18 @@ def render(root: Node) -> str:
     tables: list[list[list[tuple[list[str], int]]]] = []
     lists: list[tuple[str, list[int]]] = []
     pre = 0
+    drawing: list[bool] = []  # of each open svg, and of what shows text inside it: whether text is shown
     work: list[tuple[bool, Node | str]] = [(True, root)]
     while work:
         enter, node = work.pop()
         page = pages[-1]
         if isinstance(node, str):
-            (page.raw if pre else page.inline)(node)
+            if not drawing or drawing[-1]:
+                (page.raw if pre else page.inline)(node)
             continue
         tag = node.tag
         if enter:
-            if not visible(node):
+            if not visible(node) or (drawing and tag in UNDRAWN):
                 continue
             if tag == "br":
                 page.line() if page.parts or page.lines else None
@@ -293,6 +314,14 @@ def render(root: Node) -> str:
                 page.inline(" " + node.attributes.get("value", "") + " ")
                 continue
             work.append((False, node))
+            children = node.children
+            if tag == "svg" or (drawing and tag in ("text", "foreignobject")):
+                drawing.append(tag != "svg")
+                page.inline(" ")
+            if tag in ("select", "optgroup"):
+                children = [node.attributes.get("label", "")] * (tag == "optgroup") + [child for child in children if not isinstance(child, str)]
+            elif tag == "option" and node.attributes.get("label"):
+                children = [node.attributes["label"]]
             if tag in ("td", "th") and tables:
                 pages.append(Page())
             elif tag == "tr" and tables:
@@ -317,8 +346,11 @@ def render(root: Node) -> str:
                 pre += 1
             elif tag == "q":
                 page.inline("“")
-            work.extend((True, child) for child in reversed(node.children))
+            work.extend((True, child) for child in reversed(children))
             continue
+        if tag == "svg" or (drawing and tag in ("text", "foreignobject")):
+            drawing.pop()
+            page.inline(" ")
         if tag in ("td", "th") and tables:
             lines = pages.pop().done()
             span = node.attributes.get("colspan", "1")

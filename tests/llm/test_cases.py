@@ -140,3 +140,23 @@ def test_layout():
     assert html_layout.visible_text(page).startswith(laid_out)
     assert html_layout.visible_text(None) == html_layout.visible_text("") == ""
     assert html_layout.visible_text("<div>" * 5000 + "deep") == "deep"
+
+
+def test_layout_of_pages_without_end_of_head():
+    text = html_layout.visible_text
+    assert text("<html><head><title>T</title><p>Hello <b>you</b><p>all") == "Hello you\n\nall"
+    assert text("<head>\n<meta charset=x><style>p{}</style><script>a</script>\n Hello <div>you") == "Hello\nyou"
+    assert text("<head><title>T</title></head><body><p>Hello") == text("<title>T</title><p>Hello") == "Hello"
+    assert text("<head><noscript><p>no</p></noscript><template><p>no</p></template><br>Hello") == "Hello"
+
+
+def test_layout_of_drawings_formulas_and_options():
+    text = html_layout.visible_text
+    assert text("<p>one <svg class=a /> two <math/> three") == "one two three"
+    assert text("<p>one <svg><path d=x><g/><use/></svg> two") == "one two"
+    assert text("<p>a <svg><title>no</title><desc>no</desc>no<g><text>in <tspan>it</tspan></text><text>and</text><rect/></g><defs><text>no</text></defs></svg> b") == "a in it and b"
+    assert text("<svg><foreignObject><div>one<p>two</div></foreignObject><text>three</text></svg>") == "one\n\ntwo\n\nthree"
+    assert text("<p>a <svg><g><p>b") == "a\n\nb"
+    assert text("<p>x <math><mi>y</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> z") == "x y=1 z"
+    assert text("<p>pick <select>no<option hidden>no<option selected>red<optgroup label=more><option>blue<option label=green>no</select> end") == "pick\nred\nmore\nblue\ngreen\nend"
+    assert text("<datalist><option>no</datalist>end") == "end"
