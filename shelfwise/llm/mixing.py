@@ -5,6 +5,10 @@ source it falls on. The slots of a source are ranked, and slot ``r`` takes block
 shuffled order, cut into blocks of ``BLOCK`` tokens (words). Past the last block the ranks start over, at most ``repeats``
 times, which is also where a target stops. Only DataFrame operations are used.
 
+One point stands for ``BLOCK`` words of the whole mix, so it may miss a small source. A source whose target is up to
+``EXACT`` blocks gets slots of its own instead, spread evenly over the mix: as many as its target needs, the last of them
+with only the remaining words, so that exactly its target (whole words, at least one) is taken.
+
 Sizes are words of the whole text (null: 0). Weights repeat over the sources in code-point order, a null source last and a
 source of its own; targets share ``share`` of all sizes by weight, stop at ``repeats`` times their source's size, and what is
 over is shared again by weight. Sources without words have target 0. The order is a hash of the id, then the id, so reruns
@@ -26,6 +30,8 @@ SHARE = 1.5
 REPEATS = 2
 #: Tokens of a block; a target is met to within a few blocks.
 BLOCK = 64
+#: Blocks up to which a target is met exactly; MIX_SQL draws points for those sources too and agrees where no target is as small.
+EXACT = 16
 #: Documents or slots of a source in one chunk, on average.
 SPREAD = 4096
 #: The golden ratio's fraction times 2^31, made odd; from 2^31 slots on the points repeat, still evenly spread.
@@ -88,7 +94,8 @@ def _running(df: DataFrame, key: list[str], chunk: str, order: list[str], value:
 
 
 def schedule(spark: SparkSession, sources: DataFrame, total: int, repeats: int = REPEATS, block: int = BLOCK) -> DataFrame:
-    """The mix slot by slot: slot, s (number of the source), rank (among the source's slots), block (of the source).
+    """The mix slot by slot: slot, s (number of the source), rank (among the source's slots), block (of the source), words
+    (that the slot may take). Slots of small sources share their numbers with others, as the points on them are left out.
 
     A point finds its source by bins of the targets: a source stands in every bin that it touches, so the join is on
     equal bins and the largest source is spread over most of them.
@@ -99,7 +106,9 @@ def schedule(spark: SparkSession, sources: DataFrame, total: int, repeats: int =
     points = spark.range(-(-total // block)).select(F.col("id").alias("slot"), F.floor(point * F.lit(float(total))).cast("long").alias("at"))
     points = points.withColumn("bin", F.floor(F.col("at") / width).cast("long"))
     first, last = F.floor(F.col("low") / width).cast("long"), F.floor(F.col("high") / width).cast("long")
-    spans = sources.filter("high > low").select(
+    whole = F.greatest(F.col("high") - F.col("low"), F.lit(1))
+    small = (F.col("target") > 0) & (F.col("source_size") > 0) & (whole <= EXACT * block)
+    spans = sources.filter(~small & (F.col("high") > F.col("low"))).select(
         "s", "low", "high", F.ceil(F.col("source_size") / block).cast("long").alias("n_blocks"), F.explode(F.sequence(first, last)).alias("_bin")
     )
     drawn = points.join(spans, (F.col("bin") == F.col("_bin")) & (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high")))
@@ -108,7 +117,20 @@ def schedule(spark: SparkSession, sources: DataFrame, total: int, repeats: int =
         F.floor(F.col("slot") * ((F.col("high") - F.col("low")) / float(max(total, 1) * SPREAD))).cast("long").alias("chunk"),
     )
     ranked = _running(drawn, ["s"], "chunk", ["slot"], "one", "rank")
-    return ranked.filter(F.col("rank") < repeats * F.col("n_blocks")).select("slot", "s", "rank", (F.col("rank") % F.col("n_blocks")).alias("block"))
+    ranked = ranked.filter(F.col("rank") < repeats * F.col("n_blocks"))
+    ranked = ranked.select("slot", "s", "rank", (F.col("rank") % F.col("n_blocks")).alias("block"), F.lit(block).cast("long").alias("words"))
+
+    # small sources: whole passes over their blocks, then the rest of the target
+    exact = sources.filter(small).select("s", "source_size", whole.alias("wanted"), F.ceil(F.col("source_size") / block).cast("long").alias("n_blocks"))
+    passes = F.floor(F.col("wanted") / F.col("source_size"))
+    n_slots = (passes * F.col("n_blocks") + F.ceil((F.col("wanted") - passes * F.col("source_size")) / block)).cast("long")
+    exact = exact.withColumn("n", n_slots).withColumn("rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    exact = exact.withColumn("block", F.col("rank") % F.col("n_blocks"))
+    gone = F.floor(F.col("rank") / F.col("n_blocks")) * F.col("source_size") + F.col("block") * block
+    words = F.least(F.lit(block), F.col("source_size") - F.col("block") * block, F.col("wanted") - gone).cast("long")
+    shift = (F.col("s") % PERIOD * GOLDEN % PERIOD).cast("double") / float(PERIOD)
+    slot = F.floor((F.col("rank") + shift) / F.col("n") * F.lit(float(max(1, -(-total // block))))).cast("long")
+    return ranked.unionByName(exact.select(slot.alias("slot"), "s", "rank", "block", words.alias("words")))
 
 
 def mix(
@@ -136,12 +158,14 @@ def mix(
     )
     placed = stored(_running(placed, ["s"], "chunk", ["place", "doc_id", "same"], "words", "start"))
 
-    times = schedule(spark, numbered, total, repeats, block).groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
+    times = schedule(spark, numbered, total, repeats, block).groupBy("s", "block", F.col("words").alias("room")).agg(F.count(F.lit(1)).alias("times"))
     pieces = placed.filter("words > 0").select(
         "doc_id", "same", "s", "start", (F.col("start") + F.col("words")).alias("stop"),
         F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("words") - 1) / block))).alias("block"),
     )
-    overlap = F.least(F.col("stop"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    overlap = F.greatest(
+        F.lit(0), F.least(F.col("stop"), F.col("block") * block + F.col("room")) - F.greatest(F.col("start"), F.col("block") * block)
+    )
     took = (
         pieces.join(times, ["s", "block"]).groupBy("doc_id", "same", "s").agg(F.sum(overlap * F.col("times")).alias("took"))
     )

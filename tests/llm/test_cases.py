@@ -160,3 +160,13 @@ def test_layout_of_drawings_formulas_and_options():
     assert text("<p>x <math><mi>y</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> z") == "x y=1 z"
     assert text("<p>pick <select>no<option hidden>no<option selected>red<optgroup label=more><option>blue<option label=green>no</select> end") == "pick\nred\nmore\nblue\ngreen\nend"
     assert text("<datalist><option>no</datalist>end") == "end"
+
+
+def test_every_small_source_gets_its_target(spark):
+    rows = [(i, "word " * n, f"site{i}") for i, n in enumerate([1, 2, 5, 10, 20, 30, 40, 63, 64, 65, 90, 130, 200, 511] * 12)]
+    rows += [(1000 + i, "word " * 2000, "large") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs).collect()
+    small = [r for r in mixed if r["doc_id"] < 1000]
+    assert len(mixed) == len(rows) and all(r["taken"] == max(1, int(r["target"])) for r in small if int(r["target"]) <= mixing.EXACT * mixing.BLOCK)
+    assert {r["doc_id"] for r in mixing.with_mix(docs).select("doc_id").collect()} >= {r["doc_id"] for r in small}
