@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import bpe, html_layout, language, line_runs, mixing, pii, quality_cascade, signatures, token_counts, vector_graph
+from shelfwise.llm import (
+    bpe, filter_audit, html_layout, language, line_runs, mixing, pii, quality_cascade, signatures, token_counts, variants, vector_graph,
+)
 from shelfwise.llm.frames import documents
 
 WORD_BPE = "word_bpe_49k.json"
@@ -52,6 +54,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(documents(spark, sf_dir))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: function for name, function in list(globals().items()) if name.startswith("op") and callable(function)
 }
@@ -59,4 +69,6 @@ ORACLES: dict[str, str] = {
     "op2_mixing": mixing.MIX_SQL,
     "op3_quality_cascade": quality_cascade.QUALITY_SQL,
     "op6_line_runs": line_runs.LINES_SQL,
+    "op11_spelling_variants": variants.VARIANTS_SQL,
+    "op12_filter_audit": filter_audit.AUDIT_SQL,
 }
