@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shelfwise.llm import (
-    bpe, filter_audit, html_layout, language, line_runs, mixing, pii, quality_cascade, signatures, token_counts, variants, vector_graph,
+    bpe, credentials, filter_audit, html_layout, language, line_runs, mixing, pii, quality_cascade, signatures, token_counts, variants, vector_graph,
 )
 from shelfwise.llm.frames import documents
 
@@ -62,6 +62,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find_secrets(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: function for name, function in list(globals().items()) if name.startswith("op") and callable(function)
 }
