@@ -212,11 +212,12 @@ def failures() -> dict[str, Column]:
 def with_failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
     """doc_id, part, ``COUNTS`` and ``fails``, a bit per filter (A is 1, E is 16), for every row."""
     table = stored(measured(docs, id_col, text_col, part_col))
-    copies = table.groupBy("digest").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_id"))
-    copies = copies.filter("rows > 1 AND first_id IS NOT NULL").select("digest", "first_id")
+    # joined by text and id, so that the copies of one text are spread
+    firsts = table.groupBy(F.col("digest").alias("text")).agg(F.min("doc_id").alias("first_id"))
+    table = table.join(firsts, (F.col("digest") == F.col("text")) & (F.col("doc_id") == F.col("first_id")), "left")
     bits = sum(F.when(condition, F.lit(1 << FILTERS.index(name))).otherwise(F.lit(0)) for name, condition in failures().items())
-    later = F.when(F.col("doc_id") > F.col("first_id"), F.lit(1 << FILTERS.index("E"))).otherwise(F.lit(0))
-    return table.join(copies, "digest", "left").select("doc_id", "part", *COUNTS, (bits + later).alias("fails"))
+    later = F.when(F.col("doc_id").isNotNull() & F.col("first_id").isNull(), F.lit(1 << FILTERS.index("E"))).otherwise(F.lit(0))
+    return table.select("doc_id", "part", *COUNTS, (bits + later).alias("fails"))
 
 
 def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:

@@ -4,10 +4,10 @@
    ``DAMAGE`` (decided by the CRC-32 of document and run); results of ``LEAST_LENGTH`` letters or more that occur
    ``LEAST_COUNT`` times. Occurrences are counted before anything is shuffled.
 2. *Reduction*: every letter becomes one of ``CLASSES`` symbols (its code point modulo ``CLASSES``), and every word gets the
-   full one-edit neighbourhood of its reduced form: deletions, replacements and insertions at every place. A neighbour carries
-   the three exact letters of that end of the word which the edit does not touch, so that a list of equal keys stays short
+   full one-edit neighbourhood of its reduced form: deletions, replacements and insertions at every place. A neighbour's key
+   also holds the exact letters of that half of the word which the edit does not touch, so that lists of equal keys stay short
    however large the vocabulary is. Of two neighbouring reduced forms only the one with the smaller hash proposes.
-3. *Join*: proposed keys meet the two keys (one per end) of every word's own reduced form.
+3. *Join*: proposed keys meet the two keys (one per half) of every word's own reduced form.
 4. *Verification*: only pairs of original words at an edit distance of exactly one stay. Keys and word numbers are hashes; a
    collision adds a candidate that is verified away and never loses one.
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from shelfwise.llm.frames import empty, pick, stored
 
 LEAST_LENGTH, LEAST_COUNT, DAMAGE, RATIO = 7, 2, 31, 10
-#: Symbols of the reduced alphabet, and exact letters kept of the untouched end (at most LEAST_LENGTH // 2).
-CLASSES, ANCHOR = 3, 3
+#: Symbols of the reduced alphabet.
+CLASSES = 3
 #: Letters of the words whose neighbourhoods are generated at a time.
 STEP_LETTERS = 1 << 15
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,15 +69,16 @@ def _hashed(sums: np.ndarray, length: int) -> np.ndarray:
     return _mixed(sums + np.uint64(length * 0xA0761D6478BD642F % (1 << 64)))
 
 
-def _ends(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the first and of the last ``ANCHOR`` letters."""
-    found = []
-    for side, part in enumerate((letters[:, :ANCHOR], letters[:, -ANCHOR:])):
-        total = np.full(len(letters), side + 1, np.uint64)
-        for column in part.T:
-            total = _mixed(total * _BASE + column)
-        found.append(total)
-    return found[0], found[1]
+def _ends(letters: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first and of the last ``size`` letters."""
+    powers = np.cumprod(np.full(size, _BASE))
+    scattered = _mixed(letters)
+    return _mixed(scattered[:, :size] @ powers + np.uint64(1)), _mixed(scattered[:, -size:] @ powers + np.uint64(2))
+
+
+def _anchor(length: int) -> int:
+    """Exact letters in the keys of words of this length: no edit in the other half of a word touches them."""
+    return (length - 1) // 2
 
 
 def _sums(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,7 +94,7 @@ def _sums(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def own_keys(letters: np.ndarray) -> np.ndarray:
     """The two keys of each word (row of code points; all of one length) under its own reduced form."""
     own = _hashed(_sums(letters)[2][:, -1], letters.shape[1])
-    return np.stack([_mixed(own ^ end) for end in _ends(letters)], axis=1)
+    return np.stack([_mixed(own ^ end) for end in _ends(letters, _anchor(letters.shape[1]))], axis=1)
 
 
 def proposed_keys(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,23 +103,22 @@ def proposed_keys(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     rows, length = letters.shape
     values, powers, sums = _sums(letters)
-    head, tail = _ends(letters)
     own, half = _hashed(sums[:, -1], length), length // 2
     after = sums[:, -1:] - sums
-    forms = [np.repeat(own[:, None], 2, axis=1)]
-    ends = [np.stack([head, tail], axis=1)]
+    ends = {size: _ends(letters, _anchor(size)) for size in (length - 1, length, length + 1)}
+    forms, kept = [np.repeat(own[:, None], 2, axis=1)], [np.stack(ends[length], axis=1)]
 
-    def add(hashes: np.ndarray) -> None:
+    def add(changed: np.ndarray, size: int) -> None:
         # an edit in the first half leaves the tail as it is, any other the head
-        at = np.arange(hashes.shape[1])
-        forms.append(hashes)
-        ends.append(np.where(at < half, tail[:, None], head[:, None]))
+        head, tail = ends[size]
+        forms.append(_hashed(changed, size))
+        kept.append(np.where(np.arange(changed.shape[1]) < half, tail[:, None], head[:, None]))
 
-    add(_hashed(sums[:, :-1] + after[:, 1:] * _BACK, length - 1))
+    add(sums[:, :-1] + after[:, 1:] * _BACK, length - 1)
     for symbol in _SYMBOLS:
-        add(_hashed(sums[:, -1:] + (symbol - values) * powers[:-1], length))
-        add(_hashed(sums + symbol * powers + after * _BASE, length + 1))
-    form, end = np.concatenate(forms, axis=1), np.concatenate(ends, axis=1)
+        add(sums[:, -1:] + (symbol - values) * powers[:-1], length)
+        add(sums + symbol * powers + after * _BASE, length + 1)
+    form, end = np.concatenate(forms, axis=1), np.concatenate(kept, axis=1)
     keys = np.where(form >= own[:, None], _mixed(form ^ end), np.uint64(0))
     keys.sort(axis=1)
     use = keys != 0
