@@ -8,7 +8,7 @@
    also holds the exact letters of that half of the word which the edit does not touch, so that lists of equal keys stay short
    however large the vocabulary is. Of two neighbouring reduced forms only the one with the smaller hash proposes.
 3. *Join*: proposed keys meet the two keys (one per half) of every word's own reduced form.
-4. *Verification*: only pairs of original words at an edit distance of exactly one stay. Keys and word numbers are hashes; a
+4. *Verification*: only pairs of original words at an edit distance of exactly one leave the join. Keys are hashes; a
    collision adds a candidate that is verified away and never loses one.
 
 A word's form is its near word of largest count, if that count is at least ``RATIO`` times its own; forms are followed to the
@@ -31,7 +31,7 @@ from shelfwise.llm.frames import empty, pick, stored
 
 LEAST_LENGTH, LEAST_COUNT, DAMAGE, RATIO = 7, 2, 31, 10
 #: Symbols of the reduced alphabet.
-CLASSES = 3
+CLASSES = 4
 #: Letters of the words whose neighbourhoods are generated at a time.
 STEP_LETTERS = 1 << 15
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -139,34 +139,33 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _keys(words: DataFrame, proposed: bool) -> DataFrame:
-    """(key, id) rows of the words, their own or the proposed ones."""
+    """(key, word, n) rows of the words, under their own or the proposed keys."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy()
             for some, letters in _by_length(batch.column("word").to_pylist()):
                 if proposed:
                     keys, use = proposed_keys(letters)
-                    keys, owners = keys[use], np.repeat(ids[some], use.sum(axis=1))
+                    keys, owners = keys[use], np.repeat(some, use.sum(axis=1))
                 else:
-                    keys = own_keys(letters)
-                    keys, owners = keys.ravel(), np.repeat(ids[some], 2)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owners)], names=["key", "id"])
+                    keys, owners = own_keys(letters).ravel(), np.repeat(some, 2)
+                owners = pa.array(owners)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), batch.column("word").take(owners), batch.column("n").take(owners)], names=["key", "word", "n"]
+                )
 
-    return words.select("id", "word").mapInArrow(rows, "key long, id long")
+    return words.mapInArrow(rows, "key long, word string, n long")
 
 
 # ---- variants -----------------------------------------------------------------
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """(a, n_a, b, n_b), each pair of near words once, of a stored vocabulary (word, n, id)."""
-    left = _keys(words, True).withColumnRenamed("id", "a_id")
-    right = _keys(words, False).withColumnRenamed("id", "b_id")
-    pairs = left.join(right, "key").select("a_id", "b_id").distinct()
-    a = words.select(F.col("id").alias("a_id"), F.col("word").alias("a"), F.col("n").alias("n_a"))
-    b = words.select(F.col("id").alias("b_id"), F.col("word").alias("b"), F.col("n").alias("n_b"))
-    pairs = pairs.join(a, "a_id").join(b, "b_id").filter(F.levenshtein("a", "b", 1) == 1)
+    """(a, n_a, b, n_b), each pair of near words once, of a vocabulary (word, n)."""
+    left = _keys(words, True).toDF("key", "a", "n_a")
+    right = _keys(words, False).toDF("key", "b", "n_b")
+    # verified within the join: candidates never become rows
+    pairs = left.join(right, (left["key"] == right["key"]) & (F.levenshtein("a", "b", 1) == 1)).drop("key")
     low = F.col("a") < F.col("b")
     return pairs.select(
         F.least("a", "b").alias("a"), F.when(low, F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"),
@@ -188,7 +187,7 @@ def roots(forms: DataFrame) -> DataFrame:
 
 def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """word, form, root, n, n_near, form_n for every word of the vocabulary."""
-    words = stored(vocabulary(docs, id_col, text_col).withColumn("id", F.xxhash64("word")))
+    words = stored(vocabulary(docs, id_col, text_col))
     pairs = near_words(words)
     sides = F.array(
         F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("n_b").alias("m")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("n_a").alias("m"))
