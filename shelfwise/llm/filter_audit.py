@@ -11,7 +11,7 @@ next slot. Equal hashes of different words therefore never merge.
 *Audit*: a document's failures are five bits, the last one (equal to the text of a smaller id anywhere in the table) found by
 a digest of the text. Documents are counted per part and bits; only these few counts meet the 120 orders.
 
-Null texts count as empty, null parts as the empty string. Rows with a null id never fail E and make no other row fail it; rows
+Null texts count as empty, null parts as the empty string. Rows with a null id have no labels, never fail E and make no other row fail it; rows
 with equal ids are counted one by one and do not fail E because of each other. A document is good (toxic) if any of its label
 rows says so. Texts of any length are read whole. An empty table gives no rows.
 """
@@ -119,8 +119,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def first_of_kind(words: Words, hashes: np.ndarray) -> np.ndarray:
-    """Which words are not repetitions, by insertion into a table with linear probing; one probe of all waiting words a round."""
+def one_of_each(words: Words, hashes: np.ndarray) -> np.ndarray:
+    """Marks one occurrence of every word, by insertion into a table with linear probing; one probe of all waiting words a round."""
     mask = (1 << int(2 * len(hashes) + 1).bit_length()) - 1
     table = np.full(mask + 1, -1, np.int64)
     slots = (hashes & np.uint64(mask)).astype(np.int64)
@@ -164,7 +164,7 @@ def measure(texts: list[bytes]) -> np.ndarray:
     counts[:, 3] -= 1
     owners = np.repeat(np.arange(len(texts)), counts[:, 0])
     words = Words(buffer, owners, np.concatenate(starts), np.concatenate(stops))
-    counts[:, 1] = np.bincount(owners[first_of_kind(words, words.hashes())], minlength=len(texts))
+    counts[:, 1] = np.bincount(owners[one_of_each(words, words.hashes())], minlength=len(texts))
     return counts
 
 
