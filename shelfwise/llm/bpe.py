@@ -32,11 +32,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.frames import fresh, pick, quoted, remembered, small_batches
+from shelfwise.llm.frames import fresh, pick, quoted, remembered, small_batches, some_at_a_time
 from shelfwise.llm.token_counts import tokenizer_path
 
-#: Words and token pairs remembered by one worker before it starts anew.
-REMEMBERED = 150_000
+#: Words (with their bytes and ids) and token pairs remembered by one worker before it starts anew, in bytes; of words the memory before is kept as well.
+WORD_BYTES, PAIR_BYTES = 18 << 20, 6 << 20
+#: Bytes that a remembered word takes besides its own and its ids' (two objects and their place in a dictionary).
+ENTRY_BYTES = 150
+#: Characters of the texts that are split into words at a time; a longer text goes alone.
+AT_ONCE = 1 << 20
 END = "</w>"
 # Fixed values of the vocabulary file: white space of Unicode, and the pattern of its pre-tokens.
 _SPACE = r"\t-\r\x20\x85\xa0  -     　"
@@ -72,6 +76,7 @@ class WordBpe:
         self.letters = byte_letters()
         self.words: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.held = 0
         self.pair_keys = np.zeros(0, np.int64)
         self.pair_fits = np.zeros(0, bool)
         self.checked = self.repaired = 0
@@ -136,7 +141,7 @@ class WordBpe:
         different = np.unique(keys)
         new = different[~np.isin(different, self.pair_keys, assume_unique=True)]
         if len(new):
-            if len(self.pair_keys) > REMEMBERED * 4:
+            if 9 * len(self.pair_keys) > PAIR_BYTES:
                 self.pair_keys, self.pair_fits, new = np.zeros(0, np.int64), np.zeros(0, bool), different
             fits = np.fromiter((self._judge(int(key)) for key in new), bool, len(new))
             keys_all = np.concatenate([self.pair_keys, new])
@@ -166,6 +171,8 @@ class WordBpe:
 
     def pieces(self, word: str) -> list[str | int]:
         """Pre-tokens of one word, special strings as their ids."""
+        if word.isascii() and word.isalpha():
+            return [word.lower()]
         found: list[str | int] = []
         for part in self.specials.split(word) if "<|" in word else (word,):
             if part in self.special:
@@ -181,11 +188,13 @@ class WordBpe:
 
         When the memory is full, what it holds becomes the older half, from which words still in use come back.
         """
-        if len(self.words) > REMEMBERED:
-            self.older, self.words = self.words, {}
+        if self.held > WORD_BYTES:
+            self.older, self.words, self.held = self.words, {}, 0
         new = words.difference(self.words)
         again = new.intersection(self.older)
-        self.words.update((word, self.older[word]) for word in again)
+        for word in again:
+            self.words[word] = ids = self.older[word]
+            self.held += ENTRY_BYTES + len(word) + len(ids)
         new = list(new - again)
         split = [self.pieces(word.decode()) for word in new]
         different = list({piece for word in split for piece in word if isinstance(piece, str)})
@@ -193,6 +202,7 @@ class WordBpe:
         for word, parts in zip(new, split, strict=True):
             numbers = [n for part in parts for n in ([part] if isinstance(part, int) else ids[part])]
             self.words[word] = pack(f"<{len(numbers)}I", *numbers)
+            self.held += ENTRY_BYTES + len(word) + 4 * len(numbers)
 
     def decode(self, ids) -> str:
         """The library's decoding without a decoder: token texts joined by blanks."""
@@ -217,8 +227,8 @@ def _coder(tokenizer: str, digest: bool):
         bpe = remembered(("bpe", path), lambda: WordBpe(path))
         for texts in batches:
             rows = []
-            for begin in range(0, len(texts), 500):
-                for ids, decoded in bpe.encode_all(list(texts[begin : begin + 500])):
+            for part in some_at_a_time(texts, AT_ONCE):
+                for ids, decoded in bpe.encode_all(part):
                     if digest:
                         rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
                     else:

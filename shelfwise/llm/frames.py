@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +83,20 @@ def seconds(action) -> float:
     return time.perf_counter() - start
 
 
+def some_at_a_time(texts: Iterable[str | None], characters: int) -> Iterator[list[str | None]]:
+    """The texts in lists of at most so many characters (or one longer text)."""
+    taken: list[str | None] = []
+    size = 0
+    for text in texts:
+        if taken and size + len(text or "") > characters:
+            yield taken
+            taken, size = [], 0
+        taken.append(text)
+        size += len(text or "")
+    if taken:
+        yield taken
+
+
 _kept: dict = {}
 
 
@@ -92,5 +108,6 @@ def remembered(key, make):
     """
     if key not in _kept:
         _kept.clear()
+        pa.default_memory_pool().release_unused()
         _kept[key] = make()
     return _kept[key]
