@@ -15,7 +15,7 @@ TASK_SIZE = 2
 SLICE_SECONDS = 60
 
 
-def _slice(ts: Column, seconds: int) -> Column:
+def time_slice(ts: Column, seconds: int = SLICE_SECONDS) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(seconds * 1_000_000))
 
 
@@ -44,7 +44,7 @@ def effective_events(
 
     ``opening`` (user_id, item_id, listed) is the state before the first event.
     """
-    sliced = events.withColumn("slice", _slice(F.col("ts"), slice_seconds))
+    sliced = events.withColumn("slice", time_slice(F.col("ts"), slice_seconds))
     inside = Window.partitionBy("user_id", "item_id", "slice").orderBy("ts", "event_id")
     marked = sliced.withColumn("before", F.lag("action").over(inside))
     # the action before a slice is the last action of the item's previous slice
@@ -84,6 +84,11 @@ def wishlist_state(
     continue an earlier state.
     """
     changes = effective_events(events, opening_items, slice_seconds=slice_seconds)
+    return sizes_after(events.select("user_id").distinct(), changes, opening_sizes)
+
+
+def sizes_after(users: DataFrame, changes: DataFrame, opening_sizes: DataFrame | None = None) -> DataFrame:
+    """The row of :func:`wishlist_state` for every one of ``users``, from effective changes (see :func:`effective_events`)."""
     inside = Window.partitionBy("user_id", "slice").orderBy("ts", "event_id")
     folded = (
         changes.withColumn("running", F.sum("delta").over(inside))
@@ -97,7 +102,7 @@ def wishlist_state(
         .agg(F.sum("total").alias("change"), F.max(F.col("offset") + F.col("peak")).alias("highest"))
     )
     zero = F.lit(0).cast("bigint")
-    result = events.select("user_id").distinct().join(sizes, "user_id", "left")
+    result = users.join(sizes, "user_id", "left")
     start, past = zero, zero
     if opening_sizes is not None:
         earlier = opening_sizes.select("user_id", F.col("n_items").alias("_start"), F.col("max_items").alias("_past"))

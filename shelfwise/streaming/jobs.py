@@ -3,7 +3,8 @@
 Every micro-batch is folded by the same distributed operators as the batch
 jobs, so a key that receives a third of all events is still spread over tasks.
 Batches are written under their batch id: a repeated batch replaces itself and
-reads the state as it was before that batch.
+reads the state as it was before that batch. The state tables merge their batches
+in levels, so what a batch reads does not grow with the number of batches before.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from shelfwise.operators.catalog import accepted, normalize_records
 from shelfwise.operators.search import current_metadata
 from shelfwise.operators.sessions import register
 from shelfwise.operators.wishlist import last_actions, wishlist_state
-from shelfwise.sources.stores import append_changes, current, exists
+from shelfwise.sources.stores import append_changes, exists
+from shelfwise.sources.upserts import append, current
 
 # Events may arrive this much later than the newest event of their stream.
 LATENESS_SECONDS = 600
@@ -72,8 +74,8 @@ def _apply(spark: SparkSession, ready: DataFrame, folder: str, batch_id: int) ->
     touched = ready.select("user_id")
     items = current(spark, f"{folder}/items", ["user_id", "item_id"], before=batch_id, only=touched)
     sizes = current(spark, f"{folder}/sizes", ["user_id"], before=batch_id, only=touched)
-    append_changes(wishlist_state(ready, items, sizes), f"{folder}/sizes", batch_id)
-    append_changes(last_actions(ready), f"{folder}/items", batch_id)
+    append(wishlist_state(ready, items, sizes), f"{folder}/sizes", ["user_id"], batch_id)
+    append(last_actions(ready), f"{folder}/items", ["user_id", "item_id"], batch_id)
 
 
 def _pending(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
@@ -96,6 +98,8 @@ def wishlist_view(spark: SparkSession, folder: str) -> DataFrame:
         return sizes
     waiting = spark.read.parquet(f"{folder}/pending/batch={last}")
     ahead = wishlist_state(waiting, items, sizes)
+    if sizes is None:
+        return ahead
     return sizes.join(ahead.select("user_id"), "user_id", "left_anti").unionByName(ahead)
 
 
@@ -112,7 +116,7 @@ def registration_stream(arrivals: DataFrame, folder: str) -> StreamingQuery:
         )
         if known is None:
             known = spark.createDataFrame([], "participant_id string")
-        append_changes(register(known, batch), f"{folder}/participants", batch_id)
+        append(register(known, batch), f"{folder}/participants", ["participant_id"], batch_id)
 
     return _start(arrivals, fold, folder)
 
@@ -165,6 +169,6 @@ def metadata_stream(updates: DataFrame, folder: str, *, ttl_seconds: int) -> Str
         # an update is judged at the moment it was fetched
         as_of = F.coalesce(F.col("_fetched_at"), F.col("fetched_at"))
         merged = current_metadata(cached, newest, as_of, ttl_seconds=ttl_seconds)
-        append_changes(merged.filter("state = 'refreshed'").drop("state"), f"{folder}/metadata", batch_id)
+        append(merged.filter("state = 'refreshed'").drop("state"), f"{folder}/metadata", ["item_id"], batch_id)
 
     return _start(updates, fold, folder)

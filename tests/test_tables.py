@@ -213,7 +213,7 @@ def test_registration_is_sticky(spark, tmp_path):
         rows = spark.createDataFrame([(n,) for n in names], "participant_id string").withColumn("ts", F.timestamp_seconds(F.lit(len(seen))))
         rows.coalesce(1).write.mode("append").parquet(source)
         jobs.registration_stream(spark.readStream.schema(schema).parquet(source), folder).awaitTermination()
-        stored = stores.current(spark, f"{folder}/participants", ["participant_id"])
+        stored = jobs.current(spark, f"{folder}/participants", ["participant_id"])
         seen.append({r["participant_id"]: (r["study_group"], r["ts"]) for r in stored.collect()})
     assert set(seen[0]) == {"participant-1", "participant-2"}
     assert set(seen[1]) == {"participant-1", "participant-2", "participant-3"}
@@ -237,10 +237,10 @@ def test_metadata_refreshes_only_stale_entries(spark, tmp_path):
         rows = spark.createDataFrame([(1, text, "")], "item_id bigint, description string, image_url string")
         rows.withColumn("fetched_at", F.timestamp_seconds(F.lit(second))).coalesce(1).write.mode("append").parquet(source)
         jobs.metadata_stream(spark.readStream.schema(schema).parquet(source), folder, ttl_seconds=100).awaitTermination()
-        got = stores.current(spark, f"{folder}/metadata", ["item_id"]).first()["description"]
+        got = jobs.current(spark, f"{folder}/metadata", ["item_id"]).first()["description"]
         assert got == {"first": "first", "too early": "first", "later": "later"}[text]
     merged = S.current_metadata(
-        stores.current(spark, f"{folder}/metadata", ["item_id"]),
+        jobs.current(spark, f"{folder}/metadata", ["item_id"]),
         spark.createDataFrame([], schema), F.timestamp_seconds(F.lit(10_000)), ttl_seconds=100,
     ).first()
     assert (merged["state"], merged["description"]) == ("stale", "later")
