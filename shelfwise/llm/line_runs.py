@@ -13,7 +13,7 @@ occurrence always stays. Lines without words take no part and stay. Only DataFra
 
 Null texts stay null, with 0 lines. Documents are ordered by id (null first), then by a hash of the text; rows equal in both
 count as one document and get the same result. A key that a third of all rows share is aggregated map-side and joined only after its
-places were reduced to the first.
+places were reduced to the first. Texts are shuffled only for documents that a fixed-size filter of the deletions lets through.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from shelfwise.llm.frames import BLANKS, WORD, fresh, pick, quoted, stored
 from shelfwise.llm.quality_cascade import bind
 
 MIN_WORDS = 50
+#: Bits of the filter that tells which documents may lose lines; its rows, one per 64 bits, are few enough to broadcast.
+FILTER_BITS = 1 << 24
 
 
 def has_words(line: Column) -> Column:
@@ -96,8 +98,21 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> tupl
     gone = repeated_lines(table, min_words)
     name, doc, same = fresh(docs, "_gone"), fresh(docs, "_doc"), fresh(docs, "_same")
     gone = stored(gone.select(F.col("doc_id").alias(doc), F.col("same").alias(same), F.col("gone").alias(name)))
-    match = quoted(id_col).eqNullSafe(quoted(doc)) & (F.xxhash64(quoted(text_col)) == quoted(same))
-    return docs.join(gone, match, "left").drop(doc, same), name
+    # only documents that may lose lines are shuffled with their texts; the others go straight through
+    place, word = fresh(docs, "_place"), fresh(docs, "_word")
+    bits = gone.select(F.pmod(F.xxhash64(quoted(doc), quoted(same)), F.lit(FILTER_BITS)).alias("p"))
+    bits = bits.select(F.shiftright("p", 6).alias(word), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("bit")).groupBy(word).agg(F.bit_or("bit").alias(place))
+    text_hash = F.xxhash64(quoted(text_col))
+    at = F.pmod(F.xxhash64(quoted(id_col), text_hash), F.lit(FILTER_BITS))
+    sifted = docs.withColumn(fresh(docs, "_at"), at)
+    at = quoted(fresh(docs, "_at"))
+    sifted = sifted.join(F.broadcast(stored(bits)), F.shiftright(at, 6) == quoted(word), "left")
+    hit = F.coalesce(F.getbit(quoted(place), F.pmod(at, F.lit(64)).cast("int")) == 1, F.lit(False))
+    columns = [quoted(column) for column in docs.columns]
+    match = quoted(id_col).eqNullSafe(quoted(doc)) & (text_hash == quoted(same))
+    maybe = sifted.filter(hit).select(*columns).join(gone, match, "left").drop(doc, same)
+    rest = sifted.filter(~hit).select(*columns, F.lit(None).cast(gone.schema[name].dataType).alias(name))
+    return maybe.union(rest), name
 
 
 def _without(text: Column, gone: Column) -> Column:
