@@ -1,4 +1,9 @@
-"""Nearest catalog names by edit distance, exact for any number of names."""
+"""Nearest catalog names by edit distance, exact for any number of names.
+
+Names are found through inverted lists of their letter pairs: an edit changes at most two pairs, so the pairs that two texts
+have in common bound their distance from below, and names are compared in the order of that bound, in growing parts, until no
+unseen name can win. The lists belong to one cell of targets x names, so they are bounded like the cell.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +17,8 @@ from shelfwise.operators.blocks import cogroup_cells, plan_grid, spread_left, sp
 
 SUGGESTIONS = 3
 PART_CELLS = 1_000_000
+# Names compared at first, before the bound of the others is looked at again.
+FIRST_PART = 32
 
 
 def _codes(points: list[np.ndarray]) -> np.ndarray:
@@ -24,15 +31,46 @@ def _codes(points: list[np.ndarray]) -> np.ndarray:
 
 def _parts(lengths: np.ndarray):
     """Cut a visit into parts whose padded matrices stay small, however long a name is."""
-    begin = 0
+    begin, part = 0, FIRST_PART
     while begin < len(lengths):
-        size = 2048
+        size = part
+        part = min(2 * part, 2048)
         while size > 1 and size * (lengths[begin : begin + size].max() + 1) > PART_CELLS:
             size //= 2
         yield slice(begin, begin + size)
         begin += size
 
 
+def _pairs(point: np.ndarray) -> np.ndarray:
+    """Letter pairs of a text, numbered where they repeat, so that common ones count as often as in both."""
+    codes = np.sort(point[:-1].astype(np.int64) << 21 | point[1:])
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    repeat = np.arange(len(codes)) - np.repeat(first, np.diff(np.append(first, len(codes))))
+    # beyond 63 repeats a pair counts too often, which only lowers the bound
+    return codes << 6 | np.minimum(repeat, 63)
+
+
+class PairIndex:
+    """Inverted lists from letter pairs to texts."""
+
+    def __init__(self, points: list[np.ndarray]) -> None:
+        self.lengths = np.array([len(point) for point in points], dtype=np.int64)
+        pairs = [_pairs(point) for point in points]
+        owners = np.repeat(np.arange(len(points)), [len(p) for p in pairs])
+        codes = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
+        order = np.argsort(codes, kind="stable")
+        self.codes, self.owners = codes[order], owners[order]
+
+    def least_distances(self, point: np.ndarray) -> np.ndarray:
+        """A lower bound of the edit distance of a text to every indexed one, from pairs and lengths."""
+        pairs = _pairs(point)
+        low, high = np.searchsorted(self.codes, pairs, "left"), np.searchsorted(self.codes, pairs, "right")
+        hits = [self.owners[a:b] for a, b in zip(low, high, strict=True) if a < b]
+        common = np.bincount(np.concatenate(hits), minlength=len(self.lengths)) if hits else np.zeros(len(self.lengths), np.int64)
+        missing = np.maximum(self.lengths, len(point)) - 1 - common
+        return np.maximum(np.abs(self.lengths - len(point)), -(-missing // 2))
+
+
 def edit_distances(text: str, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Edit distance of one text to every coded text, all at once."""
     width = codes.shape[1]
@@ -59,9 +97,24 @@ def nearest_names(
 
     Names compare in lower case; equal distances keep catalog (id) order. Only
     the local winners of a cell of targets x names leave its task. Within a cell
-    names are visited by growing length difference, a lower bound of the
-    distance, and the visit ends once no unseen name can win.
+    names are visited by a growing lower bound of the distance, and the visit
+    ends once no unseen name can win.
     """
+    order = Window.partitionBy("target").orderBy("distance", "item_id")
+    found = _winners(targets, catalog, limit, n_targets, n_names).select("target", "item_id", "name", "distance")
+    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+
+
+def name_comparisons(targets: DataFrame, catalog: DataFrame, *, limit: int = SUGGESTIONS) -> DataFrame:
+    """(target, n_names, n_compared): how many names there are and how many distances :func:`nearest_names` computes."""
+    cells = _winners(targets, catalog, limit, None, None).groupBy("target", "cell").agg(
+        F.max("names").alias("names"), F.max("compared").alias("compared")
+    )
+    return cells.groupBy("target").agg(F.sum("names").alias("n_names"), F.sum("compared").alias("n_compared"))
+
+
+def _winners(targets: DataFrame, catalog: DataFrame, limit: int, n_targets: int | None, n_names: int | None) -> DataFrame:
+    """The local winners of every cell, with the names in it and the distances computed for the target."""
     wanted = targets.select("target").distinct()
     names = catalog.select("item_id", "name").filter(F.col("name") != "")
     grid = plan_grid(
@@ -75,16 +128,20 @@ def nearest_names(
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("item_id")
         points = [np.fromiter(map(ord, text), np.int32, len(text)) for text in right.column("lowered").to_pylist()]
-        lengths = np.array([len(point) for point in points], dtype=np.int64)
-        rows, columns, distances = [], [], []
+        index = PairIndex(points)
+        lengths = index.lengths
+        rows, columns, distances, compared = [], [], [], []
         for row, text in enumerate(left.column("lowered").to_pylist()):
-            gap = np.abs(lengths - len(text))
-            visit = np.argsort(gap, kind="stable")
-            best_at, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            least = index.least_distances(np.fromiter(map(ord, text), np.int32, len(text)))
+            visit = np.argsort(least, kind="stable")
+            best_at, best, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
             for cut in _parts(lengths[visit]):
                 part = visit[cut]
-                if len(best) == limit and gap[part[0]] > best[-1]:
+                if len(best) == limit and least[part[0]] > best[-1]:
                     break
+                # the part may reach past the names that can still win
+                part = part[: np.searchsorted(least[part], best[-1], "right")] if len(best) == limit else part
+                seen += len(part)
                 at = np.concatenate([best_at, part])
                 codes = _codes([points[name] for name in part])
                 found = np.concatenate([best, edit_distances(text, codes, lengths[part])])
@@ -93,6 +150,7 @@ def nearest_names(
             rows.extend([row] * len(best))
             columns.extend(best_at)
             distances.extend(best)
+            compared.extend([seen] * len(best))
         at = pa.array(columns, pa.int64())
         return pa.table(
             {
@@ -100,15 +158,15 @@ def nearest_names(
                 "item_id": right.column("item_id").take(at),
                 "name": right.column("name").take(at),
                 "distance": pa.array(distances, pa.int32()),
+                "cell": right.column("_r").take(at),
+                "names": pa.array(np.full(len(rows), len(points)), pa.int64()),
+                "compared": pa.array(compared, pa.int64()),
             }
         )
 
     item_type = catalog.schema["item_id"].dataType.simpleString()
-    found = cogroup_cells(
-        left, right, ["_l", "_r"], compare, f"target string, item_id {item_type}, name string, distance int"
-    )
-    order = Window.partitionBy("target").orderBy("distance", "item_id")
-    return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    schema = f"target string, item_id {item_type}, name string, distance int, cell int, names bigint, compared bigint"
+    return cogroup_cells(left, right, ["_l", "_r"], compare, schema)
 
 
 def missing_report(missing: DataFrame, catalog: DataFrame, prefix: str, **sizes) -> DataFrame:
