@@ -31,6 +31,28 @@ class Explainer(Protocol):
     ) -> DataFrame: ...
 
 
+def checked_requests(
+    requests: DataFrame, liked: DataFrame, participants: DataFrame | None = None, *, override: Column | None = None
+) -> DataFrame:
+    """Requests with a ``reject_reason``, null for valid ones, and the ``study_group`` of their participant.
+
+    ``participants`` (participant_id, study_group) is the table of registered ones: a request of anybody else is rejected, and
+    the stored group counts, whatever the rule for new participants says now. Without it every user takes part, in the
+    group of that rule. ``override`` wins over both.
+    """
+    checked = request_checks(requests, liked)
+    if participants is None:
+        return checked.withColumn("study_group", study_group(participant_id(F.col("user_id")), override))
+    stored = participants.groupBy(F.col("participant_id").alias("_participant")).agg(F.min("study_group").alias("_group"))
+    known = checked.join(stored, participant_id(F.col("user_id")) == F.col("_participant"), "left")
+    group = F.col("_group") if override is None else F.coalesce(override, F.col("_group"))
+    reason = (
+        F.when(F.col("_participant").isNull(), "participant not found")
+        .when(~F.coalesce(group.isin("features", "references"), F.lit(False)), "unknown study group")
+    )
+    return known.withColumns({"reject_reason": F.coalesce("reject_reason", reason), "study_group": group}).drop("_participant", "_group")
+
+
 def explained_results(
     requests: DataFrame,
     liked: DataFrame,
@@ -39,6 +61,7 @@ def explained_results(
     prefs: Preferences = SERVICE_PRESET,
     *,
     override: Column | None = None,
+    participants: DataFrame | None = None,
     ranker: Ranker = recommend_postfiltered,
     explainer: Explainer = explain_by_group,
 ) -> tuple[DataFrame, DataFrame]:
@@ -51,10 +74,9 @@ def explained_results(
     """
     # one short row per request, read by every later step
     valid = cut_lineage(
-        request_checks(requests, liked)
+        checked_requests(requests, liked, participants, override=override)
         .filter(F.col("reject_reason").isNull())
         .drop("reject_reason")
-        .withColumn("study_group", study_group(participant_id(F.col("user_id")), override))
     )
     pos = F.col("pos") if "pos" in liked.columns else F.lit(0)
     positioned = liked.select("user_id", "item_id", pos.alias("pos")).join(
@@ -69,7 +91,9 @@ def explained_results(
     return valid, titled
 
 
-def session_outcomes(requests: DataFrame, liked: DataFrame, ranked: DataFrame, catalog: DataFrame) -> DataFrame:
+def session_outcomes(
+    requests: DataFrame, liked: DataFrame, ranked: DataFrame, catalog: DataFrame, participants: DataFrame | None = None
+) -> DataFrame:
     """One row per request: request_id, status, reason, n_results, n_missing.
 
     ``rejected`` with the reason of the check, ``unavailable`` when nothing suits,
@@ -80,7 +104,7 @@ def session_outcomes(requests: DataFrame, liked: DataFrame, ranked: DataFrame, c
     counts = ranked.select("request_id", "item_id").join(known, "item_id", "left").groupBy("request_id").agg(
         F.count(F.lit(1)).alias("_all"), F.count("_known").alias("_found")
     )
-    checked = request_checks(requests, liked).join(counts, "request_id", "left")
+    checked = checked_requests(requests, liked, participants).join(counts, "request_id", "left")
     n_results = F.coalesce("_all", F.lit(0))
     n_missing = n_results - F.coalesce("_found", F.lit(0))
     status = (
@@ -108,11 +132,12 @@ def generate_sessions(
     model_version: str = "v1",
     prefs: Preferences = SERVICE_PRESET,
     override: Column | None = None,
+    participants: DataFrame | None = None,
     ranker: Ranker = recommend_postfiltered,
     explainer: Explainer = explain_by_group,
 ) -> DataFrame:
     """One nested session row per valid request that has results."""
     valid, results = explained_results(
-        requests, liked, items, catalog, prefs, override=override, ranker=ranker, explainer=explainer
+        requests, liked, items, catalog, prefs, override=override, participants=participants, ranker=ranker, explainer=explainer
     )
     return assemble(results, valid, model_version=model_version, created_at=created_at)

@@ -16,7 +16,7 @@ from shelfwise.operators.text_features import feature_schema, finite_check, stan
 from shelfwise.plans.preprocess import filtered_catalog, quality_report
 from shelfwise.plans.train import manifest, widen_embedding
 from shelfwise.session import widen, work_folder
-from shelfwise.sources import files, stores
+from shelfwise.sources import files, generations, stores
 from suite.registry import query, r6
 
 FILTERS = CatalogFilters(
@@ -486,6 +486,30 @@ def catalog_seed(fx):
     )
 
 
+@query(
+    "catalog_generations",
+    _SEED_SQL
+    + f"""SELECT item_id, name AS title, 'accepted' AS state, NULL AS reject_reason FROM ({_SEED_ROWS}) WHERE reject_reason IS NULL
+          UNION ALL SELECT item_id, name, 'rejected', reject_reason FROM ({_SEED_ROWS}) WHERE reject_reason IS NOT NULL""",
+    "raw_catalog",
+)
+def catalog_generations(fx):
+    """Catalog and rejects replaced together, after an older load and a refused one."""
+    root = work_folder(fx.spark, "catalog")
+    rows = _seed_rows(fx).persist()
+    both = {"catalog": C.accepted(rows), "rejects": C.rejected(rows)}
+    generations.replace(fx.spark, root, {name: table.filter("item_id % 2 = 0") for name, table in both.items()})
+    generations.replace(fx.spark, root, both)
+    try:
+        generations.replace(fx.spark, root, {**both, "catalog": both["catalog"].limit(0)}, check=lambda t: "no rows" if t["catalog"].isEmpty() else None)
+    except ValueError:
+        pass
+    rows.unpersist()
+    now = generations.read(fx.spark, root, "catalog", "rejects")
+    kept = now["catalog"].select("item_id", "title", F.lit("accepted").alias("state"), F.lit(None).cast("string").alias("reject_reason"))
+    return kept.unionByName(now["rejects"].select("item_id", "title", F.lit("rejected").alias("state"), "reject_reason"))
+
+
 @query(
     "catalog_rejects",
     _SEED_SQL + f"SELECT item_id, name AS title, reject_reason FROM ({_SEED_ROWS}) WHERE reject_reason IS NOT NULL",

@@ -14,7 +14,7 @@ from shelfwise.operators import sessions as X
 from shelfwise.operators.preferences import centroids, cluster_count
 from shelfwise.operators.references import liked_similarities
 from shelfwise.plans import recommend as P
-from shelfwise.plans.sessions import explained_results, generate_sessions, session_outcomes
+from shelfwise.plans.sessions import checked_requests, explained_results, generate_sessions, session_outcomes
 from suite.registry import query, r6, sql_list
 
 # Ranking compares scores to twelve decimals, in both engines.
@@ -545,6 +545,26 @@ def outcomes(fx):
     return session_outcomes(requests, likes, results, fx.records().filter("item_id % 7 <> 0"))
 
 
+@query(
+    "participant_requests",
+    """WITH known AS (SELECT 'participant-' || user_id AS participant_id, user_id, CASE WHEN user_id % 11 = 0 THEN 'pilot' WHEN user_id % 3 = 0 THEN 'features' ELSE 'references' END AS grp
+                     FROM events WHERE event_type = 'signup' GROUP BY user_id),
+       likes AS (SELECT user_id, count(*) AS n, count(DISTINCT item_id) AS d, min(item_id) AS least FROM purchases GROUP BY user_id)
+       SELECT request_id, CASE WHEN n IS NULL THEN 'no liked items' WHEN d < n THEN 'liked items repeat' WHEN least < 1 THEN 'liked ids must be positive'
+              WHEN players < 1 THEN 'players must be positive' WHEN num_results NOT BETWEEN 1 AND 100 THEN 'num_results must be between 1 and 100'
+              WHEN grp IS NULL THEN 'participant not found' WHEN grp = 'pilot' THEN 'unknown study group' ELSE 'ok' END AS status, grp AS study_group
+       FROM requests LEFT JOIN likes USING (user_id) LEFT JOIN known USING (user_id)""",
+    "purchases", "requests",
+)
+def participant_requests(fx):
+    """Requests checked against stored participants, whose groups do not follow the rule for new ones."""
+    user = F.col("user_id")
+    group = F.when(user % 11 == 0, "pilot").when(user % 3 == 0, "features").otherwise("references")
+    stored = fx.table("events").filter("event_type = 'signup'").select("user_id").distinct().select(X.participant_id(user).alias("participant_id"), group.alias("study_group"))
+    checked = checked_requests(fx.view("requests"), fx.view("purchases"), stored)
+    return checked.select("request_id", F.coalesce("reject_reason", F.lit("ok")).alias("status"), "study_group")
+
+
 _STORED_SQL = """
     stored AS (SELECT 'rec-' || o_orderkey AS id, 'participant-' || o_custkey AS participant_id,
                       CASE WHEN o_orderpriority = '5-LOW' THEN 'not a time' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS created_at,

@@ -130,6 +130,12 @@ def test_sessions_end_to_end(spark):
     assert [s["item"]["id"] for s in rows["a"]["recommendations"]] == [2, 3]
     assert rows["e"]["intent"]["num_results"] == 10 and len(rows["e"]["recommendations"]) == 3
     assert rows["a"]["recommendations"][0]["explanation"]["references"][0]["liked_id"] == 1
+    known = frame(spark, [("participant-1", "features"), ("participant-1", "features"), ("participant-9", "references")], "participant_id string, study_group string")
+    registered = generate_sessions(asked, liked, store, catalog, created_at=moment, participants=known)
+    (only,) = registered.collect()  # e is asked by somebody who never registered
+    assert (only["request_id"], only["experiment_group"]) == ("a", "features")
+    told = {r["request_id"]: r["reason"] for r in session_outcomes(asked, liked, registered.select("request_id", F.lit(2).alias("item_id")), catalog, known).collect()}
+    assert told["e"] == "participant not found" and told["a"] is None and told["c"] == "players must be positive"
     mine = lambda requests, *rest: requests.select("*", F.lit(3).cast("bigint").alias("item_id"), F.lit(1.0).alias("score"), F.lit(0).alias("rank"))
     other = generate_sessions(asked, liked, store, catalog, created_at=moment, ranker=mine)
     assert all([s["item"]["id"] for s in r["recommendations"]] == [3] for r in other.collect())
