@@ -12,6 +12,7 @@ from shelfwise.operators import scoring as R
 from shelfwise.operators import search as S
 from shelfwise.operators import sessions as X
 from shelfwise.operators.preferences import centroids, cluster_count
+from shelfwise.operators.pruned import pruned_top_items
 from shelfwise.operators.references import liked_similarities
 from shelfwise.plans import recommend as P
 from shelfwise.plans.sessions import checked_requests, explained_results, generate_sessions, session_outcomes
@@ -135,6 +136,20 @@ def recommend_topk(fx):
     return _user_ranking(fx).select("user_id", "item_id", "rank", r6("score").alias("score"))
 
 
+@query(
+    "recommend_topk_pruned",
+    f"WITH {_SCORES} SELECT user_id, item_id, rank, round(score, 6) AS score FROM ranking WHERE rank < 10",
+    "liked",
+    "items",
+)
+def recommend_topk_pruned(fx):
+    """The ranking of ``recommend_topk``, by cells of directions whose bounds decide which of them a user meets."""
+    liked, items = _likes(fx), _vectors(fx)
+    queries = P.user_directions(liked, items, SINGLE_CENTROID).select(F.col("user_id").alias("query_id"), "vector", F.lit(10).alias("n_results"))
+    ranked, _ = pruned_top_items(queries, items, exclude=liked.withColumnRenamed("user_id", "query_id"))
+    return ranked.select(F.col("query_id").alias("user_id"), "item_id", "rank", r6("score").alias("score"))
+
+
 def _multi(aggregate: str) -> str:
     """Every liked vector is a preference vector of its own."""
     return f"""
