@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 #: Rows with texts that a Python worker receives at a time.
 BATCH_ROWS = 1_000
+#: Bits of a filter over keys: at most 4 MB of words wherever it goes.
+FILTER_BITS = 1 << 24
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +68,69 @@ def empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
+def _bits(keys: DataFrame) -> DataFrame:
+    """A filter of fixed size over the columns of ``keys``: (word, bits) for each word with a bit set."""
+    at = keys.select(F.pmod(F.xxhash64(*keys.columns), F.lit(FILTER_BITS)).alias("p"))
+    at = at.select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, CAST(p & 63 AS INT))").alias("bit"))
+    return stored(at.groupBy("word").agg(F.bit_or("bit").alias("bits")))
+
+
+def _sifted(df: DataFrame, key: tuple[Column, ...], bits: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a column ``flag``: whether the filter may hold the row's key (it never misses one that it holds)."""
+    at, word, found = fresh(df, "_at"), fresh(df, "_word"), fresh(df, "_bits")
+    columns = [quoted(c) for c in df.columns]
+    place = df.withColumn(at, F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS)))
+    place = place.join(F.broadcast(bits.toDF(word, found)), F.shiftright(quoted(at), 6) == quoted(word), "left")
+    hit = F.getbit(quoted(found), F.pmod(quoted(at), F.lit(64)).cast("int")) == 1
+    return place.select(*columns, F.coalesce(hit, F.lit(False)).alias(flag))
+
+
+def without(df: DataFrame, key: tuple[Column, ...], gone: DataFrame, every: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key is not a row of ``gone``; nulls equal nulls. ``every`` holds the keys of all rows.
+
+    A filter over ``gone`` lets rows outside of it through at once. The other keys that it wrongly holds are found on ``every``,
+    which is narrow, and make a second filter: what only the first one holds is surely gone. Whole rows are shuffled only if both
+    filters hold them, a few in a hundred, unless there are so many keys that the filters are full.
+    """
+    one, two = fresh(df, "_first"), fresh(df, "_second")
+    first = _bits(gone)
+    names = [fresh(df, f"_key{i}_") for i in range(len(key))]
+    listed = gone.toDF(*names)
+    held = _sifted(every, tuple(quoted(c) for c in every.columns), first, "_held").filter("_held").drop("_held")
+    same = [quoted(a).eqNullSafe(quoted(b)) for a, b in zip(every.columns, names, strict=True)]
+    second = _bits(stored(held.join(listed, _all(same), "left_anti")))
+    columns = [quoted(c) for c in df.columns]
+    sifted = _sifted(_sifted(df, key, first, one), key, second, two)
+    clear = sifted.filter(~quoted(one)).select(*columns)
+    doubtful = sifted.filter(quoted(one) & quoted(two)).select(*columns)
+    match = [k.eqNullSafe(quoted(b)) for k, b in zip(key, names, strict=True)]
+    return clear.union(doubtful.join(listed, _all(match), "left_anti"))
+
+
+def unique(df: DataFrame, key: tuple[Column, ...], repeated: DataFrame) -> DataFrame:
+    """``df`` with one row of each key of ``repeated`` (the one with the smallest hash of its columns), other rows as they are."""
+    if empty(repeated):
+        return df
+    names = [fresh(df, f"_key{i}_") for i in range(len(key))]
+    listed = repeated.toDF(*names)
+    match = _all([k.eqNullSafe(quoted(b)) for k, b in zip(key, names, strict=True)])
+    columns = [quoted(c) for c in df.columns]
+    row, whole, held = F.struct(*columns), fresh(df, "_row"), fresh(df, "_held")
+    sifted = _sifted(df, key, _bits(repeated), held)
+    clear, maybe = sifted.filter(~quoted(held)).select(*columns), sifted.filter(held).select(*columns)
+    # combined within each task first, so a row that fills the table is no large group
+    some = maybe.join(listed, match, "left_semi").groupBy(*[k.alias(n) for k, n in zip(key, names, strict=True)])
+    chosen = some.agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(whole)).select(f"{whole}.*")
+    return clear.union(maybe.join(listed, match, "left_anti")).union(chosen)
+
+
+def _all(conditions: list[Column]) -> Column:
+    result = conditions[0]
+    for condition in conditions[1:]:
+        result = result & condition
+    return result
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Arrow batches of at most ``rows`` rows from now on in this session (left alone where they are smaller already).
 

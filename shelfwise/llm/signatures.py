@@ -18,8 +18,10 @@ Every candidate is confirmed on the full sets (64-bit hashes of all shingles). R
 components that are known, so no link between different components is lost.
 
 Null texts and texts without words have an empty set and link with nothing. Texts with fewer words than a shingle have the whole
-sequence as their only one. Rows that share an id count as one document with several texts. Rows with a null id form a component with
-their copies only, under a null id.
+sequence as their only one. Classes are known by their content, not by an id: rows that share an id but not a text are compared each
+with its own text and then joined as one document. A row with a null id links like any other; its component has the smallest id that is
+reachable, or null if there is none (then ``kept`` is true). ``keep_one`` goes by texts alone: of every group of rows exactly one
+stays, also of repeated rows and of rows without an id, while different texts under one id are different documents.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
-from shelfwise.llm.frames import empty, fresh, pick, quoted, small_batches, stored
+from shelfwise.llm.frames import empty, pick, quoted, small_batches, stored, unique, without
 
 COORDINATES = 48
 MATCHES = 27
@@ -190,7 +192,7 @@ def _rest(placed: DataFrame, lists: DataFrame, known: DataFrame, sets: DataFrame
     stars = placed.join(lists.select("token", "first"), "token").select(F.col("rep").alias("a"), F.col("first").alias("b"))
     family = components(stars).select(F.col("node").alias("rep"), F.col("component").alias("family"))
     rows = family.join(placed.select("rep", "c").distinct(), "rep").join(known.select("rep", "n", "sig"), "rep")
-    rows = rows.join(sets.select(F.col("doc_id").alias("rep"), "set"), "rep")
+    rows = rows.join(sets, "rep")
     sizes = stored(family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / float(BLOCK)).cast("int").alias("chunks")))
     dealt = stored(rows.join(sizes, "family").withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(4)), F.col("chunks")).cast("int")))
     columns = ["family", "rep", "c", "n", "sig", "set"]
@@ -200,29 +202,28 @@ def _rest(placed: DataFrame, lists: DataFrame, known: DataFrame, sets: DataFrame
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_compare(percent, least), "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
-    coordinates: int = COORDINATES, least: int = MATCHES, rounds: int = ROUNDS,
-) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
-    small_batches(docs.sparkSession)
-    table = pick(docs, doc_id=id_col, text=text_col)
-    signed = stored(table.select("doc_id", _signed(words, coordinates)("text").alias("s")).select("doc_id", "s.*"))
-    classes = stored(
-        signed.filter("n > 0 and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    )
+def _groups(table: DataFrame, words: int, percent: int, coordinates: int, least: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Every row of ``table`` (doc_id, text) as (doc_id, text_key, n, same), and every class as (same, rep, doc, group).
+
+    ``doc`` is the smallest id of a class (null if no row of it has one); classes that links connect have the same ``group``.
+    """
+    keyed = table.select("doc_id", F.xxhash64("text").alias("text_key"), _signed(words, coordinates)("text").alias("s"))
+    signed = stored(keyed.select("doc_id", "text_key", "s.*"))
+    classes = signed.filter("n > 0").groupBy("same").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    # numbers given when the table is written hold from then on
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()))
     prefix = stored(postings(classes, coordinates, least))
     several = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
     posted = stored(prefix.join(several, "token", "left_semi"), prefix)
     reps = stored(posted.select("rep").distinct())
-    known = stored(classes.join(reps, "rep", "left_semi").select("rep", "n", "sig", "same"))
-    # full sets of the documents that stand in any list
-    wanted = known.select(F.col("rep").alias("_rep"), F.col("same").alias("_same"))
-    sets = table.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", _sets(words)("text").alias("set"))
-    sets = stored(
-        sets.filter(F.length("set") > 0).withColumn("own", F.md5("set"))
-        .join(wanted, (F.col("doc_id") == F.col("_rep")) & (F.col("own") == F.col("_same"))).groupBy("doc_id").agg(F.first("set").alias("set"))
-    )
+    known = stored(classes.join(reps, "rep", "left_semi").select("rep", "n", "sig", "same", "doc"))
+    # full sets of the classes that stand in any list, from one of their documents
+    wanted = known.select("rep", F.col("same").alias("own"))
+    texts = table.join(known.filter("doc is not null").select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    if not empty(known.filter("doc is null")):
+        texts = texts.union(table.filter("doc_id is null"))
+    sets = texts.select(_sets(words)("text").alias("set")).filter(F.length("set") > 0).withColumn("own", F.md5("set"))
+    sets = stored(sets.join(wanted, "own").groupBy("rep").agg(F.first("set").alias("set")))
 
     def candidates(pairs: DataFrame) -> DataFrame:
         """Distinct pairs of like size with enough matching coordinates."""
@@ -233,8 +234,8 @@ def near_duplicates(
         return joined.filter(alike & (matches(F.col("sig_a"), F.col("sig_b")) >= least)).select("a", "b")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
-        b = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
+        a = sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a"))
+        b = sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(percent), "a long, b long")
 
     # every class starts as its own component; confirmed links join components
@@ -262,16 +263,48 @@ def near_duplicates(
         joined = new.join(left, "a").join(right, "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b"))
         merged = components(joined).withColumnRenamed("node", "c")
         state = stored(state.join(merged, "c", "left").select("rep", F.coalesce("component", "c").alias("c")))
-    named = classes.select("same", "rep").join(state, "rep", "left")
-    named = stored(named.select(F.col("same").alias("_same"), F.coalesce("c", "rep").alias("_component")))
+    named = classes.select("same", "rep", "doc").join(state, "rep", "left")
+    return signed, stored(named.select("same", "rep", "doc", F.coalesce("c", "rep").alias("group")))
+
+
+def _joined_by_id(signed: DataFrame, named: DataFrame) -> DataFrame:
+    """``named`` with the groups of different texts under one id joined."""
+    ids = signed.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("same").alias("low"), F.max("same").alias("high"))
+    ids = stored(ids.filter("low <> high").select("doc_id"))
+    if empty(ids):
+        return named
+    texts = signed.filter("n > 0").join(ids, "doc_id").select("doc_id", "same").distinct().join(named, "same").select("doc_id", "group")
+    texts = stored(texts.distinct())
+    first = texts.groupBy("doc_id").agg(F.min("group").alias("b"))
+    merged = components(texts.join(first, "doc_id").select(F.col("group").alias("a"), "b")).withColumnRenamed("node", "group")
+    return stored(named.join(merged, "group", "left").select("same", "rep", "doc", F.coalesce("component", "group").alias("group")))
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
+    coordinates: int = COORDINATES, least: int = MATCHES, rounds: int = ROUNDS,
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
+    small_batches(docs.sparkSession)
+    signed, named = _groups(pick(docs, doc_id=id_col, text=text_col), words, percent, coordinates, least, rounds)
+    named = _joined_by_id(signed, named)
+    smallest = named.groupBy("group").agg(F.min("doc").alias("_component"))
+    named = stored(named.join(smallest, "group").select(F.col("same").alias("_same"), "_component"))
     rows = signed.join(named, signed["same"] == named["_same"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
+    component = F.coalesce("_component", "doc_id")
     result = rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with all their columns."""
-    name = fresh(docs, "_gone")
-    gone = near_duplicates(docs, id_col, text_col, words, percent).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, quoted(id_col) == quoted(name), "left_anti")
+    """One row of each group of near duplicates, with all columns: of the smallest id, nulls last. Rows without words all stay."""
+    small_batches(docs.sparkSession)
+    signed, named = _groups(pick(docs, doc_id=id_col, text=text_col), words, percent, COORDINATES, MATCHES, ROUNDS)
+    rows = signed.join(named.select("same", "group"), "same").select("group", "doc_id", "text_key")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    places = stored(rows.groupBy("group", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("times")))
+    firsts = places.groupBy("group").agg(F.min(place).alias("first"), F.sum("times").alias("n")).filter("n > 1")
+    joined = stored(places.join(firsts, "group").select("doc_id", "text_key", "times", (place == F.col("first")).alias("stays")), places)
+    key = (quoted(id_col), F.xxhash64(quoted(text_col)))
+    rest = without(docs, key, joined.filter("not stays").select("doc_id", "text_key"), signed.select("doc_id", "text_key"))
+    return unique(rest, key, joined.filter("stays and times > 1").select("doc_id", "text_key"))
