@@ -9,14 +9,16 @@
 3. *Search.* Every vector is a query against the shards of its cells: a greedy beam search starts at the shard's medoid; from all vectors found
    within the range (and a little beyond) the search expands along the edges until it finds nothing new.
 4. *Verify and audit.* A link counts only if the cosine in double precision reaches the threshold. At most ``AUDIT`` vectors, drawn by hash, are
-   compared with all vectors; if the recall of their links is below ``RECALL``, everything is done again with more overlap and
+   compared with all vectors; if the mean recall of those with links is below ``RECALL``, everything is done again with more overlap and
    a wider beam (``ATTEMPTS`` times at most). The measured recall is returned.
 
 Exact copies (same label and components) are one vector with a count from the start. A pair that shares several cells is counted in
 the first of them only. Links inside a task leave it as one row per vector, never as pairs.
 
 Null ids, null labels, null, empty and zero vectors and vectors with null or non-finite components link with nothing and
-form a component of their own. Vectors of different length never link. Rows that share an id are different vectors under one name.
+form a component of their own. Vectors of different length never link. Vectors are known by their content: rows that share an id but not
+a vector count links each for its own vector and form one component, under the smallest id that is reachable. A row with a null id
+has no links of its own, and none to others are counted for it.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
-from shelfwise.llm.frames import pick, stored
+from shelfwise.llm.frames import empty, pick, stored
 
 CELL = 1024
 SAMPLE = 2048
@@ -39,6 +41,9 @@ BEAM = 32
 AUDIT = 128
 RECALL = 0.98
 ATTEMPTS = 3
+#: Queries that are searched at a time, and entries of a gathered table of neighbours.
+SLICE = 256
+GATHERED = 1 << 20
 #: How far below the threshold a found vector may be and still be expanded.
 SLACK = 0.08
 
@@ -142,12 +147,12 @@ def prune(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarr
     width = min(n - 1, 3 * degree)
     like = x @ x.T
     np.fill_diagonal(like, -np.inf)
-    near = np.argpartition(-like, width - 1, axis=1)[:, :width]
+    near = np.concatenate([np.argpartition(-like[at : at + SLICE], width - 1, axis=1)[:, :width] for at in range(0, n, SLICE)])
     near = np.take_along_axis(near, np.argsort(-np.take_along_axis(like, near, 1), axis=1, kind="stable"), 1)
     own = 2 - 2 * np.take_along_axis(like, near, 1)
     chosen = np.zeros((n, width), bool)
-    for start in range(0, n, 256):
-        rows = slice(start, min(n, start + 256))
+    for start in range(0, n, SLICE):
+        rows = slice(start, min(n, start + SLICE))
         between = 2 - 2 * like[near[rows][:, :, None], near[rows][:, None, :]]
         alive, kept = np.ones(near[rows].shape, bool), chosen[rows]
         for place in range(width):
@@ -210,15 +215,17 @@ def search(x: np.ndarray, y: np.ndarray, graph: np.ndarray, threshold: float, be
     while open_.any():  # range: expand everything found near the threshold
         r, c = np.nonzero(open_)
         reach = np.zeros((q, n), bool)
-        for start in range(0, len(r), 1 << 16):
-            near = graph[c[start : start + (1 << 16)]]
-            reach[np.broadcast_to(r[start : start + (1 << 16), None], near.shape)[near >= 0], near[near >= 0]] = True
+        step = max(1, GATHERED // graph.shape[1])
+        for start in range(0, len(r), step):
+            near = graph[c[start : start + step]]
+            reach[np.broadcast_to(r[start : start + step, None], near.shape)[near >= 0], near[near >= 0]] = True
         reach &= ~seen
         seen |= reach
         r, c = np.nonzero(reach)
         open_ = np.zeros((q, n), bool)
-        for start in range(0, len(r), 1 << 16):
-            a, b = r[start : start + (1 << 16)], c[start : start + (1 << 16)]
+        step = max(1, GATHERED // x.shape[1])
+        for start in range(0, len(r), step):
+            a, b = r[start : start + step], c[start : start + step]
             value = np.einsum("ij,ij->i", x[a], y[b])
             open_[a, b], linked[a, b] = value >= low, value >= threshold
     return linked
@@ -237,7 +244,9 @@ def _links(threshold: float, beam: int):
             at = np.searchsorted(n_ids, others)
             at = at[n_ids[np.minimum(at, len(n_ids) - 1)] == others]
             row[: len(at)] = at
-        linked = search(units(queries["vec"]), units(nodes["vec"]), graph, threshold, min(beam, max(1, len(n_ids))))
+        x, y = units(queries["vec"]), units(nodes["vec"])
+        wide = min(beam, max(1, len(n_ids)))
+        linked = np.concatenate([search(x[at : at + SLICE], y, graph, threshold, wide) for at in range(0, len(x), SLICE)])
         linked &= q_ids[:, None] != n_ids[None, :]
         # a pair that shares cells is counted in the smallest of them
         cell = int(queries["cell"].iloc[0])
@@ -292,7 +301,7 @@ def find_links(vectors: DataFrame, threshold: float, overlap: int, beam: int) ->
 
 
 def audit(vectors: DataFrame, counts: DataFrame, threshold: float, rows: int = AUDIT) -> float:
-    """Share of the true links of at most ``rows`` vectors that was found: each is compared with every vector."""
+    """Mean share of the true links found, over at most ``rows`` vectors: each is compared with every vector."""
     drawn = vectors.orderBy(F.xxhash64("rep", F.lit(9))).limit(rows).select("rep", "label", "vec", "copies").collect()
     if not drawn:
         return 1.0
@@ -310,8 +319,9 @@ def audit(vectors: DataFrame, counts: DataFrame, threshold: float, rows: int = A
         yield pd.DataFrame({"rep": ids, "true": totals})
 
     truth = vectors.select("rep", "label", "vec", "copies").mapInPandas(exact, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("true"))
-    compared = truth.join(counts, "rep").agg(F.sum(F.least("true", "n")).alias("found"), F.sum("true").alias("true")).first()
-    return float(compared["found"] / compared["true"]) if compared["true"] else 1.0
+    # every vector weighs the same, so a mass of near copies does not hide what others miss
+    compared = truth.filter(F.col("true") > 0).join(counts, "rep", "left").agg(F.avg(F.least("true", F.coalesce("n", F.lit(0))) / F.col("true")).alias("share")).first()
+    return 1.0 if compared["share"] is None else float(compared["share"])
 
 
 def near_duplicate_vectors(
@@ -323,22 +333,33 @@ def near_duplicate_vectors(
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
     sound = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("vec") > 0) & finite, F.lit(False))
     rows = stored(table.withColumn("vec", F.when(sound, F.col("vec"))).withColumn("same", F.when(sound, F.xxhash64("vec", "label"))))
-    vectors = rows.filter("same is not null").groupBy("same", "label", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    vectors = stored(vectors.select("rep", "label", "vec", "copies", "same"))
+    vectors = rows.filter("same is not null").groupBy("same", "label", "vec").agg(F.min("vec_id").alias("name"), F.count(F.lit(1)).alias("copies"))
+    # numbers given when the table is written hold from then on; sorted, so that reruns draw the same vectors
+    vectors = stored(vectors.sortWithinPartitions("same", "name").select("label", "vec", "copies", "same", "name", F.monotonically_increasing_id().alias("rep")))
     for attempt in range(ATTEMPTS):
         found = stored(find_links(vectors, threshold, overlap + attempt, beam << attempt))
         counts = stored(found.groupBy("rep").agg(F.sum("n").alias("n")))
         recall = audit(vectors, counts, threshold)
         if recall >= RECALL:
             break
-    grouped = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = vectors.select("rep", "copies", "same", F.col("vec").alias("own"), F.col("label").alias("own_label")).join(counts, "rep", "left")
-    known = known.join(grouped.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("same").alias("_same"), "own", "own_label", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "rep").alias("component"),
+    match = (F.col("same") == F.col("_same")) & (F.col("label") == F.col("own_label")) & (F.col("vec") == F.col("own"))
+    content = vectors.select("rep", F.col("same").alias("_same"), F.col("vec").alias("own"), F.col("label").alias("own_label"))
+    links = found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    # an id with different vectors joins them
+    ids = rows.filter("same is not null").groupBy("vec_id").agg(F.min(F.struct("same", "label", "vec")).alias("low"), F.max(F.struct("same", "label", "vec")).alias("high"))
+    ids = stored(ids.filter("low <> high").select("vec_id"))
+    if not empty(ids):
+        named = stored(rows.filter("same is not null").join(ids, "vec_id").join(content, match).select("vec_id", "rep").distinct())
+        first = named.groupBy("vec_id").agg(F.min("rep").alias("b"))
+        links = links.union(named.join(first, "vec_id").select(F.col("rep").alias("a"), "b"))
+    grouped = components(links).withColumnRenamed("node", "rep")
+    placed = stored(vectors.join(grouped, "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    names = placed.groupBy("component").agg(F.min("name").alias("smallest"))
+    known = placed.join(names, "component").join(counts, "rep", "left").select(
+        F.col("same").alias("_same"), F.col("vec").alias("own"), F.col("label").alias("own_label"),
+        (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.col("smallest").alias("component"),
     )
     known = stored(known)
-    match = (rows["same"] == known["_same"]) & (rows["label"] == known["own_label"]) & (rows["vec"] == known["own"])
     joined = rows.select("vec_id", "same", "label", "vec").join(known, match, "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
     result = joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))

@@ -3,10 +3,11 @@
 import collections
 import random
 
+import numpy as np
 import pytest
 from test_queries import Groups, shingles
 
-from shelfwise.llm import frames, signatures
+from shelfwise.llm import frames, signatures, vector_graph
 
 DRAW = random.Random(9)
 
@@ -79,3 +80,33 @@ def test_full_filters_drop_nothing_else(spark, monkeypatch):
     key = (frames.quoted("a"), frames.quoted("b"))
     left = frames.without(docs, key, docs.filter("CAST(b AS int) % 4 = 0"), docs)
     assert sorted(int(r["b"]) for r in left.collect()) == [i for i in range(500) if i % 4]
+
+
+def test_vectors_of_one_id_are_joined(spark):
+    draw = np.random.default_rng(2)
+    base = draw.normal(size=(60, 12))
+    rows = []
+    for i in range(400):
+        vector = base[i % 60] + 0.12 * draw.normal(size=12) * (i % 3 > 0)
+        rows.append((int(i - i % 7 * (i % 5 == 0)), [float(v) for v in vector], int(i % 60 % 4)))
+    rows += [(500, rows[0][1], 0), (500, rows[1][1], 1), (None, rows[0][1], 0), (501, None, 0), (501, rows[2][1], 2)] + [(600 + i, rows[3][1], 3) for i in range(40)]
+    x = [np.array(v) / np.linalg.norm(v) if v and i is not None else None for i, v, _ in rows]
+    groups, counts = Groups(range(len(rows))), [0] * len(rows)
+    for i, a in enumerate(x):
+        for j, b in enumerate(x):
+            if i != j and a is not None and b is not None and rows[i][2] == rows[j][2] and a @ b >= 0.93:
+                counts[i] += 1
+                groups.join(i, j)
+            if i != j and a is not None and b is not None and rows[i][0] == rows[j][0]:
+                groups.join(i, j)
+    lowest = {}
+    for i, (name, _, _) in enumerate(rows):
+        if name is not None:
+            lowest[groups.top(i)] = min(name, lowest.get(groups.top(i), name))
+    wanted = collections.Counter()
+    for i, (name, _, _) in enumerate(rows):
+        component = name if x[i] is None else lowest[groups.top(i)]
+        wanted[name, counts[i], component, name == component] += 1
+    table = spark.createDataFrame([(*r, 0, "n") for r in rows], "vec_id long, embedding array<double>, label int, rep int, name string")
+    found = vector_graph.near_duplicate_vectors(table).select("vec_id", "n_links", "component_id", "kept")
+    assert collections.Counter(tuple(r) for r in found.collect()) == wanted
