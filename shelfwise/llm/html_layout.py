@@ -6,8 +6,9 @@ with nesting, preformatted text, and aligned columns for tables. All visible tex
 An open head ends at whatever cannot stand in it. Of an svg the text elements and embedded HTML are shown, of math all but
 annotations, of a select every option on a line of its own.
 
-Null and empty pages give an empty text. Broken markup never fails: an unclosed comment ends at the next ``>`` or, without
-one, is text; stray end tags are ignored. The tree is walked with explicit stacks, so depth is not limited, and columns of nested
+A cell that spans rows shows its text in the first of them and keeps its columns in the others; wide characters count as two
+columns. Null and empty pages give an empty text. Broken markup never fails and is read once, however often a tag is left open: an
+unclosed comment or tag ends at the next ``>`` or, without one, is text; stray end tags are ignored. The tree is walked with explicit stacks, so depth is not limited, and columns of nested
 tables are aligned inside their cell. Rows with equal ids are independent.
 """
 
@@ -15,7 +16,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+import unicodedata
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -56,8 +59,8 @@ ENDS = {
 NEEDS = {"td": ("tr", {"tr"}), "th": ("tr", {"tr"})}
 #: End tags do not reach out of these.
 WALLS = frozenset("table td th caption html".split())
-_TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
-_LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
+_NAME = re.compile(r"<(/?)([A-Za-z][^\s/>]*)")
+_PLAIN = re.compile(r"""[^>"']+""")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 _HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -72,9 +75,43 @@ class Node:
         self.foreign = False
 
 
+class Ends:
+    """Where tags end, in one pass over the page in all: what was read in vain is remembered."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        #: Places outside of quotes from which no ``>`` outside of quotes follows.
+        self.vain: set[int] = set()
+        self.bracket = page.find(">")
+
+    def following(self, at: int) -> int:
+        """The next ``>``, or -1."""
+        if 0 <= self.bracket < at:
+            self.bracket = self.page.find(">", at)
+        return self.bracket
+
+    def of(self, at: int) -> int:
+        """The ``>`` that ends a tag whose name ends at ``at``: the first outside of quotes, else the first, or -1."""
+        first, read = self.following(at), []
+        while first >= 0 and at not in self.vain and at < len(self.page):
+            sign = self.page[at]
+            if sign == ">":
+                return at
+            read.append(at)
+            if sign in "\"'":
+                at = self.page.find(sign, at + 1) + 1
+                if not at:
+                    break
+            else:
+                at = _PLAIN.match(self.page, at).end()
+        self.vain.update(read)
+        return first
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes) with kinds ``text``, ``start`` and ``end``; comments and declarations are gone."""
     at, size, text_from = 0, len(page), 0
+    ends, comments = Ends(page), True
     while True:
         at = page.find("<", at)
         if at < 0:
@@ -82,10 +119,11 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         follow = page[at + 1 : at + 2]
         if follow in ("!", "?"):
             if page.startswith("<!--", at):
-                end = page.find("-->", at + 4)
-                end = end + 3 if end >= 0 else page.find(">", at) + 1
+                end = page.find("-->", at + 4) if comments else -1
+                comments = end >= 0
+                end = end + 3 if comments else ends.following(at) + 1
             else:
-                end = page.find(">", at) + 1
+                end = ends.following(at) + 1
             if end <= 0:
                 break
             if at > text_from:
@@ -95,16 +133,20 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if not (follow.isalpha() or follow == "/"):
             at += 1
             continue
-        found = _TAG.match(page, at) or _LOOSE.match(page, at)
+        found = _NAME.match(page, at)
         if not found:
             at += 1
             continue
+        end = ends.of(found.end())
+        if end < 0:
+            break
+        source = page[found.end() : end]
         if at > text_from:
             yield "text", page[text_from:at], ""
         name = found[2].lower()
-        yield ("end" if found[1] else "start"), name, found[3]
-        at = text_from = found.end()
-        if not found[1] and name in RAW and not found[3].endswith("/"):
+        yield ("end" if found[1] else "start"), name, source
+        at = text_from = end + 1
+        if not found[1] and name in RAW and not source.endswith("/"):
             close = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
             stop = close.start() if close else size
             if stop > at:
@@ -121,24 +163,50 @@ def attributes_of(source: str) -> dict[str, str]:
     return found
 
 
+class Opened(list):
+    """The open elements, the root first, with the depths of every tag, so that no search walks the stack."""
+
+    def __init__(self, root: Node) -> None:
+        super().__init__([root])
+        self.depths: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.tag, []).append(len(self))
+        self.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Close everything from this depth on."""
+        while len(self) > depth:
+            self.depths[self.pop().tag].pop()
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The depth of the innermost element of these tags, 0 without one."""
+        return max((self.depths[tag][-1] for tag in tags if self.depths.get(tag)), default=0)
+
+    def first_after(self, tags: Iterable[str], depth: int) -> int:
+        """The depth of the outermost element of these tags inside of ``depth``, 0 without one."""
+        found = 0
+        for tag in tags:
+            depths = self.depths.get(tag)
+            if depths and depths[-1] > depth:
+                place = depths[bisect_right(depths, depth)]
+                found = min(found, place) if found else place
+        return found
+
+
 def build(page: str) -> Node:
     """The element tree, with implied start and end tags."""
     root = Node("html")
-    stack = [root]
+    stack = Opened(root)
 
     def close(kinds: set[str], walls: set[str]) -> None:
-        depth = len(stack) - 1
-        lowest = 0
-        while depth > 0 and stack[depth].tag not in walls:
-            if stack[depth].tag in kinds:
-                lowest = depth
-            depth -= 1
+        lowest = stack.first_after(kinds - walls, stack.last(walls))
         if lowest:
-            del stack[lowest:]
+            stack.cut(lowest)
 
     for kind, name, source in tokens(page):
         if stack[-1].tag == "head" and (name.strip(" \t\n\r\f") if kind == "text" else name not in IN_HEAD if kind == "start" else name == "br"):
-            stack.pop()
+            stack.cut(len(stack) - 1)
         if kind == "text":
             stack[-1].children.append(name if stack[-1].tag in RAW - {"textarea", "title"} else html.unescape(name))
         elif kind == "start":
@@ -147,29 +215,27 @@ def build(page: str) -> Node:
                 continue
             if name in BREAKOUT:
                 while stack[-1].foreign:
-                    stack.pop()
+                    stack.cut(len(stack) - 1)
             if name in ENDS and not stack[-1].foreign:
                 close(*ENDS[name])
             if name in NEEDS and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 implied = Node(NEEDS[name][0])
                 stack[-1].children.append(implied)
-                stack.append(implied)
+                stack.push(implied)
             node = Node(name, attributes_of(source))
             within = stack[-1].foreign
             node.foreign = name in ("svg", "math") or (within and name not in EMBEDS)
             stack[-1].children.append(node)
             if name not in VOID and not (source.endswith("/") and (within or node.foreign)):
-                stack.append(node)
+                stack.push(node)
         else:
             if name == "br":
                 stack[-1].children.append(Node("br"))
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == name:
-                    del stack[depth:]
-                    break
-                if stack[depth].tag in WALLS and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            depth = stack.last((name,))
+            through = name in ("table", "tr", "tbody", "thead", "tfoot", "body", "html")
+            if depth and (through or depth >= stack.last(WALLS)):
+                stack.cut(depth)
     return root
 
 
@@ -251,6 +317,41 @@ class Page:
         return self.lines[start:]
 
 
+def columns_of(text: str) -> int:
+    """Columns that a text takes on a screen of equal columns: wide characters two, combining marks none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def spread_rows(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[list[str], int]]]:
+    """Rows of (lines, columns, rows) cells as rows of (lines, columns), with an empty cell where one from above reaches down."""
+    out, reaching = [], {}  # column -> (rows left, columns)
+    for row in rows:
+        placed, below, column, at = [], {}, 0, 0
+        while at < len(row) or any(c >= column for c in reaching):
+            if column in reaching:
+                left, span = reaching[column]
+                placed.append(([], span))
+                if left > 1:
+                    below[column] = (left - 1, span)
+            elif at < len(row):
+                lines, span, height = row[at]
+                at += 1
+                # a cell ends where one from above begins
+                span = max(1, min([span] + [c - column for c in reaching if c > column]))
+                placed.append((lines, span))
+                if height > 1:
+                    below[column] = (height - 1, span)
+            else:
+                span = min(c for c in reaching if c >= column) - column
+                placed.append(([], span))
+            column += span
+        out.append(placed)
+        reaching = below
+    return out
+
+
 def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
     """Table rows as lines with padded columns; cells may hold several lines and span columns."""
     widths: list[int] = []
@@ -259,13 +360,13 @@ def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
         for lines, span in row:
             widths += [0] * (column + span - len(widths))
             if span == 1:
-                widths[column] = max(widths[column], max(map(len, lines), default=0))
+                widths[column] = max(widths[column], max(map(columns_of, lines), default=0))
             column += span
     for row in rows:  # what spans columns widens the last of them
         column = 0
         for lines, span in row:
             if span > 1:
-                need = max(map(len, lines), default=0) - sum(widths[column : column + span]) - 3 * (span - 1)
+                need = max(map(columns_of, lines), default=0) - sum(widths[column : column + span]) - 3 * (span - 1)
                 widths[column + span - 1] += max(0, need)
             column += span
     out = []
@@ -274,7 +375,8 @@ def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
             column, parts = 0, []
             for lines, span in row:
                 width = sum(widths[column : column + span]) + 3 * (span - 1)
-                parts.append((lines[height] if height < len(lines) else "").ljust(width))
+                line = lines[height] if height < len(lines) else ""
+                parts.append(line + " " * (width - columns_of(line)))
                 column += span
             out.append(" | ".join(parts).rstrip(" "))
     return out
@@ -283,7 +385,7 @@ def aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
 def render(root: Node) -> str:
     """The visible text of a tree."""
     pages = [Page()]
-    tables: list[list[list[tuple[list[str], int]]]] = []
+    tables: list[list[list[tuple[list[str], int, int]]]] = []
     lists: list[tuple[str, list[int]]] = []
     pre = 0
     drawing: list[bool] = []  # of each open svg, and of what shows text inside it: whether text is shown
@@ -354,12 +456,13 @@ def render(root: Node) -> str:
         if tag in ("td", "th") and tables:
             lines = pages.pop().done()
             span = node.attributes.get("colspan", "1")
-            cell = (lines, min(max(int(span), 1), 1000) if span.isdigit() and len(span) < 6 else 1)
+            tall = node.attributes.get("rowspan", "1")
+            cell = (lines, *(min(max(int(n), 1), 1000) if n.isascii() and n.isdigit() and len(n) < 6 else 1 for n in (span, tall)))
             if not tables[-1]:
                 tables[-1].append([])
             tables[-1][-1].append(cell)
         elif tag == "table":
-            for line in aligned([row for row in tables.pop() if row]):
+            for line in aligned(spread_rows([row for row in tables.pop() if row])):
                 page.raw(line)
                 page.stop()
             page.stop(2)
