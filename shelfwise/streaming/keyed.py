@@ -1,11 +1,15 @@
-"""Streaming jobs with keyed state: values, maps and timers per key in a RocksDB state store.
+"""Streaming jobs with keyed state: rows that wait and timers per bucket of keys in a RocksDB state store.
 
-A key keeps only what later rows of it can still meet, so the state does not grow with history: events that wait for
+A bucket keeps only what later rows of its keys can still meet, so the state does not grow with history: events that wait for
 the watermark, the items now on a list, the last fetch of an entry. Event-time timers release what waits once the watermark
 has passed it, in the order of event time, however the rows arrived. Rows later than the watermark are dropped by the engine and
 counted; :func:`late_rows` keeps these counts as a table.
 
-A list is kept under ``SUB_KEYS`` sub-keys of a user, by item, because one user may receive a third of all events; the
+Keys are hashed into a fixed number of buckets and a bucket keeps its rows packed, so a batch costs a few state calls per
+bucket and not several per key or row. A batch reads what the buckets it meets keep: an entry of the state is read again when rows
+of its bucket arrive or come due. The number of buckets belongs to the checkpoint: it cannot change while a job goes on.
+
+A list is spread over the buckets by user and item, because one user may receive a third of all events; the
 sizes of lists, which need all items of a user, are summed over time slices in every batch.
 
 Jobs go on after a restart from the checkpoint in their folder. Rows without a key or a time are left out.
@@ -16,8 +20,10 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -27,7 +33,7 @@ from shelfwise.sources.stores import append_changes
 from shelfwise.sources.upserts import append, current
 from shelfwise.streaming.jobs import LATENESS_SECONDS
 
-SUB_KEYS = 16
+BUCKETS = 256
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -54,85 +60,112 @@ def _start(changes: DataFrame, fold, folder: str) -> StreamingQuery:
         )
 
 
-def _due(micros: int) -> int:
-    """The first millisecond that is not before a moment; timers count in milliseconds."""
+def _due(micros):
+    """The first millisecond that is not before a moment (or each of a column); timers count in milliseconds."""
     return -(-micros // 1000)
 
 
-def _by_time(row: tuple) -> list:
-    return [(value is not None, value) for value in row]
+def _bucket(buckets: int, *keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+
+
+class _Packed(StatefulProcessor):
+    """State lists whose entries are tables: one entry for all rows that a call adds."""
+
+    def _list(self, handle: StatefulProcessorHandle, name: str, columns: str):
+        """A list of tables with these columns (names and Arrow types), and its reader."""
+        schema = pa.schema([(name, getattr(pa, kind)()) for name, kind in map(str.split, columns.split(", "))])
+        return _PackedRows(handle.getListState(name, "packed binary"), schema)
+
+    def close(self) -> None:
+        pass
+
+
+class _PackedRows:
+    def __init__(self, state, schema: pa.Schema) -> None:
+        self.state, self.schema = state, schema
 
+    def _pack(self, rows: pd.DataFrame) -> tuple[bytes]:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.schema) as writer:
+            writer.write_table(pa.Table.from_pandas(rows[self.schema.names], self.schema, preserve_index=False))
+        return (sink.getvalue().to_pybytes(),)
 
-class _Waiting(StatefulProcessor):
+    def get(self) -> pd.DataFrame:
+        parts = [pa.ipc.open_stream(bytes(packed)).read_all() for (packed,) in self.state.get()]
+        return pa.concat_tables([self.schema.empty_table(), *parts]).to_pandas()
+
+    def add(self, rows: pd.DataFrame) -> None:
+        self.state.appendValue(self._pack(rows))
+
+    def put(self, rows: pd.DataFrame) -> None:
+        if len(rows):
+            self.state.put([self._pack(rows)])
+        else:
+            self.state.clear()
+
+
+class _Waiting(_Packed):
     """Rows wait for the watermark; ``ready`` gets those it has passed, by time."""
 
-    #: Columns that wait after ``micros``.
+    #: Columns that wait, in the order that decides between rows of one moment.
     ROW = ""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"micros long, {self.ROW}")
+        self.waiting = self._list(handle, "waiting", f"micros int64, {self.ROW}")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        arrived = [tuple(row) for part in rows for row in part[self.columns()].astype(object).itertuples(index=False)]
-        self.waiting.appendList(arrived)
-        self.handle.registerTimer(_due(min(row[0] for row in arrived)))
+        arrived = pd.concat(list(rows))
+        self.waiting.add(arrived)
+        self.handle.registerTimer(int(_due(arrived["micros"].min())))
         yield from ()
 
-    def columns(self) -> list[str]:
-        return ["micros", *(column.split()[0] for column in self.ROW.split(", "))]
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get(), key=_by_time)
-        ready = [row for row in rows if _due(row[0]) < passed]
-        later = rows[len(ready) :]
-        if later:
+        rows = self.waiting.get()
+        due = _due(rows["micros"]) < passed
+        if due.any():
+            later = rows[~due]
             self.waiting.put(later)
-            self.handle.registerTimer(_due(later[0][0]))
-        else:
-            self.waiting.clear()
-        if ready:
-            yield from self.ready(key, ready)
+            if len(later):
+                self.handle.registerTimer(int(_due(later["micros"].min())))
+            order = self.waiting.schema.names
+            yield from self.ready(rows[due].sort_values(order, na_position="first", ignore_index=True))
 
-    def ready(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+    def ready(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         raise NotImplementedError
 
-    def close(self) -> None:
-        pass
-
 
 # ---- wishlist -----------------------------------------------------------------
 
 
 class _Lists(_Waiting):
-    """The listed items of one user and sub-key; adding twice or removing twice changes nothing."""
+    """The listed items of a bucket of users and items; adding twice or removing twice changes nothing."""
 
-    ROW = "event_id long, item_id long, action string"
+    ROW = "event_id int64, item_id int64, action string, user_id int64"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.listed = handle.getMapState("listed", "item_id long", "micros long")
-        self.known = handle.getValueState("known", "known boolean")
-
-    def ready(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        changes = []
-        for micros, event_id, item_id, action in rows:
-            on_list = self.listed.containsKey((item_id,))
-            if action == "add" and not on_list:
-                self.listed.updateValue((item_id,), (micros,))
-                changes.append((key[0], micros, event_id, 1))
-            elif action != "add" and on_list:
-                self.listed.removeKey((item_id,))
-                changes.append((key[0], micros, event_id, -1))
-        if not changes and not self.known.exists():
-            changes.append((key[0], rows[0][0], rows[0][1], 0))  # the user is known from now on
-        if not self.known.exists():
-            self.known.update((True,))
-        yield pd.DataFrame(changes, columns=["user_id", "micros", "event_id", "delta"])
-
-
-def wishlist_lists(events: DataFrame, folder: str, *, lateness: int = LATENESS_SECONDS) -> StreamingQuery:
+        self.listed = self._list(handle, "listed", "user_id int64, item_id int64")
+
+    def ready(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        entry = ["user_id", "item_id"]
+        before = self.listed.get()
+        # what was listed comes first, then the events in their order
+        told = pd.concat([before.assign(action="add"), rows], ignore_index=True)
+        told["added"] = told["action"] == "add"
+        earlier = told.groupby(entry, sort=False)["added"].shift(fill_value=False).astype(bool)
+        told["delta"] = np.where(told["added"] == earlier, 0, np.where(told["added"], 1, -1))
+        self.listed.put(told.drop_duplicates(entry, keep="last").query("added")[entry])
+        told = told.iloc[len(before) :]
+        changes = told[told["delta"] != 0]
+        # users whose events change nothing are known from now on
+        silent = told[~told["user_id"].isin(changes["user_id"])].drop_duplicates("user_id")
+        yield pd.concat([changes, silent])[["user_id", "micros", "event_id", "delta"]].astype("int64")
+
+
+def wishlist_lists(events: DataFrame, folder: str, *, lateness: int = LATENESS_SECONDS, buckets: int = BUCKETS) -> StreamingQuery:
     """Sizes of wishlists from add and remove events: event_id, ts, user_id, item_id, action.
 
     The rows are those of :func:`shelfwise.streaming.jobs.wishlist_stream` after the events the watermark has passed. Changes
@@ -142,10 +175,10 @@ def wishlist_lists(events: DataFrame, folder: str, *, lateness: int = LATENESS_S
         events.filter("ts IS NOT NULL AND user_id IS NOT NULL AND item_id IS NOT NULL")
         .select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "item_id", F.coalesce("event_id", F.lit(0)).alias("event_id"), "action")
         .withWatermark("ts", f"{lateness} seconds")
-        .withColumns({"micros": F.unix_micros("ts"), "sub": F.pmod(F.xxhash64("item_id"), F.lit(SUB_KEYS))})
+        .withColumns({"micros": F.unix_micros("ts"), "bucket": _bucket(buckets, "user_id", "item_id")})
     )
-    changes = rows.groupBy("user_id", "sub").transformWithStateInPandas(
-        _Lists(), "user_id long, micros long, event_id long, delta int", "Append", "EventTime"
+    changes = rows.groupBy("bucket").transformWithStateInPandas(
+        _Lists(), "user_id long, micros long, event_id long, delta long", "Append", "EventTime"
     )
 
     def fold(batch: DataFrame, batch_id: int) -> None:
@@ -168,37 +201,38 @@ def wishlist_sizes(spark: SparkSession, folder: str) -> DataFrame | None:
 # ---- registration -------------------------------------------------------------
 
 
-class _Arrivals(StatefulProcessor):
-    """The first arrival of a participant; it is forgotten when the watermark has passed the last one by the lateness."""
+class _Arrivals(_Packed):
+    """The first arrivals of participants; one is forgotten when the watermark has passed the last by the lateness."""
 
     def __init__(self, lateness: int) -> None:
         self.lateness = lateness
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "until long")
+        self.seen = self._list(handle, "seen", "participant_id string, until int64")
+
+    def _keep(self, seen: pd.DataFrame) -> None:
+        self.seen.put(seen)
+        if len(seen):
+            self.handle.registerTimer(int(seen["until"].min()))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        micros = [value for part in rows for value in part["micros"].tolist()]
-        known = self.seen.exists()
-        until = _due(max(micros)) + 1000 * self.lateness
-        if known:
-            until = max(until, self.seen.get()[0])
-        self.seen.update((until,))
-        self.handle.registerTimer(until)
-        if not known:
-            yield pd.DataFrame({"participant_id": [key[0]], "micros": [min(micros)]})
+        arrived = pd.concat(list(rows)).groupby("participant_id", sort=False)["micros"].agg(["min", "max"]).reset_index()
+        seen = self.seen.get()
+        until = arrived.assign(until=_due(arrived["max"]) + 1000 * self.lateness)[["participant_id", "until"]]
+        self._keep(pd.concat([seen, until]).groupby("participant_id", sort=False, as_index=False)["until"].max())
+        first = arrived[~arrived["participant_id"].isin(seen["participant_id"])]
+        yield first[["participant_id", "min"]].rename(columns={"min": "micros"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.seen.exists() and self.seen.get()[0] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.seen.clear()
+        passed = max(timerValues.getCurrentWatermarkInMs() - 1, expiredTimerInfo.getExpiryTimeInMs())
+        seen = self.seen.get()
+        if (seen["until"] <= passed).any():
+            self._keep(seen[seen["until"] > passed])
         yield from ()
 
-    def close(self) -> None:
-        pass
-
 
-def registrations(arrivals: DataFrame, folder: str, *, lateness: int = LATENESS_SECONDS) -> StreamingQuery:
+def registrations(arrivals: DataFrame, folder: str, *, lateness: int = LATENESS_SECONDS, buckets: int = BUCKETS) -> StreamingQuery:
     """Register participants once, from participant_id and ts; a known id keeps its group and its first arrival.
 
     Arrivals repeated within the lateness end at the keyed state and never reach the table of participants; the
@@ -208,9 +242,9 @@ def registrations(arrivals: DataFrame, folder: str, *, lateness: int = LATENESS_
         arrivals.filter("ts IS NOT NULL AND participant_id IS NOT NULL")
         .select("participant_id", F.col("ts").cast("timestamp").alias("ts"))
         .withWatermark("ts", f"{lateness} seconds")
-        .withColumn("micros", F.unix_micros("ts"))
+        .withColumns({"micros": F.unix_micros("ts"), "bucket": _bucket(buckets, "participant_id")})
     )
-    first = rows.groupBy("participant_id").transformWithStateInPandas(
+    first = rows.groupBy("bucket").transformWithStateInPandas(
         _Arrivals(lateness), "participant_id string, micros long", "Append", "EventTime"
     )
 
@@ -235,48 +269,49 @@ def registrations(arrivals: DataFrame, folder: str, *, lateness: int = LATENESS_
 
 
 class _Entries(_Waiting):
-    """The cached entry of one item. A fresh entry stays; a stale one is asked for once and served until an update comes."""
+    """The cached entries of a bucket of items. A fresh entry stays; a stale one is asked for once and served until an update comes."""
 
-    ROW = "description string, image_url string"
+    ROW = "description string, image_url string, item_id int64"
 
     def __init__(self, ttl_seconds: int) -> None:
         self.ttl = ttl_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.fetched = handle.getValueState("fetched", "micros long, asked boolean")
+        self.fetched = self._list(handle, "fetched", "item_id int64, micros int64, asked bool_")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
-        out = self._ask(key, timerValues.getCurrentWatermarkInMs())
-        if out is not None:
-            yield out
-
-    def _stale_from(self) -> int:
-        return self.fetched.get()[0] + self.ttl
-
-    def _ask(self, key, passed: int, until: int | None = None) -> pd.DataFrame | None:
-        """A request for the entry, if it became stale before the watermark (and before ``until``)."""
-        if not self.fetched.exists() or self.fetched.get()[1]:
-            return None
-        stale = self._stale_from()
-        if _due(stale) >= passed or (until is not None and stale >= until):
-            return None
-        self.fetched.update((self.fetched.get()[0], True))
-        return _entry_rows([(key[0], "expired", stale, None, None)])
-
-    def ready(self, key, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        yield from self._ask(timerValues.getCurrentWatermarkInMs())
+
+    def _keep(self, fetched: pd.DataFrame) -> None:
+        self.fetched.put(fetched)
+        fresh = fetched.loc[~fetched["asked"], "micros"]
+        if len(fresh):
+            self.handle.registerTimer(int(_due(fresh.min() + self.ttl)))
+
+    def _ask(self, passed: int) -> Iterator[pd.DataFrame]:
+        """Requests for the entries that became stale before the watermark."""
+        fetched = self.fetched.get()
+        stale = ~fetched["asked"] & (_due(fetched["micros"] + self.ttl) < passed)
+        if stale.any():
+            self._keep(fetched.assign(asked=fetched["asked"] | stale))
+            yield _entry_rows([(item, "expired", micros + self.ttl, None, None) for item, micros in fetched.loc[stale, ["item_id", "micros"]].itertuples(index=False)])
+
+    def ready(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        fetched = {item: (micros, asked) for item, micros, asked in self.fetched.get().itertuples(index=False)}
         found = []
-        for micros, description, image_url in rows:
-            if self.fetched.exists():
-                if micros <= self._stale_from():
+        for item, micros, description, image_url in rows[["item_id", "micros", "description", "image_url"]].itertuples(index=False):
+            if item in fetched:
+                before, asked = fetched[item]
+                if micros <= before + self.ttl:
                     continue
-                if not self.fetched.get()[1]:
-                    found.append((key[0], "expired", self._stale_from(), None, None))
-            self.fetched.update((micros, False))
-            found.append((key[0], "refreshed", micros, description, image_url))
-            self.handle.registerTimer(_due(micros + self.ttl))
+                if not asked:
+                    found.append((item, "expired", before + self.ttl, None, None))
+            fetched[item] = (micros, False)
+            found.append((item, "refreshed", micros, description, image_url))
         if found:
+            self._keep(pd.DataFrame([(item, *entry) for item, entry in fetched.items()], columns=["item_id", "micros", "asked"]))
             yield _entry_rows(found)
 
 
@@ -284,7 +319,7 @@ def _entry_rows(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["item_id", "kind", "micros", "description", "image_url"])
 
 
-def metadata_entries(updates: DataFrame, folder: str, *, ttl_seconds: int, lateness: int = LATENESS_SECONDS) -> StreamingQuery:
+def metadata_entries(updates: DataFrame, folder: str, *, ttl_seconds: int, lateness: int = LATENESS_SECONDS, buckets: int = BUCKETS) -> StreamingQuery:
     """Keep a cache of entries (item_id, description, image_url, fetched_at) and ask for those that become stale.
 
     An update counts if it was fetched more than ``ttl_seconds`` after the entry it replaces. ``refreshes`` gets a row
@@ -294,9 +329,9 @@ def metadata_entries(updates: DataFrame, folder: str, *, ttl_seconds: int, laten
         updates.filter("fetched_at IS NOT NULL AND item_id IS NOT NULL")
         .select("item_id", "description", "image_url", F.col("fetched_at").cast("timestamp").alias("fetched_at"))
         .withWatermark("fetched_at", f"{lateness} seconds")
-        .withColumn("micros", F.unix_micros("fetched_at"))
+        .withColumns({"micros": F.unix_micros("fetched_at"), "bucket": _bucket(buckets, "item_id")})
     )
-    entries = rows.groupBy("item_id").transformWithStateInPandas(
+    entries = rows.groupBy("bucket").transformWithStateInPandas(
         _Entries(ttl_seconds), "item_id long, kind string, micros long, description string, image_url string", "Append", "EventTime"
     )
 

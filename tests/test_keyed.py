@@ -60,3 +60,40 @@ def test_old_entries_are_asked_for_once_and_served(spark, tmp_path):
     assert served == {1: "later", 2: "other", 3: "third"}
     asked = sorted((r["item_id"], r["s"]) for r in keyed.refresh_requests(spark, folder).select("item_id", F.unix_seconds("stale_since").alias("s")).collect())
     assert asked == [(1, 1100), (1, 1700), (2, 1100), (3, 1600)]
+
+
+def test_many_keys_share_state_entries(spark, tmp_path):
+    """State calls cost time per entry: what waits or is kept must not be one entry per key."""
+    schema = "event_id long, s long, user_id long, item_id long, action string"
+    events = lambda *starts: [[(10_000 * b + u, start + u % 5, u, u % 3, "add") for u in range(2000)] for b, start in enumerate(starts)]
+
+    def entries(folder):
+        return max(r["state_rows"] for r in keyed.late_rows(spark, folder).collect())
+
+    def lists(stream, folder):
+        return keyed.wishlist_lists(stream.withColumn("ts", F.timestamp_seconds("s")), folder, lateness=10, buckets=8)
+
+    folder = run(spark, tmp_path / "lists", schema, events(1000, 1000, 2000), lists)
+    rows = keyed.wishlist_sizes(spark, folder).collect()
+    assert sorted((r["user_id"], r["n_items"], r["max_items"]) for r in rows) == [(u, 1, 1) for u in range(2000)]
+    assert entries(folder) < 100
+
+
+def test_many_participants_and_items_share_state_entries(spark, tmp_path):
+    arrivals = [[(f"participant-{u}", 1000 + u % 5) for u in range(2000)], [(f"participant-{u}", 1010) for u in range(2000)]]
+
+    def registrations(stream, folder):
+        return keyed.registrations(stream.select("participant_id", F.timestamp_seconds("s").alias("ts")), folder, buckets=8)
+
+    folder = run(spark, tmp_path / "participants", "participant_id string, s long", arrivals, registrations)
+    assert spark.read.parquet(f"{folder}/passed").agg(F.sum("passed")).first()[0] == 2000
+    assert keyed.late_rows(spark, folder).agg(F.max("state_rows")).first()[0] < 100
+
+    def entries(stream, folder):
+        rows = stream.select("item_id", F.lit("x").alias("description"), F.lit("").alias("image_url"), F.timestamp_seconds("s").alias("fetched_at"))
+        return keyed.metadata_entries(rows, folder, ttl_seconds=100, lateness=10, buckets=8)
+
+    updates = [[(i, 1000 + i % 5) for i in range(2000)], [(i, 1200) for i in range(2000)]]
+    folder = run(spark, tmp_path / "entries", "item_id long, s long", updates, entries)
+    assert keyed.refresh_requests(spark, folder).count() == 2000
+    assert keyed.late_rows(spark, folder).agg(F.max("state_rows")).first()[0] < 100
