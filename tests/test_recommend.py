@@ -107,6 +107,21 @@ def test_brute_force_with_tiny_blocks(spark, monkeypatch, aggregation):
         assert [(n, i, round(float(score[i]), 9)) for n, i in enumerate(order)] == sorted(got[user])
 
 
+def test_excluded_items_travel_once_per_query(spark, monkeypatch):
+    """With several vectors a query, the items it may not get are not sent with each of them."""
+    liked = spark.createDataFrame([(1, i) for i in range(200)], "query_id bigint, item_id bigint")
+    store = spark.range(300).select(F.col("id").alias("item_id"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("vector"))
+    sent = {}
+
+    def cells(left, right, keys, fn, schema):
+        sent.update(left.agg(F.count("*").alias("rows"), F.sum(F.size("_skip")).alias("skips")).first().asDict())
+        return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(R, "cogroup_cells", cells)
+    R.top_items(R.directions(liked.join(store, "item_id"), "max").withColumn("n_results", F.lit(5)), store, aggregation="max", exclude=liked)
+    assert sent == {"rows": 1, "skips": 200}
+
+
 def test_partitioning_does_not_matter(spark, items):
     liked, asked = likes(spark, (1, 1), (1, 4), (2, 5)), requests(spark, ("r", 1, 3, None, 3), ("s", 2, 3, None, 3))
     one = plan.recommend_prefiltered(asked.coalesce(1), liked.coalesce(1), items.coalesce(1))
