@@ -26,6 +26,8 @@ from shelfwise.session import cut_lineage
 LEADERS, FIRST_CELLS = 256, 4
 _ATTRIBUTES = ("min_players", "max_players", "playing_time_minutes")
 _MARGIN = 1e-9
+# Pairs of query and cell that a task holds at a time.
+VISIT_ROWS = 32768
 
 
 def direction_cells(items: DataFrame, leaders: int = LEADERS) -> tuple[DataFrame, np.ndarray]:
@@ -101,9 +103,8 @@ def pruned_top_items(
         """One row per query and cell to meet; the second time those that the first round did not meet and cannot rule out."""
 
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            step = max(1, VISIT_ROWS // len(cells))  # a query may meet every cell
+            for batch in (batch.slice(at, step) for batch in batches for at in range(0, batch.num_rows, step)):
                 extra = [batch.column(name).to_pandas().to_numpy(dtype=float, na_value=np.nan) for name in context] or [None, None]
                 best = bound(matrix(pa.chunked_array([batch.column("vector")])), *extra)
                 first = np.zeros(best.shape, bool)

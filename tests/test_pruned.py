@@ -35,3 +35,14 @@ def test_rows_equal_the_full_ranking(spark, filtered, monkeypatch):
         assert told["n_met"] < 0.5 * told["n_queries"] * told["n_cells"]
     nothing, told = pruned.pruned_top_items(queries, items.limit(0))
     assert nothing.collect() == [] and told.first()["n_met"] == 0
+
+
+def test_batches_of_visits_are_bounded(spark, monkeypatch):
+    """Where no cell can be skipped, a task never holds all pairs of its queries and cells at once."""
+    monkeypatch.setattr(pruned, "VISIT_ROWS", 64)
+    draw = np.random.default_rng(6)
+    rows = [(i, v.tolist()) for i, v in enumerate(draw.normal(size=(300, 8)))]
+    items = spark.createDataFrame(rows, "item_id long, vector array<double>")
+    queries = items.limit(50).select(F.col("item_id").alias("query_id"), "vector", F.lit(3).alias("n_results"))
+    key = lambda df: {tuple(r) for r in df.select("query_id", "rank", "item_id").collect()}
+    assert key(pruned.pruned_top_items(queries, items, leaders=32)[0]) == key(top_items(queries, items))
