@@ -175,3 +175,15 @@ def test_liked_order_and_outcomes(spark):
     }
     bare = session_outcomes(asked, liked, ranked, catalog.filter("item_id <> 3")).filter("request_id = 'a'").first()
     assert tuple(bare)[1:] == ("incomplete", "results without catalog record", 1, 1)
+
+
+def test_similarities_in_bounded_blocks(spark, monkeypatch):
+    """Results of a user with many liked items are compared a few at a time, with the same outcome."""
+    draw = np.random.default_rng(4)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(draw.normal(size=(60, 5)))], "item_id bigint, vector array<double>")
+    ranked = vectors.select(F.lit("r").alias("request_id"), F.lit(1).alias("user_id"), (F.col("item_id") % 12).cast("int").alias("rank"), "item_id").filter("item_id < 12")
+    liked = vectors.filter("item_id >= 20").select(F.lit(1).alias("user_id"), "item_id", F.lit(0).alias("pos"))
+    rows = lambda: sorted(tuple(r) for r in R.liked_similarities(ranked, liked, vectors).select("rank", "place", "liked_id", "n").collect())
+    whole = rows()
+    monkeypatch.setattr(R, "_CELLS", 100)
+    assert rows() == whole and {n for *_, n in whole} == {40}
