@@ -77,3 +77,24 @@ def test_tags(spark):
 
 def test_missing_message(spark):
     assert one(spark, T.missing_message(F.col("n"), F.col("c")), n="Alhpa", c=["Alpha", "Beta"]) == "'Alhpa' (closest: Alpha, Beta)"
+
+
+def test_synonyms_run_only_where_a_phrase_is(spark):
+    # sentences without a phrase are searched once, not once a rule; every rule still sees what earlier ones left
+    texts = [
+        "co op.co op war-game. player versus  player.1v1 duel. no.scifi" + "\u3000" + "sci fi. .. warm war_ 2war \u00e9war e\u0301war war\u0301",
+        ".war.", "", "war", "rolling\tdice\u00a0rolling dice.rolling. dice", "a\u2028\u2029 b \x85c \x1cd",
+    ]
+    for text in texts:
+        result = F.regexp_replace("t", T.WHITESPACE, " ")
+        for pattern, replacement in T.synonym_rules(SYNONYMS):
+            result = F.regexp_replace(result, pattern, replacement)
+        assert one(spark, T.unify_synonyms(F.col("t"), SYNONYMS), t=text) == one(spark, result, t=text)
+    plan = spark.range(1).select(T.unify_synonyms(F.lit("x").cast("string"), SYNONYMS))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") <= 5
+
+
+def test_synonyms_with_other_characters(spark):
+    rules = {"c++": ["c plus plus", "c.p.p"], "war": ["wargame"]}
+    assert one(spark, T.unify_synonyms(F.col("t"), rules), t="c.p.p wargame. c plus plus") == "c++ war. c++"
+    assert one(spark, T.unify_synonyms(F.col("t"), {}), t="a  b") == "a b"
