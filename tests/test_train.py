@@ -33,6 +33,25 @@ def test_svd_against_numpy(spark, monkeypatch, limit):
     assert (v[np.abs(v).argmax(axis=0), range(4)] > 0).all()
 
 
+@pytest.mark.parametrize("limit", [S.BROADCAST_BYTES, 0])
+def test_svd_in_blocks(spark, monkeypatch, limit):
+    # a pass sends rows per block and feature, whose number does not grow with the entries of a block
+    monkeypatch.setattr(S, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(S, "BLOCK_ENTRIES", 60)
+    sent = []
+    real = S._sent
+    monkeypatch.setattr(S, "_sent", lambda *args: sent.append(real(*args)) or sent[-1])
+    dense, matrix = sparse(spark, n=200)
+    items, _, values = S.truncated_svd(matrix, 4, passes=18)
+    _, expected, vt = np.linalg.svd(dense, full_matrices=False)
+    assert np.allclose(values, expected[:4], rtol=1e-6)
+    found = items.orderBy("item_id").toPandas()
+    coordinates, exact = found.drop(columns="item_id").to_numpy(), (dense @ vt[:4].T)[found["item_id"].to_numpy()]
+    assert np.allclose(coordinates @ coordinates.T, exact @ exact.T, atol=1e-6)
+    assert len(sent) == 19 and sent[0].select("block").distinct().count() > 10
+    assert sent[0].count() == sent[0].select("block", "feature").distinct().count() < matrix.count()
+
+
 def test_svd_is_repeatable(spark):
     _, matrix = sparse(spark)
     first = S.truncated_svd(matrix, 3)[0].orderBy("item_id").toPandas().to_numpy()
