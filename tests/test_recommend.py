@@ -191,3 +191,30 @@ def test_large_users_cluster_across_tasks(spark):
     assert all(np.allclose(local[k], spread[k]) for k in local)
     single = collected(P.centroids(points, SINGLE_CENTROID))
     assert set(single) == {(u, 0) for u in range(6)}
+
+
+def test_postfilter_ranks_a_context_once(spark, items, monkeypatch):
+    """Requests of one user and context share a list; each is cut by its own number of results and overfetch."""
+    asked = spark.createDataFrame(
+        [(f"r{n}-{i}", 1, 3, None, n) for n in (0, 1, 2, 3) for i in range(5)] + [("other", 1, None, "short", 2)],
+        "request_id string, user_id bigint, players int, duration string, num_results int",
+    )
+    scored = {}
+    once = plan._score_requests
+
+    def counted(requests, *rest):
+        scored["rows"] = requests.count()
+        return once(requests, *rest)
+
+    monkeypatch.setattr(plan, "_score_requests", counted)
+    done = plan.recommend_postfiltered(asked, likes(spark, (1, 1)), items, items.drop("vector"), overfetch=1)
+    got = {}
+    for row in done.collect():
+        got.setdefault(row["request_id"], []).append((row["rank"], row["item_id"], row["num_results"]))
+    assert scored["rows"] == 2
+    alone = {}
+    for n in (1, 2, 3):
+        one = plan.recommend_postfiltered(asked.filter(f"request_id = 'r{n}-0'"), likes(spark, (1, 1)), items, items.drop("vector"), overfetch=1)
+        alone[n] = sorted((r["rank"], r["item_id"], n) for r in one.collect())
+        assert all(sorted(got.get(f"r{n}-{i}", [])) == alone[n] for i in range(5))
+    assert not any(key.startswith("r0") for key in got) and any(alone.values())
