@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from shelfwise.operators import blocks as B
 from shelfwise.operators import explain as E
 from shelfwise.operators import references as R
-from shelfwise.plans.sessions import generate_sessions, session_outcomes
+from shelfwise.plans.recommend import recommend_postfiltered
+from shelfwise.plans.sessions import explained_results, generate_sessions, session_outcomes
 from shelfwise.operators import sessions as X
 
 RANKED = "request_id string, user_id bigint, rank int, item_id bigint, score double"
@@ -187,3 +188,35 @@ def test_similarities_in_bounded_blocks(spark, monkeypatch):
     whole = rows()
     monkeypatch.setattr(R, "_CELLS", 100)
     assert rows() == whole and {n for *_, n in whole} == {40}
+
+
+def test_equal_requests_share_one_ask(spark):
+    """However many requests ask the same, the ranker and the explainer see them once; every request gets the results."""
+    store = vectors_of(spark, {1: [1, 0], 2: [0.9, 0.1], 3: [0.5, 0.5]})
+    catalog = frame(
+        spark, [(i, f"T{i}", ["Trading"], [], [], 1, 4, 30) for i in range(1, 4)],
+        CATALOG + ", min_players int, max_players int, playing_time_minutes int",
+    )
+    asked = frame(
+        spark,
+        [(f"r{i}", 1, 2, None, 2) for i in range(40)] + [("s", 1, 2, None, 1), ("t", 2, 2, None, 2)],
+        "request_id string, user_id bigint, players int, duration string, num_results int",
+    )
+    liked = frame(spark, [(1, 1), (2, 3)], "user_id bigint, item_id bigint")
+    seen = {}
+
+    def ranker(requests, *rest):
+        seen["ranked"] = requests.count()
+        return recommend_postfiltered(requests, *rest)
+
+    def explainer(ranked, *rest):
+        seen["explained"] = ranked.count()
+        return E.explain_by_group(ranked, *rest)
+
+    _, results = explained_results(asked, liked, store, catalog, ranker=ranker, explainer=explainer)
+    got = {}
+    for row in results.collect():
+        got.setdefault(row["request_id"], []).append((row["rank"], row["item_id"], row["title"]))
+    assert seen == {"ranked": 3, "explained": 5}
+    assert all(sorted(got[f"r{i}"]) == [(0, 2, "T2"), (1, 3, "T3")] for i in range(40))
+    assert got["s"] == [(0, 2, "T2")] and sorted(got["t"]) == [(0, 2, "T2"), (1, 1, "T1")]
