@@ -118,6 +118,23 @@ def test_tfidf_by_hand(spark):
     assert X.tfidf(features, ["cat_mechanics"], TextVectorization(min_df=3)).count() == 0
 
 
+def test_large_vocabulary_goes_to_blocks(spark, monkeypatch):
+    """Beyond the broadcast limit the weights are the same, and entries are not shuffled by item or term."""
+    rows = [(i, " ".join(f"w{i * j % 17}x" for j in range(1, 9)), "same words" if i % 3 else None) for i in range(60)]
+    rows += [(None, "w1x w2x w2x", "same"), (60, None, None), (61, "", "words words")]
+    texts = spark.createDataFrame(rows, "item_id bigint, text_a string, text_b string")
+    settings = TextVectorization(min_df=3, max_df=0.9, l2=True, sublinear=True)
+    weights = lambda: X.tfidf(texts, ["text_a", "text_b"], settings, {"text_b": 0.5})
+    key = lambda df: sorted((str(r["item_id"]), r["block"], r["term"], round(r["weight"], 12)) for r in df.collect())
+    small = key(weights())
+    monkeypatch.setattr(X, "BROADCAST_TERMS", 0)
+    large = weights()
+    assert key(large) == small and len(small) > 300
+    plan = large._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_b" in plan and "hashpartitioning(block#" in plan
+    assert not any("item_id" in part.split(")")[0] for part in plan.split("hashpartitioning(")[1:])
+
+
 def test_real_bigrams_are_terms(spark):
     features = spark.createDataFrame(FEATURES, SCHEMA)
     settings = TextVectorization(1, 1.0, l2=False)
