@@ -56,3 +56,22 @@ def test_large_integers_stay_exact(spark):
     values = [(1 << 53) + i for i in range(5)]
     row = O.order_statistics(spark.createDataFrame([(v,) for v in values], "v long"), [], "v", {"m": O.LOWER_MIDDLE}).first()
     assert row["m"] == values[2]
+
+
+def test_few_groups_do_not_move_their_values(spark, monkeypatch):
+    """A group's values stay spread over the tasks, also where Spark itself would not broadcast the ranges."""
+    rows = spark.range(5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 0.5).alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = O.order_statistics(rows, ["g"], "v", {"q30": O.nearest_rank(0.3)})
+        got = {r["g"]: (r["n"], r["q30"]) for r in found.collect()}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        monkeypatch.setattr(O, "FEW_GROUPS", 2)
+        many = O.order_statistics(rows, ["g"], "v", {"q30": O.nearest_rank(0.3)})
+        assert {r["g"]: (r["n"], r["q30"]) for r in many.collect()} == got
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan
+    for g in range(3):
+        values = [i * 0.5 for i in range(5000) if i % 3 == g]
+        assert got[g] == (len(values), values[int((len(values) - 1) * 0.3 + 0.5)])
