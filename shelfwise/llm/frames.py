@@ -85,6 +85,20 @@ def _sifted(df: DataFrame, key: tuple[Column, ...], bits: DataFrame, flag: str)
     return place.select(*columns, F.coalesce(hit, F.lit(False)).alias(flag))
 
 
+def sifted(df: DataFrame, key: tuple[Column, ...], listed: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a column ``flag``: whether its key may be a row of ``listed`` (never false for one that is; nulls equal nulls)."""
+    return _sifted(df, key, _bits(listed), flag)
+
+
+def among(df: DataFrame, key: tuple[Column, ...], listed: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key is a row of ``listed``. Rows that a filter of fixed size leaves out are not shuffled."""
+    held = fresh(df, "_held")
+    names = [fresh(df, f"_key{i}_") for i in range(len(key))]
+    match = _all([k.eqNullSafe(quoted(name)) for k, name in zip(key, names, strict=True)])
+    maybe = sifted(df, key, listed, held).filter(quoted(held)).select(*[quoted(c) for c in df.columns])
+    return maybe.join(listed.toDF(*names), match, "left_semi")
+
+
 def without(df: DataFrame, key: tuple[Column, ...], gone: DataFrame, every: DataFrame) -> DataFrame:
     """The rows of ``df`` whose key is not a row of ``gone``; nulls equal nulls. ``every`` holds the keys of all rows.
 

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfwise.llm.frames import WORD, fresh, pick, quoted, stored
+from shelfwise.llm.frames import WORD, fresh, pick, quoted, sifted, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -34,6 +34,8 @@ BLOCK = 64
 EXACT = 16
 #: Documents or slots of a source in one chunk, on average.
 SPREAD = 4096
+#: Sources with at least one row in so many get a row in the guide, which is broadcast.
+GUIDED = 10_000
 #: The golden ratio's fraction times 2^31, made odd; from 2^31 slots on the points repeat, still evenly spread.
 GOLDEN = 1327217885
 PERIOD = 1 << 31
@@ -133,11 +135,10 @@ def schedule(spark: SparkSession, sources: DataFrame, total: int, repeats: int =
     return ranked.unionByName(exact.select(slot.alias("slot"), "s", "rank", "block", words.alias("words")))
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
-    share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK,
+def _rows(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights=WEIGHTS, share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
+    """One row per row of ``docs``: doc_id, source, place, start (words of its source before it), size, source_size, target, taken."""
     spark = docs.sparkSession
     table = pick(docs, doc_id=id_col, source=source_col, text=text_col)
     sizes = stored(table.select("doc_id", "source", words_in(F.col("text")).alias("size"), F.xxhash64("text").alias("same")))
@@ -154,7 +155,7 @@ def mix(
         .withColumn("place", shuffle_key(F.col("doc_id")))
         .withColumn("chunk", F.floor(F.col("place") / (F.lit(float(1 << 60)) / F.greatest(F.lit(1), F.ceil(F.col("n_docs") / SPREAD)))).cast("long"))
         .withColumn("words", F.col("size") * F.col("copies"))
-        .select("doc_id", "same", "s", "size", "copies", "source_size", "target", "place", "chunk", "words")
+        .select("doc_id", "source", "same", "s", "size", "copies", "source_size", "target", "place", "chunk", "words")
     )
     placed = stored(_running(placed, ["s"], "chunk", ["place", "doc_id", "same"], "words", "start"))
 
@@ -173,26 +174,74 @@ def mix(
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.same") == F.col("b.same")) & (F.col("a.s") == F.col("b.s"))
     # what was taken of identical rows is dealt out evenly, the rest to the first of them
     result = a.join(b, same, "left").select(
-        "a.doc_id", "a.size", "a.source_size", "a.target", F.coalesce("b.took", F.lit(0)).cast("long").alias("took"), "a.copies",
+        "a.doc_id", "a.source", "a.place", "a.start", "a.size", "a.source_size", "a.target", F.coalesce("b.took", F.lit(0)).cast("long").alias("took"), "a.copies",
         F.explode(F.sequence(F.lit(1), F.col("a.copies").cast("int"))).alias("copy"),
     )
     even = F.floor(F.col("took") / F.col("copies")).cast("long")
-    return result.select("doc_id", "size", "source_size", "target", (even + F.when(F.col("copy") <= F.col("took") % F.col("copies"), 1).otherwise(0)).cast("long").alias("taken"))
+    taken = (even + F.when(F.col("copy") <= F.col("took") % F.col("copies"), 1).otherwise(0)).cast("long")
+    return result.select("doc_id", "source", "place", "start", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
+    share: float = SHARE, repeats: int = REPEATS, block: int = BLOCK,
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken (words the mix takes, repeats counted)."""
+    rows = _rows(docs, id_col, text_col, source_col, weights, share, repeats, block)
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _guide(rows: DataFrame) -> DataFrame:
+    """How often the mix passes whole through a source, and the place up to which it goes once more: source, passes, stop (null: all).
+
+    Only sources with at least one row in ``GUIDED``, so there are no more of them than that.
+    """
+    per = rows.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("source_size").alias("whole"), F.count(F.lit(1)).alias("n"))
+    per = per.withColumn("all", F.sum("n").over(Window.partitionBy())).filter((F.col("n") * GUIDED >= F.col("all")) & (F.col("whole") > 0))
+    passes = F.floor(F.col("taken") / F.col("whole"))
+    per = per.select(F.col("source").alias("_source"), passes.cast("int").alias("passes"), (F.col("taken") - passes * F.col("whole")).alias("cut"))
+    joined = rows.join(F.broadcast(per), rows["source"].eqNullSafe(per["_source"]))
+    return joined.groupBy("source").agg(
+        F.first("passes").alias("passes"), F.min(F.when(F.col("start") >= F.col("cut"), F.col("place"))).alias("stop")
+    )
+
+
+def _guessed(df: DataFrame, guide: DataFrame, source: Column, place: Column, worded: Column, name: str) -> DataFrame:
+    """``df`` with a column ``name``: how often its rows are taken by ``guide``."""
+    of, passes, stop = (fresh(df, column) for column in ("_of", "_passes", "_stop"))
+    joined = df.join(F.broadcast(guide.toDF(of, passes, stop)), source.eqNullSafe(quoted(of)), "left")
+    again = F.when(quoted(stop).isNull() | (place < quoted(stop)), 1).otherwise(0)
+    times = F.when(worded, F.coalesce(quoted(passes) + again, F.lit(0))).otherwise(0)
+    return joined.select(*[quoted(column) for column in df.columns], times.alias(name))
 
 
 def with_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as the mix takes it: words taken by its size, rounded, at
     least once where any word is taken and never where none is.
 
-    Rows that share an id are repeated alike, by the words taken from all of them.
+    Rows that share an id are repeated alike, by the words taken from all of them. A source is taken from its first place on, so one
+    place per source tells for nearly all rows how often; texts are shuffled only for ids that this does not tell (rows at that
+    place, ids with several rows, rare sources) and the few that a filter of fixed size takes for those.
     """
-    name, doc = fresh(docs, "_times"), fresh(docs, "_taken")
-    taken = mix(docs, id_col, text_col, source_col).filter("taken > 0").groupBy(F.col("doc_id").alias(doc))
-    times = F.greatest(F.lit(1), F.round(F.sum("taken") / F.sum("size"))).cast("int")
-    taken = stored(taken.agg(times.alias(name)))
-    repeated = docs.join(taken, quoted(id_col).eqNullSafe(quoted(doc)))
+    name, right, held, doc = (fresh(docs, column) for column in ("_times", "_right", "_listed", "_doc"))
+    rows = stored(_rows(docs, id_col, text_col, source_col).select("doc_id", "source", "place", "start", "size", "source_size", "taken"))
+    guide = stored(_guide(rows))
+    exact = rows.filter("taken > 0").groupBy(F.col("doc_id").alias("_doc")).agg(
+        F.greatest(F.lit(1), F.round(F.sum("taken") / F.sum("size"))).cast("int").alias("times")
+    )
+    compared = _guessed(rows, guide, F.col("source"), F.col("place"), F.col("size") > 0, "guess")
+    compared = compared.join(exact, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    odd = stored(compared.filter("guess <> times").select(F.col("doc_id").alias(doc), F.col("times").alias(right)).distinct())
+
+    columns = [quoted(column) for column in docs.columns]
+    worded = F.coalesce(quoted(text_col).rlike(WORD), F.lit(False))
+    guessed = _guessed(docs, guide, quoted(source_col), shuffle_key(quoted(id_col)), worded, name)
+    guessed = sifted(guessed, (quoted(id_col),), odd.select(quoted(doc)), held)
+    clear = guessed.filter(~quoted(held)).select(*columns, quoted(name))
+    maybe = guessed.filter(quoted(held)).join(odd, quoted(id_col).eqNullSafe(quoted(doc)), "left")
+    repeated = clear.union(maybe.select(*columns, F.coalesce(quoted(right), quoted(name)).alias(name))).filter(quoted(name) > 0)
     copies = repeated.withColumn(name, F.explode(F.sequence(F.lit(1), quoted(name))))
-    return copies.select(*[quoted(column) for column in docs.columns])
+    return copies.select(*columns)
 
 
 #: The same mix for unique ids in one piece of SQL.

@@ -6,7 +6,8 @@ candidates; at s = 0.8 a pair misses that with a probability of about 3 in 100,0
 
 * *Prefix*: every document is posted only under its ``COORDINATES - MATCHES + 1`` rarest postings. Two documents with enough
   common postings share one of those, and postings that many unlike documents share (a licence line, a common passage) are
-  seldom among them.
+  seldom among them. A value is a 32-bit hash of the whole 64-bit minimum: the upper bits of minima alone crowd near zero, and among
+  some hundred thousand documents most would share one by chance.
 * *Skip*: the longer lists are never merged. Whether a pair has enough matches is counted on the two signatures.
 * Copies (equal sets) are one class with one signature from the start.
 * In a list that many documents share, pairs are not spelled out. A pivot of the list (the document whose postings are most
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfwise.llm.components import components
-from shelfwise.llm.frames import empty, pick, quoted, small_batches, stored, unique, without
+from shelfwise.llm.frames import among, empty, pick, quoted, small_batches, stored, unique, without
 
 COORDINATES = 48
 MATCHES = 27
@@ -74,13 +75,13 @@ def _factors(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
-    """Minima of as many hash functions, as 32-bit integers."""
+    """Minima of as many hash functions, each hashed to a 32-bit integer."""
     factor, shift = _factors(coordinates)
-    lowest = np.full(coordinates, np.iinfo(np.uint32).max, np.uint32)
+    lowest = np.full(coordinates, np.iinfo(np.uint64).max, np.uint64)
     for start in range(0, len(shingles), 2048):  # a cache-sized piece at a time
         part = shingles[start : start + 2048, None] * factor + shift
-        np.minimum(lowest, (part >> np.uint64(32)).astype(np.uint32).min(axis=0), out=lowest)
-    return lowest.view(np.int32)
+        np.minimum(lowest, part.min(axis=0), out=lowest)
+    return (_mixed(lowest) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _signed(words: int, coordinates: int):
@@ -219,7 +220,7 @@ def _groups(table: DataFrame, words: int, percent: int, coordinates: int, least:
     known = stored(classes.join(reps, "rep", "left_semi").select("rep", "n", "sig", "same", "doc"))
     # full sets of the classes that stand in any list, from one of their documents
     wanted = known.select("rep", F.col("same").alias("own"))
-    texts = table.join(known.filter("doc is not null").select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = among(table, (F.col("doc_id"),), known.filter("doc is not null").select("doc").distinct())
     if not empty(known.filter("doc is null")):
         texts = texts.union(table.filter("doc_id is null"))
     sets = texts.select(_sets(words)("text").alias("set")).filter(F.length("set") > 0).withColumn("own", F.md5("set"))

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, on small fixtures."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -8,6 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from shelfwise.llm import bpe, html_layout, language, line_runs, mixing, pii, quality_cascade, signatures, token_counts, vector_graph
+from shelfwise.llm.frames import stored
 
 LONG = "lorem ipsum " * 15 + "\n" + "dolor sit amet consectetur " * 14
 SCHEMA = "doc_id long, text string, lang string, source string, n_tokens string, size string, `_gone` int, `a.b` string"
@@ -170,3 +172,29 @@ def test_every_small_source_gets_its_target(spark):
     small = [r for r in mixed if r["doc_id"] < 1000]
     assert len(mixed) == len(rows) and all(r["taken"] == max(1, int(r["target"])) for r in small if int(r["target"]) <= mixing.EXACT * mixing.BLOCK)
     assert {r["doc_id"] for r in mixing.with_mix(docs).select("doc_id").collect()} >= {r["doc_id"] for r in small}
+
+
+def test_mix_is_known_by_place_for_nearly_all_rows(spark, monkeypatch):
+    rows = [(i, "word " * (i % 90 + 1), "abc"[i % 3]) for i in range(3000)]
+    rows += [(i, "other words", "b") for i in range(0, 40, 2)] + [(None, "no id", None), (5000, "", "a"), (5001, None, "c"), (5002, "lone", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    tables = []
+    monkeypatch.setattr(mixing, "stored", lambda df, *old: tables.append(stored(df, *old)) or tables[-1])
+    found = Counter(tuple(r) for r in mixing.with_mix(docs).collect())
+    taken, size = Counter(), Counter()
+    for r in mixing.mix(docs).collect():
+        if r["taken"]:
+            taken[r["doc_id"]] += r["taken"]
+            size[r["doc_id"]] += r["size"]
+    times = {i: max(1, int(taken[i] / size[i] + 0.5)) for i in taken}
+    assert found == Counter({row: n * times[row[0]] for row, n in Counter(rows).items() if row[0] in times})
+    # only these go through a shuffle with their texts
+    listed = [t.count() for t in tables if set(t.columns) == {"_doc", "_right"}]
+    assert len(listed) == 1 and listed[0] <= 30
+
+
+def test_unlike_sets_share_no_minima():
+    draw = np.random.default_rng(7)
+    sets = draw.integers(0, 2**63, size=(3000, 400)).astype(np.uint64)
+    values = np.array([signatures.signature(np.unique(s), 48) for s in sets])
+    assert sum(len(column) - len(np.unique(column)) for column in values.T) <= 1
