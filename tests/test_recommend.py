@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +220,35 @@ def test_postfilter_ranks_a_context_once(spark, items, monkeypatch):
         alone[n] = sorted((r["rank"], r["item_id"], n) for r in one.collect())
         assert all(sorted(got.get(f"r{n}-{i}", [])) == alone[n] for i in range(5))
     assert not any(key.startswith("r0") for key in got) and any(alone.values())
+
+
+def test_similarity_summary_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(B, "LEFT_ROWS", 5)
+    monkeypatch.setattr(B, "RIGHT_ROWS", 7)
+    monkeypatch.setattr(R, "_CHUNK_CELLS", 20)
+    rng = np.random.default_rng(4)
+    wishes, vectors = rng.normal(size=(40, 3)), rng.normal(size=(50, 3))
+    wishes[2] = vectors[3] = 0
+    frame = lambda rows, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], f"{name} bigint, vector array<double>")
+    got = R.similarity_summary(frame(wishes, "query_id"), frame(vectors, "item_id")).orderBy("query_id").toPandas()
+    unit = lambda rows: rows / np.where(np.linalg.norm(rows, axis=1) == 0, 1, np.linalg.norm(rows, axis=1))[:, None]
+    scores = unit(wishes) @ unit(vectors).T
+    assert got["query_id"].tolist() == list(range(40)) and (got["n_items"] == 50).all()
+    for name, want in (("min", scores.min(axis=1)), ("mean", scores.mean(axis=1)), ("max", scores.max(axis=1))):
+        assert np.allclose(got[f"{name}_similarity"], want)
+    assert R.similarity_summary(frame(wishes, "query_id"), frame(vectors[:0], "item_id")).count() == 0
+
+
+def test_similarity_summary_holds_few_scores(spark, monkeypatch):
+    """Two full chunks make a thousand million scores, which a task never holds at once."""
+    taken = {}
+    monkeypatch.setattr(R, "cogroup_cells", lambda left, right, cell, fn, schema: taken.update(fn=fn) or spark.createDataFrame([], schema))
+    point = spark.createDataFrame([(1, [1.0])], "query_id bigint, vector array<double>")
+    R.similarity_summary(point, point.withColumnRenamed("query_id", "item_id"))
+    table = lambda name: pa.table({name: np.arange(4000), "vector": pa.array(np.ones((4000, 2)).tolist())})
+    left, right = table("query_id"), table("item_id")
+    tracemalloc.start()
+    done = pa.concat_tables(taken["fn"](left, iter([right, right]))).to_pandas()
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert (done["n"] == 8000).all() and np.allclose(done["total"], 8000) and most < 32e6  # all scores of a pair: 128 MB
