@@ -7,11 +7,13 @@ hold a result, so the rows are those of :func:`shelfwise.operators.scoring.top_i
 gather in directions; where they point evenly everywhere, few cells can be skipped.
 
 Leaders are the at most ``LEADERS`` items with the smallest hashes, a table of bounded size that every task gets. A cell with
-more than one chunk of items is split, and the queries that meet a cell are split into chunks, so every comparison is bounded.
+more than one chunk of items is split. A task holds a chunk of queries and reads the cells one after the other; it decides which
+of its queries meet a cell, so pairs of query and cell are never rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,15 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.operators.blocks import LEFT_ROWS, RIGHT_ROWS, cogroup_cells, matrix, unit_rows
-from shelfwise.operators.scoring import _score_cell, rank_items
+from shelfwise.operators.blocks import LEFT_ROWS, RIGHT_ROWS, Grid, chunked, crossed, matrix, plan_grid, unit_rows
+from shelfwise.operators.scoring import SCORE_DIGITS, Ranking, _numbers, _packed, rank_items
 from shelfwise.session import cut_lineage
 
 LEADERS, FIRST_CELLS = 256, 4
 _ATTRIBUTES = ("min_players", "max_players", "playing_time_minutes")
 _MARGIN = 1e-9
-# Pairs of query and cell that a task holds at a time.
+# Pairs of query and cell whose bounds a task holds at a time, and whose yes or no.
 VISIT_ROWS = 32768
+_VISITS = 64_000_000
 
 
 def direction_cells(items: DataFrame, leaders: int = LEADERS) -> tuple[DataFrame, np.ndarray]:
@@ -94,48 +97,60 @@ def pruned_top_items(
     cells = placed.groupBy("cell").agg(F.max("angle").alias("radius"), *ranges).orderBy("cell").collect()  # bounded by leaders and chunks
     numbers = np.array([c["cell"] for c in cells])
     bound = _bounds(cells, directions, filtered)
-    skips = None
-    if exclude is not None:
-        pairs = exclude.select("query_id", "item_id").distinct().join(placed.select("item_id", "cell"), "item_id")
-        skips = pairs.groupBy("query_id", "cell").agg(F.collect_list("item_id").alias("_skip"))
-
-    def visits(table: DataFrame, second: bool) -> DataFrame:
-        """One row per query and cell to meet; the second time those that the first round did not meet and cannot rule out."""
-
-        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            step = max(1, VISIT_ROWS // len(cells))  # a query may meet every cell
-            for batch in (batch.slice(at, step) for batch in batches for at in range(0, batch.num_rows, step)):
-                extra = [batch.column(name).to_pandas().to_numpy(dtype=float, na_value=np.nan) for name in context] or [None, None]
-                best = bound(matrix(pa.chunked_array([batch.column("vector")])), *extra)
-                first = np.zeros(best.shape, bool)
-                np.put_along_axis(first, np.argsort(-best, axis=1, kind="stable")[:, :first_cells], True, axis=1)
-                met = first & np.isfinite(best)
-                if second:
-                    reached = batch.column("reached").to_pandas().to_numpy(dtype=float, na_value=np.nan)
-                    met = ~first & np.isfinite(best) & (np.isnan(reached)[:, None] | (best >= reached[:, None]))
-                row, column = np.nonzero(met)
-                taken = pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names).take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*(taken.column(name) for name in names), pa.array(numbers[column].astype(np.int32))], names=[*names, "cell"])
-
-        names = ["query_id", "vector", "n_results", *context]
-        return cut_lineage(table.mapInArrow(choose, ", ".join(f"{name} {kinds[name]}" for name in names) + ", cell int"))
-
-    def scored(met: DataFrame) -> DataFrame:
-        counts = {row["cell"]: row["count"] for row in met.groupBy("cell").count().collect()}
-        chunks = F.create_map(*[F.lit(x) for cell, n in (counts or {0: 1}).items() for x in (cell, -(-n // LEFT_ROWS))])
-        wanted = F.coalesce(F.element_at(chunks, F.col("cell")), F.lit(0))
-        left = met.withColumn("_l", F.pmod(F.xxhash64("query_id"), F.element_at(chunks, F.col("cell"))).cast("int"))
-        left = left.join(skips, ["query_id", "cell"], "left") if skips is not None else left.withColumn("_skip", F.lit(None).cast("array<bigint>"))
-        right = placed.drop("angle").filter(wanted > 0).withColumn("_l", F.explode(F.sequence(F.lit(0), wanted - 1)))
-        found = f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double, n_results int"
-        return cut_lineage(cogroup_cells(left, right, ["cell", "_l"], _score_cell("mean", filtered), found))
-
-    first = visits(queries, False)
-    some = scored(first)
-    place = rank_items(some).filter(F.col("rank") == F.col("n_results") - 1).select("query_id", F.col("score").alias("reached"))
-    second = visits(queries.join(place, "query_id", "left"), True)
-    best = some.unionByName(scored(second))
-    ranked = rank_items(best).filter(F.col("rank") < F.col("n_results")).drop("n_results")
-    met = first.select("query_id").unionByName(second.select("query_id")).agg(F.count(F.lit(1)).alias("n_met"))
-    report = queries.agg(F.count(F.lit(1)).alias("n_queries")).withColumns({"n_cells": F.lit(len(cells)), "n_met": met.scalar()})
+    n_queries, n_items = queries.count(), placed.count()
+    grid = plan_grid(queries, n_queries, n_items)
+    grid = Grid(max(grid.left, math.ceil(n_queries / min(LEFT_ROWS, max(1, _VISITS // len(cells))))), grid.right)
+    chunks = cut_lineage(chunked(placed.drop("angle").repartition(max(1, -(-n_items // RIGHT_ROWS)), "cell"), "cell", RIGHT_ROWS))
+
+    def visits(table: pa.Table, ranking: Ranking, second: bool) -> np.ndarray:
+        """Which query meets which cell; the second time those that the first round did not meet and cannot rule out."""
+        out = np.zeros((table.num_rows, len(cells)), bool)
+        reached = _numbers(table.column("reached")) if second else None
+        step = max(1, VISIT_ROWS // len(cells))  # a query may meet every cell
+        for at in range(0, len(out), step):
+            rows = slice(at, at + step)
+            extra = [ranking.players[rows], ranking.minutes[rows]] if filtered else [None, None]
+            best = bound(ranking.vectors[ranking.starts[rows]], *extra)
+            first = np.zeros(best.shape, bool)
+            np.put_along_axis(first, np.argsort(-best, axis=1, kind="stable")[:, :first_cells], True, axis=1)
+            if second:
+                out[rows] = ~first & np.isfinite(best) & (np.isnan(reached[rows])[:, None] | (best >= reached[rows][:, None]))
+            else:
+                out[rows] = first & np.isfinite(best)
+        return out
+
+    def scored(asked: DataFrame, second: bool) -> DataFrame:
+        """Winners of the cells that the queries meet, and rows of how many pairs of query and cell ``met``."""
+
+        def compare(left: pa.Table, rights: Iterator[pa.Table]) -> Iterator[pa.Table]:
+            ranking = Ranking(left, filtered)
+            met = visits(left, ranking, second)
+            if second:
+                # what the first round found keeps out everything below
+                reached = _numbers(left.column("reached"))
+                ranking.bar = np.where(np.isnan(reached), -np.inf, reached - 2.0 * 10.0**-SCORE_DIGITS)
+            pairs, cell = 0, None
+            for right in rights:
+                last, cell = cell, right.column("cell")[0].as_py()
+                rows = np.flatnonzero(met[:, np.searchsorted(numbers, cell)])
+                pairs += len(rows) if cell != last else 0  # a cell may be cut into several chunks
+                if len(rows):
+                    ranking.meet(right, rows)
+            if ranking.ids is not None:
+                found = ranking.table()
+                yield found.append_column("met", pa.nulls(found.num_rows, pa.int64()))
+            told = {"query_id": left.schema.field("query_id").type, "item_id": right.schema.field("item_id").type, "score": pa.float64(), "n_results": pa.int32()}
+            yield pa.table({**{name: pa.nulls(1, kind) for name, kind in told.items()}, "met": pa.array([pairs], pa.int64())})
+
+        left = _packed(asked, exclude, grid, kinds["item_id"])
+        schema = f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double, n_results int, met bigint"
+        return cut_lineage(crossed(left, chunks, grid, compare, schema))
+
+    first = scored(queries, False)
+    found = lambda df: df.filter("met IS NULL").drop("met")
+    place = rank_items(found(first)).filter(F.col("rank") == F.col("n_results") - 1).select("query_id", F.col("score").alias("reached"))
+    second = scored(queries.join(place, "query_id", "left"), True)
+    ranked = rank_items(found(first).unionByName(found(second))).filter(F.col("rank") < F.col("n_results")).drop("n_results")
+    met = first.unionByName(second).agg(F.coalesce(F.sum("met"), F.lit(0)).alias("n_met"))
+    report = met.select(F.lit(n_queries).cast("bigint").alias("n_queries"), F.lit(len(cells)).alias("n_cells"), "n_met")
     return ranked, report

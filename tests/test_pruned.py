@@ -46,3 +46,19 @@ def test_batches_of_visits_are_bounded(spark, monkeypatch):
     queries = items.limit(50).select(F.col("item_id").alias("query_id"), "vector", F.lit(3).alias("n_results"))
     key = lambda df: {tuple(r) for r in df.select("query_id", "rank", "item_id").collect()}
     assert key(pruned.pruned_top_items(queries, items, leaders=32)[0]) == key(top_items(queries, items))
+
+
+def test_pairs_of_query_and_cell_are_not_rows(spark, monkeypatch):
+    """A query is sent once a round, however many cells it meets; cut cells are counted once."""
+    monkeypatch.setattr(pruned, "RIGHT_ROWS", 20)
+    sent = []
+    real = pruned.crossed
+    monkeypatch.setattr(pruned, "crossed", lambda left, *rest: sent.append(left.count()) or real(left, *rest))
+    draw = np.random.default_rng(7)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(draw.normal(size=(300, 8)))], "item_id long, vector array<double>")
+    queries = items.limit(50).select(F.col("item_id").alias("query_id"), "vector", F.lit(3).alias("n_results"))
+    ranked, report = pruned.pruned_top_items(queries, items, leaders=8)
+    told = report.first()
+    assert sent == [50, 50] and 50 * pruned.FIRST_CELLS <= told["n_met"] <= 50 * told["n_cells"]
+    key = lambda df: {tuple(r) for r in df.select("query_id", "rank", "item_id").collect()}
+    assert key(ranked) == key(top_items(queries, items))
