@@ -252,3 +252,47 @@ def test_similarity_summary_holds_few_scores(spark, monkeypatch):
     _, most = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert (done["n"] == 8000).all() and np.allclose(done["total"], 8000) and most < 32e6  # all scores of a pair: 128 MB
+
+
+def test_rows_travel_once(spark, monkeypatch):
+    """No side is sent once per chunk of the other one, and every query goes through one shuffle only."""
+    monkeypatch.setattr(B, "LEFT_ROWS", 10)
+    monkeypatch.setattr(B, "RIGHT_ROWS", 10)
+    liked = spark.range(400).select((F.col("id") % 40).alias("query_id"), (F.col("id") % 100).alias("item_id"))
+    store = spark.range(100).select(F.col("id").alias("item_id"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("vector"))
+    met = {}
+    real = R.cogroup_cells
+
+    def cells(left, right, cell, fn, schema):
+        met.update(left=left, rows=left.agg(F.sum(F.size("vector"))).first()[0], chunks=right.count(), found=real(left, right, cell, fn, schema))
+        return met["found"]
+
+    monkeypatch.setattr(R, "cogroup_cells", cells)
+    queries = R.directions(liked.join(store, "item_id"), "max").withColumn("n_results", F.lit(2))
+    R.top_items(queries, store, aggregation="max", exclude=liked)
+    assert met["rows"] == 400 and met["chunks"] <= 10
+    plan = met["found"]._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "FlatMapCoGroups" not in plan
+    # after the vectors are placed, nothing but the table of large queries is exchanged
+    assert sum("Exchange hashpartitioning(query_id" in line and "_part" in line for line in plan.splitlines()) == 1
+
+
+def test_null_and_repeated_keys(spark):
+    """Null ids can win, sort before others and are excluded by nobody; queries without a vector drop out."""
+    store = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 1.0])], "item_id bigint, vector array<double>")
+    queries = spark.createDataFrame([(None, [1.0, 0.0], 2), (7, [0.0, 1.0], 3)], "query_id bigint, vector array<double>, n_results int")
+    exclude = spark.createDataFrame([(None, 1), (7, 1), (8, 2), (7, None)], "query_id bigint, item_id bigint")
+    got = [tuple(r) for r in R.top_items(queries, store, exclude=exclude).select("query_id", "rank", "item_id", "score").collect()]
+    assert sorted(got, key=str) == sorted([(None, 0, None, 1.0), (None, 1, 1, 1.0), (7, 0, 2, 1.0), (7, 1, 2, 1.0), (7, 2, None, 0.0)], key=str)
+
+
+def test_sizes_of_users_need_no_vectors(spark, monkeypatch):
+    """Only users with one centroid have their vectors averaged; a null user counts as one."""
+    points = liked_points(spark).unionByName(spark.createDataFrame([(None, 1, [1.0, 3.0]), (99, 2, [5.0, 5.0]), (99, 3, [7.0, 5.0])], "user_id bigint, item_id bigint, vector array<double>"))
+    averaged = {}
+    real = P.mean_vectors
+    monkeypatch.setattr(P, "mean_vectors", lambda df, by: averaged.update(users={r[0] for r in df.select(*by).collect()}) or real(df, by))
+    found = collected(P.centroids(points, OFFLINE_PRESET))
+    assert {None, 99} <= averaged["users"] and 0 not in averaged["users"]
+    assert found[None, 0].tolist() == [1.0, 3.0] and found[99, 0].tolist() == [6.0, 5.0]
+    assert {user for user, _ in found} == {*range(6), 99, None}
