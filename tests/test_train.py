@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +160,29 @@ def test_numeric_block_refuses_bad_numbers(spark):
     bad = spark.createDataFrame([(1, float("nan"))], "item_id bigint, num_x double")
     with pytest.raises(Exception, match="invalid values"):
         X.numeric_block(bad, ["num_x"]).collect()
+
+
+@pytest.mark.parametrize("limit", [S.BROADCAST_BYTES, 0])
+def test_svd_leaves_little_behind(spark, monkeypatch, tmp_path, limit):
+    """Of the entries and the factors of the passes nothing is left, and shuffle files go with their step."""
+    monkeypatch.setattr(S, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(S, "BLOCK_ENTRIES", 100)
+    monkeypatch.setattr(S, "_PACKED_ENTRIES", 30)
+    folders, most = [], []
+
+    def folder(_, name):
+        folders.append(str(tmp_path / f"{name}-{len(folders)}"))
+        most.append(sum(1 for path in folders if os.path.exists(path)))
+        return folders[-1]
+
+    monkeypatch.setattr(S, "work_folder", folder)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, during = spark.conf.get(setting), []
+    real = S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", lambda df: during.append(spark.conf.get(setting)) or real(df))
+    dense, matrix = sparse(spark, n=80)
+    items, right, values = S.truncated_svd(matrix, 4, passes=8)
+    assert len(folders) > 8 and max(most) <= 1 and not any(os.path.exists(path) for path in folders)
+    assert set(during) == {"true"} and spark.conf.get(setting) == before
+    assert items.count() == len(np.flatnonzero(dense.any(axis=1))) and right.count() == 25
+    assert np.allclose(values, np.linalg.svd(dense, compute_uv=False)[:4], rtol=1e-6)
