@@ -137,6 +137,26 @@ def test_large_vocabulary_goes_to_blocks(spark, monkeypatch):
     assert not any("item_id" in part.split(")")[0] for part in plan.split("hashpartitioning(")[1:])
 
 
+@pytest.mark.parametrize("common", [1, 5, 1000])
+def test_large_vocabulary_shuffles_only_rare_terms(spark, monkeypatch, common):
+    """Entries of the most frequent terms meet a broadcast, also of those that are too frequent; the weights stay the same."""
+    rows = [(i, "every " + " ".join(f"w{i % j}x{j}" for j in range(2, 12)), "every" if i % 5 else None) for i in range(80)]
+    rows += [(7, "every w1x2 w1x2", "every"), (None, "every w1x2 w1x3", None), (None, "w1x2 w0x2", "every"), (90, None, None), (91, "", "")]
+    texts = spark.createDataFrame(rows, "item_id bigint, text_a string, text_b string")
+    settings = TextVectorization(min_df=6, max_df=0.5, l2=True, sublinear=True)
+    weights = lambda: X.tfidf(texts, ["text_a", "text_b"], settings, {"text_b": 0.5})
+    key = lambda df: sorted((str(r["item_id"]), r["block"], r["term"], round(r["weight"], 12)) for r in df.collect())
+    small = key(weights())
+    monkeypatch.setattr(X, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(X, "COMMON_TERMS", common)
+    large = weights()
+    assert key(large) == small and len(small) > 300
+    assert "every" not in {term for _, _, term, _ in small} and {"7", "None"} <= {item for item, _, _, _ in small}
+    plan = large._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    # frequent terms leave before the entries are counted and shuffled, and one sort per item replaces those by term
+    assert "LeftAnti" in plan and plan.count("Window [") == 1 and plan.count("BroadcastHashJoin") == 2
+
+
 def test_real_bigrams_are_terms(spark):
     features = spark.createDataFrame(FEATURES, SCHEMA)
     settings = TextVectorization(1, 1.0, l2=False)
