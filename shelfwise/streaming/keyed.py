@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -85,20 +86,27 @@ class _PackedRows:
     def __init__(self, state, schema: pa.Schema) -> None:
         self.state, self.schema = state, schema
 
-    def _pack(self, rows: pd.DataFrame) -> tuple[bytes]:
+    def _pack(self, rows: pd.DataFrame | pa.Table) -> tuple[bytes]:
+        if isinstance(rows, pd.DataFrame):
+            # column by column: Table.from_pandas also describes the frame, which takes longer than the few rows of a bucket
+            columns = [pa.array(rows[field.name], field.type, from_pandas=True) for field in self.schema]
+            rows = pa.Table.from_arrays(columns, schema=self.schema)
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, self.schema) as writer:
-            writer.write_table(pa.Table.from_pandas(rows[self.schema.names], self.schema, preserve_index=False))
+            writer.write_table(rows)
         return (sink.getvalue().to_pybytes(),)
 
-    def get(self) -> pd.DataFrame:
+    def table(self) -> pa.Table:
         parts = [pa.ipc.open_stream(bytes(packed)).read_all() for (packed,) in self.state.get()]
-        return pa.concat_tables([self.schema.empty_table(), *parts]).to_pandas()
+        return pa.concat_tables([self.schema.empty_table(), *parts])
+
+    def get(self) -> pd.DataFrame:
+        return self.table().to_pandas()
 
     def add(self, rows: pd.DataFrame) -> None:
         self.state.appendValue(self._pack(rows))
 
-    def put(self, rows: pd.DataFrame) -> None:
+    def put(self, rows: pd.DataFrame | pa.Table) -> None:
         if len(rows):
             self.state.put([self._pack(rows)])
         else:
@@ -123,15 +131,16 @@ class _Waiting(_Packed):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = self.waiting.get()
-        due = _due(rows["micros"]) < passed
-        if due.any():
-            later = rows[~due]
+        rows = self.waiting.table()
+        due = pc.less_equal(rows["micros"], 1000 * (passed - 1))  # _due() is before the watermark
+        found = rows.filter(due)
+        if len(found):
+            later = rows.filter(pc.invert(due))
             self.waiting.put(later)
             if len(later):
-                self.handle.registerTimer(int(_due(later["micros"].min())))
-            order = self.waiting.schema.names
-            yield from self.ready(rows[due].sort_values(order, na_position="first", ignore_index=True))
+                self.handle.registerTimer(_due(pc.min(later["micros"]).as_py()))
+            order = [(name, "ascending") for name in self.waiting.schema.names]
+            yield from self.ready(found.take(pc.sort_indices(found, order, null_placement="at_start")).to_pandas())
 
     def ready(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         raise NotImplementedError
@@ -153,16 +162,17 @@ class _Lists(_Waiting):
         entry = ["user_id", "item_id"]
         before = self.listed.get()
         # what was listed comes first, then the events in their order
-        told = pd.concat([before.assign(action="add"), rows], ignore_index=True)
-        told["added"] = told["action"] == "add"
+        told = pd.concat([before, rows[entry]], ignore_index=True)
+        told["added"] = np.append(np.full(len(before), True), rows["action"] == "add")
         earlier = told.groupby(entry, sort=False)["added"].shift(fill_value=False).astype(bool)
-        told["delta"] = np.where(told["added"] == earlier, 0, np.where(told["added"], 1, -1))
-        self.listed.put(told.drop_duplicates(entry, keep="last").query("added")[entry])
-        told = told.iloc[len(before) :]
+        last = ~told.duplicated(entry, keep="last")
+        self.listed.put(told.loc[last & told["added"], entry])
+        delta = told["added"].astype("int64") - earlier.astype("int64")
+        told = rows[["user_id", "micros", "event_id"]].assign(delta=delta.to_numpy()[len(before) :])
         changes = told[told["delta"] != 0]
         # users whose events change nothing are known from now on
         silent = told[~told["user_id"].isin(changes["user_id"])].drop_duplicates("user_id")
-        yield pd.concat([changes, silent])[["user_id", "micros", "event_id", "delta"]].astype("int64")
+        yield pd.concat([changes, silent])
 
 
 def wishlist_lists(events: DataFrame, folder: str, *, lateness: int = LATENESS_SECONDS, buckets: int = BUCKETS) -> StreamingQuery:
@@ -365,7 +375,7 @@ def record_progress(query: StreamingQuery, folder: str) -> None:
         ))
     spark = SparkSession.active()
     table = spark.createDataFrame(rows, "batch_id long, input_rows long, late_rows long, state_rows long, watermark string")
-    table.write.mode("append").parquet(f"{folder}/status")
+    table.coalesce(1).write.mode("append").parquet(f"{folder}/status")  # a few rows: one file
 
 
 def late_rows(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Keyed streaming state: what waits, what is forgotten, what is counted."""
 
+import random
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from shelfwise.streaming import keyed
@@ -97,3 +100,61 @@ def test_many_participants_and_items_share_state_entries(spark, tmp_path):
     folder = run(spark, tmp_path / "entries", "item_id long, s long", updates, entries)
     assert keyed.refresh_requests(spark, folder).count() == 2000
     assert keyed.late_rows(spark, folder).agg(F.max("state_rows")).first()[0] < 100
+
+
+class Entries:
+    """A state list, the handle that gives it and its timers, without a running query."""
+
+    def __init__(self):
+        self.rows, self.timers = [], []
+
+    def getListState(self, name, schema):
+        return Entries()
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def get(self):
+        return iter(self.rows)
+
+    def appendValue(self, row):
+        self.rows.append(row)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def clear(self):
+        self.rows = []
+
+    def getCurrentWatermarkInMs(self):
+        return self.passed
+
+
+def test_bucket_of_lists_against_a_plain_fold():
+    """Rows of one moment, unknown actions and ids beyond 2**53, over several timers; every change keeps its exact event id."""
+    draw, big = random.Random(3), 2**53
+    bucket, handle = keyed._Lists(), Entries()
+    bucket.init(handle)
+    columns = ["user_id", "item_id", "event_id", "action", "micros"]
+    waiting, listed = [], set()
+    for step in range(8):
+        rows = [(draw.randrange(6), draw.randrange(4), big + draw.randrange(9), draw.choice(["add", "remove", None]), 2_000_000 * step + 500 * draw.randrange(6000)) for _ in range(60)]
+        assert list(bucket.handleInputRows(0, iter([pd.DataFrame(rows, columns=columns)]), None)) == []
+        handle.passed = 2000 * step + draw.randrange(3000)
+        got = [tuple(row) for frame in bucket.handleExpiredTimer(0, handle, None) for row in frame.itertuples(index=False)]
+        waiting += rows
+        due = [row for row in waiting if -(-row[4] // 1000) < handle.passed]
+        waiting = [row for row in waiting if row not in due]
+        # user_id, micros, event_id, delta; a missing action sorts first
+        changes, seen = [], {}
+        for user, item, event, action, micros in sorted(due, key=lambda r: (r[4], r[2], r[1], r[3] or "", r[0])):
+            delta = (action == "add") - ((user, item) in listed)
+            (listed.add if action == "add" else listed.discard)((user, item))
+            changes += [(user, micros, event, delta)] if delta else []
+            seen.setdefault(user, (user, micros, event, 0))
+        silent = [row for user, row in seen.items() if user not in {c[0] for c in changes}]
+        assert got == changes + silent
+        assert {tuple(row) for row in bucket.listed.get().itertuples(index=False)} == listed
+        assert len(bucket.waiting.get()) == len(waiting)
+        if due and waiting:
+            assert handle.timers[-1] == -(-min(row[4] for row in waiting) // 1000)
