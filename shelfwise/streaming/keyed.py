@@ -194,8 +194,13 @@ def wishlist_lists(events: DataFrame, folder: str, *, lateness: int = LATENESS_S
     def fold(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # read several times; the state must not be advanced by each
         try:
+            if not batch.count():
+                # events arrived that still wait: an empty run, without the plan for the sizes
+                append(batch.select("user_id").limit(0), f"{folder}/sizes", ["user_id"], batch_id)
+                return
             moved = batch.withColumn("ts", F.timestamp_micros("micros")).withColumn("slice", time_slice(F.col("ts")))
-            touched = batch.select("user_id").distinct()
+            # no user is null; saying so lets both joins below share one shuffle of the users
+            touched = batch.select("user_id").filter("user_id IS NOT NULL").distinct()
             sizes = current(batch.sparkSession, f"{folder}/sizes", ["user_id"], before=batch_id, only=touched)
             append(sizes_after(touched, moved.filter("delta <> 0"), sizes), f"{folder}/sizes", ["user_id"], batch_id)
         finally:

@@ -52,6 +52,43 @@ def test_state_of_lists_does_not_grow_with_history(spark, tmp_path):
     assert max(states[1:]) <= states[1] + 4
 
 
+def test_sizes_are_computed_only_for_batches_with_changes(spark, tmp_path, monkeypatch):
+    """A batch whose events all wait leaves an empty run; in the others the users are shuffled once for both joins."""
+    plans, planned = [], keyed.sizes_after
+
+    def sizes_after(users, changes, opening):
+        after = planned(users, changes, opening)
+        plans.append((changes.count(), after))
+        if opening is not None:
+            after.collect()
+            reused.append(after._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange"))
+        return after
+
+    reused = []
+    monkeypatch.setattr(keyed, "sizes_after", sizes_after)
+
+    def start(stream, folder):
+        return keyed.wishlist_lists(stream.withColumn("ts", F.timestamp_seconds("s")), folder, lateness=10, buckets=8)
+
+    schema = "event_id long, s long, user_id long, item_id long, action string"
+    batches = [[(100 * b + u, 1000 * b + u, u, b, "add") for u in range(30)] + [(100 * b, 1000 * b + 40, None, b, "add")] for b in range(1, 4)]
+    broadcasts = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(broadcasts)
+    spark.conf.set(broadcasts, "-1")
+    try:
+        folder = run(spark, tmp_path, schema, batches, start)
+    finally:
+        spark.conf.set(broadcasts, before)
+    counted = [changes for changes, _ in plans]
+    assert all(counted) and reused and min(reused) >= 1
+    runs = {int(path.name.split("-")[1]): path for path in (tmp_path / "out" / "sizes").glob("_run=0-*")}
+    filled = [batch for batch, path in runs.items() if list(path.rglob("*.parquet"))]
+    assert len(filled) == len(counted) < len(runs) and all((path / "_SUCCESS").exists() for path in runs.values())
+    assert sorted(runs) == list(range(len(runs)))
+    sizes = {r["user_id"]: (r["n_items"], r["max_items"], r["task_completed"]) for r in keyed.wishlist_sizes(spark, folder).collect()}
+    assert sizes == {u: (3, 3, 1) if u < 19 else (2, 2, 1) for u in range(30)}
+
+
 def test_old_entries_are_asked_for_once_and_served(spark, tmp_path):
     def start(stream, folder):
         rows = stream.select("item_id", F.col("text").alias("description"), F.lit("").alias("image_url"), F.timestamp_seconds("s").alias("fetched_at"))
